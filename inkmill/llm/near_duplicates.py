@@ -7,7 +7,8 @@ d = (1 - t) / (1 + t) * (|A| + |B|), so among any d + 1 filled cells of a set at
 (pigeonhole). Each set is joined within its *size band* (an octave of set sizes, with K fitted to it) and, as the smaller
 partner, within the next band. Of its filled cells it sends the d + 1 that come first in an order that depends on the
 content of the cell only, so both partners sort an agreeing cell alike; the order puts rare content first, by a
-fixed-size count of all tokens of the corpus. Candidates are verified on the texts. Nothing is capped: a set with too few
+fixed-size count of all tokens of the corpus. Candidates are held
+against each other's parity bits (Hamming distance at most d) and then verified on the texts. Nothing is capped: a set with too few
 filled cells sends all of them, and joins the other such sets once more with one token to a cell.
 
 The cells travel as packed arrays (a few bytes a cell, one shuffled row for each bucket and batch) and are joined by sorting in
@@ -37,10 +38,13 @@ CELLS_PER_BUCKET = 400_000
 #: Up to this many ids a set of ids is broadcast (about 64 MB); beyond it, it is shuffled.
 BROADCAST_IDS = 1_000_000
 FINE_CELLS = 1 << 47
+#: Bits of the parity sketch against which candidates are held before their texts are fetched.
+SKETCH_BITS = 512
 PAIR_RUN = 1 << 20
 
 LOW48 = np.uint64((1 << 48) - 1)
-PROFILE_SCHEMA = "id string, sig1 long, sig2 long, n int, part int, counts binary"
+PROFILE_SCHEMA = "id string, sig1 long, sig2 long, n int, sketch array<long>, part int, counts binary"
+PROFILE_NAMES = ["id", "sig1", "sig2", "n", "sketch", "part", "counts"]
 
 
 def token_sets(column: pa.Array, k: int, min_words: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -68,6 +72,14 @@ def _signatures(size: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.nd
     return one, two
 
 
+def parity_bits(size: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """SKETCH_BITS bits a set, as 64-bit values: each token flips one bit, so that the Hamming distance of two sketches
+    is at most the symmetric difference of the sets."""
+    bit = np.repeat(np.arange(len(size)) * SKETCH_BITS, size) + (mixed(tokens + np.uint64(77)) % np.uint64(SKETCH_BITS)).astype(np.int64)
+    odd = (np.bincount(bit, minlength=len(size) * SKETCH_BITS) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64)
+
+
 def _slots(tokens: np.ndarray) -> np.ndarray:
     return (mixed(tokens) >> np.uint64(64 - (COUNT_SLOTS.bit_length() - 1))).astype(np.int64)
 
@@ -84,16 +96,17 @@ def _profile(k: int, min_words: int):
                 counts += np.bincount(_slots(tokens), minlength=COUNT_SLOTS).astype(np.uint32)
                 one, two = _signatures(size, tokens)
                 none = pa.nulls(len(rows))
+                sketch = pa.ListArray.from_arrays(pa.array(np.arange(0, len(rows) * SKETCH_BITS // 64 + 1, SKETCH_BITS // 64, dtype=np.int32)), pa.array(parity_bits(size, tokens)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(rows)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(size.astype(np.int32)), none.cast(pa.int32()), none.cast(pa.binary())],
-                    names=["id", "sig1", "sig2", "n", "part", "counts"],
+                    [batch.column(0).take(pa.array(rows)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(size.astype(np.int32)), sketch, none.cast(pa.int32()), none.cast(pa.binary())],
+                    names=PROFILE_NAMES,
                 )
         if counts.any():
             none = pa.nulls(COUNT_PARTS)
             packed = [pa.compress(x.tobytes(), "zstd", asbytes=True) for x in np.split(counts, COUNT_PARTS)]
             yield pa.RecordBatch.from_arrays(
-                [none.cast(pa.string()), none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.int32()), pa.array(np.arange(COUNT_PARTS, dtype=np.int32)), pa.array(packed, pa.binary())],
-                names=["id", "sig1", "sig2", "n", "part", "counts"],
+                [none.cast(pa.string()), none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.list_(pa.int64())), pa.array(np.arange(COUNT_PARTS, dtype=np.int32)), pa.array(packed, pa.binary())],
+                names=PROFILE_NAMES,
             )
 
     return run
@@ -377,16 +390,18 @@ class NearDuplicates:
         profile = materialise(text.mapInArrow(_profile(shingle, min_words), PROFILE_SCHEMA))
         sets = profile.where("id is not null")
         key = ["sig1", "sig2"]
-        reps = sets.groupBy(*key).agg(F.min("id").alias("rep"), F.countDistinct("id").alias("copies"), F.first("n").alias("n"))
+        reps = sets.groupBy(*key).agg(F.min("id").alias("rep"), F.countDistinct("id").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
         self.members = sets.select("id", *key).distinct().join(reps, key).select("id", "rep", "copies", "n")
         total = sets.agg(F.sum("n")).first()[0] or 0
         buckets = int(max(1, min(1 << 22, -(-total * 0.65 // CELLS_PER_BUCKET))))
         scale = spark.sparkContext.broadcast(_rarity(profile))
         cells = text.select("text").mapInArrow(_emit(shingle, min_words, threshold, buckets, scale), "bucket int, cells binary")
         met = cells.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meet(threshold), "sig_a long, sig_b long").distinct()
-        one = reps.select(F.col("sig1").alias("sig_a"), F.col("rep").alias("rep_a"))
-        two = reps.select(F.col("sig1").alias("sig_b"), F.col("rep").alias("rep_b"))
-        pairs = materialise(met.join(one, "sig_a").join(two, "sig_b").select("rep_a", "rep_b"))
+        one = reps.select(F.col("sig1").alias("sig_a"), F.col("rep").alias("rep_a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
+        two = reps.select(F.col("sig1").alias("sig_b"), F.col("rep").alias("rep_b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"))
+        distance = sum((F.bit_count(F.col("sketch_a")[i].bitwiseXOR(F.col("sketch_b")[i])) for i in range(SKETCH_BITS // 64)), F.lit(0))
+        near = distance <= (1 - threshold) / (1 + threshold) * (F.col("n_a") + F.col("n_b")) + 1e-9
+        pairs = materialise(met.join(one, "sig_a").join(two, "sig_b").where(near).select("rep_a", "rep_b"))
         wanted = pairs.select(F.explode(F.array("rep_a", "rep_b")).alias("id")).distinct()
         if pairs.count() * 2 <= BROADCAST_IDS:
             wanted = F.broadcast(wanted)
