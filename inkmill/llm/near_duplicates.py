@@ -396,7 +396,7 @@ class NearDuplicates:
         buckets = int(max(1, min(1 << 22, -(-total * 0.65 // CELLS_PER_BUCKET))))
         scale = spark.sparkContext.broadcast(_rarity(profile))
         cells = text.select("text").mapInArrow(_emit(shingle, min_words, threshold, buckets, scale), "bucket int, cells binary")
-        met = cells.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meet(threshold), "sig_a long, sig_b long").distinct()
+        met = cells.repartition(-(-buckets // 2), "bucket").sortWithinPartitions("bucket").mapInArrow(_meet(threshold), "sig_a long, sig_b long").distinct()
         one = reps.select(F.col("sig1").alias("sig_a"), F.col("rep").alias("rep_a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
         two = reps.select(F.col("sig1").alias("sig_b"), F.col("rep").alias("rep_b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"))
         distance = sum((F.bit_count(F.col("sketch_a")[i].bitwiseXOR(F.col("sketch_b")[i])) for i in range(SKETCH_BITS // 64)), F.lit(0))

@@ -7,10 +7,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkmill.llm import near_duplicates
+from inkmill.llm import format_duplicates, leakage, near_duplicates
 from inkmill.sources.tables import read_table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return format_duplicates.p1_found(read_table(spark, d, "corpus"))
+
+
+def p1_collapsed(spark: SparkSession, d: str) -> DataFrame:
+    """Every corpus row counts here, however short."""
+    groups = format_duplicates.copies(read_table(spark, d, "corpus"), min_words=0)
+    return format_duplicates.collapsed(groups).withColumnRenamed("rep", "file_id")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    found = leakage.leaks(read_table(spark, d, "corpus"), read_table(spark, d, "eval_gt"))
+    return found.select(F.col("item").alias("figure_id"), F.col("id").alias("file_id")).distinct()
+
+
+def p3_report(spark: SparkSession, d: str) -> DataFrame:
+    test = read_table(spark, d, "eval_gt")
+    return leakage.leak_report(leakage.leaks(read_table(spark, d, "corpus"), test), test)
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.p4_found(read_table(spark, d, "corpus"))
 
@@ -24,7 +44,7 @@ def p4_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p4_found, p4_classes, p4_groups)}
+    return {f.__name__: f for f in (p1_found, p1_collapsed, p3_found, p3_report, p4_found, p4_classes, p4_groups)}
 
 
 def oracle_sql() -> dict[str, str]:
