@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkmill.llm import format_duplicates, leakage, near_duplicates
+from inkmill.llm import format_duplicates, leakage, near_duplicates, truncation
 from inkmill.sources.tables import read_table
 
 
@@ -21,6 +21,19 @@ def p1_collapsed(spark: SparkSession, d: str) -> DataFrame:
     return format_duplicates.collapsed(groups).withColumnRenamed("rep", "file_id")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.p2_found(read_table(spark, d, "corpus"))
+
+
+def p2_report(spark: SparkSession, d: str) -> DataFrame:
+    corpus = read_table(spark, d, "corpus")
+    return truncation.truncation_report(corpus, truncation.truncated(corpus))
+
+
+def p2_limits(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.limits(truncation.endings(read_table(spark, d, "corpus")))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     found = leakage.leaks(read_table(spark, d, "corpus"), read_table(spark, d, "eval_gt"))
     return found.select(F.col("item").alias("figure_id"), F.col("id").alias("file_id")).distinct()
@@ -44,7 +57,7 @@ def p4_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_collapsed, p3_found, p3_report, p4_found, p4_classes, p4_groups)}
+    return {f.__name__: f for f in (p1_found, p1_collapsed, p2_found, p2_report, p2_limits, p3_found, p3_report, p4_found, p4_classes, p4_groups)}
 
 
 def oracle_sql() -> dict[str, str]:
