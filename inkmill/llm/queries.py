@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkmill.llm import format_duplicates, leakage, near_duplicates, truncation
+from inkmill.llm import format_duplicates, leakage, near_duplicates, residue, truncation
 from inkmill.sources.tables import read_table
 
 
@@ -56,8 +56,12 @@ def p4_groups(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.NearDuplicates(read_table(spark, d, "corpus")).groups().withColumnRenamed("id", "file_id")
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.p7_found(read_table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_collapsed, p2_found, p2_report, p2_limits, p3_found, p3_report, p4_found, p4_classes, p4_groups)}
+    return {f.__name__: f for f in (p1_found, p1_collapsed, p2_found, p2_report, p2_limits, p3_found, p3_report, p4_found, p4_classes, p4_groups, p7_found)}
 
 
 def oracle_sql() -> dict[str, str]:
