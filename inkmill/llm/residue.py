@@ -31,6 +31,8 @@ LEAST_ORIGINS = 4
 SHARE = 2e-5
 #: A message of more words is taken for prose, whatever it mentions, unless it recurs.
 LONGEST_RULE_WORDS = 26
+#: The share of words that belong neither to a phrase nor to the language of notices, beyond which a message is prose.
+FOREIGN_SHARE = 0.2
 
 # The phrases of the rules (accents are folded before matching).
 FILLER = r"""
@@ -47,7 +49,7 @@ ERROR = r"""
 (?:http|error|fehler|erreur) ?(?:code )?[45]\d\d|[45]\d\d (?:not found|forbidden|unauthori[sz]ed|bad request|bad gateway|gone|internal server error|service (?:temporarily )?unavailable|gateway time-?out|too many requests|error)
 (?:page|file|document|repository|figure|entry|question|paste|site|drawing|url|resource|thread|post|preview)\b.{0,40}\b(?:not (?:be )?found|does not exist|doesn't exist|no longer (?:exists|available)|(?:is |was )?unavailable|(?:has been|was) (?:removed|deleted|moved|renamed)|could not be (?:found|loaded|displayed)|cannot be (?:found|displayed|loaded))
 may have been (?:moved|renamed|removed|deleted)|(?:something|etwas) (?:went wrong|ist schiefgelaufen)|oops|whoops|internal server error|(?:service|server|temporarily) (?:temporarily )?(?:is )?(?:unavailable|overloaded|busy)|under maintenance
-(?:we )?(?:couldn't|could not|cannot|can't|unable to|failed to) (?:load|find|open|display|render|fetch|process|show)|timed? ?out|too many requests|rate limit|slow down and try|try again (?:later|in)|bad gateway|gateway timeout|request (?:id|failed|blocked)|connection (?:refused|reset)
+(?:we )?(?:couldn't|could not|cannot|can't|unable to|failed to) (?:load|find|open|display|render|fetch|process|show)|timed? ?out|too many requests|rate limit|slow down and try|try again (?:later|in)|bad gateway|gateway timeout|request (?:id|failed|blocked)|connection (?:refused|reset)|too (?:large|big) to (?:display|show|render|load)
 access (?:denied|restricted|forbidden)|permission denied|(?:do not|don't) have (?:the )?permission|not (?:authori[sz]ed|permitted)|session (?:has )?expired|(?:sign|log) ?in (?:again )?to (?:see|view|continue|access|read)|please (?:sign|log) ?in|you (?:must|need to) (?:be logged in|sign in|log in)
 not (?:a )?robot|verify (?:that )?you are (?:a )?human|captcha|checking your browser|security check|unusual traffic
 nicht gefunden|existiert nicht|nicht (?:mehr )?verfugbar|zugriff (?:verweigert|gesperrt)|zugang verweigert|melden sie sich an|anmeldung erforderlich|sitzung (?:ist )?abgelaufen|spater (?:noch einmal|erneut)|keine berechtigung|interner serverfehler|fehler beim (?:laden|rendern)
@@ -56,8 +58,16 @@ no (?:se )?(?:ha |pudo )?(?:sido )?(?:encontr|existe)\w*|acceso (?:restringido|d
 """.strip().replace("\n", "|")
 SCRIPT = r"java ?script|no ?script|client-side scripts?|(?:execute|run|support|allow|enable|need|require|block|disable|activ)\w* scripts?|scripts? (?:and cookies )?(?:(?:are|is|be) )?(?:required|disabled|blocked|enabled|needed|switched|turned|off)|turn on scripting|scripting in your browser|cookies (?:are |be )?(?:required|disabled|blocked|enabled|switched on|turned on)|enable cookies|skripte? (?:aktivier|erforder)\w*|activ\w+ (?:los |les )?scripts?"
 RULES = re.compile(rf"\b(?:{FILLER}|{ERROR}|{SCRIPT})")
-#: Words that a message of a rule may have besides its phrase. One that has many others, and does not recur, is prose.
-CUES = re.compile(rf"\b(?:{FILLER}|{ERROR}|{SCRIPT}|please|sorry|neither was found|browser|again|later|site|page|view(?:ing)?|require[sd]?|enabled?|continue|bitte|seite|veuillez|pagina|navegador|navigateur|owner|moved|code|id)\b")
+# The words that notices are made of besides their phrases, what they speak of, and what they say of it.
+COMMON = """allow enable enabled activate require requires required run running execute while rendering loads app a an the this that these our your my its all any some to of on in for by with and or so if is are was were be been being has have had it we you they not no please sorry unfortunately
+before after again later now right just here there order see view viewing open opening load loading continue continuing show showing shown display read reach access use using get go back turn switch on off up must need needs needed can
+could may might cannot will would at from as also only more new old moved renamed owner browser site app page web client side canvas preview editor host upstream connection server reference id code minutes seconds hours blank stays works best ce cette ces
+le la les un une des du de d l votre vos ne pas plus sans et ou en est sont sur pour avec veuillez serveur navigateur tard active activez activer desactive der die das den dem ein eine einer dieser diese dieses ihr ihre ihren sie bitte nicht und oder ist sind auf mit fur zum zur um von im wird werden seite
+el los las uno una su sus este esta estos es son para por con que se ha han y o del al lo en pagina navegador servidor solicitada angeforderte demandee benotigt fonctionne necesita zu wurde mas""".split()
+OBJECTS = "page file document repository figure entry gallery question paste site drawing url resource thread post preview picture image content archive project folder link account section seite datei bild zeichnung fichier dessin archivo dibujo".split()
+STATES = "private withheld unavailable missing gone offline removed deleted protected expired blocked hidden restricted disabled shown displayed closed broken locked empty denied forbidden suspended archived privat geloscht gesperrt entfernt prive supprime bloque masque privado eliminado bloqueado oculto".split()
+OBJECT_WORDS, STATE_WORDS = frozenset(OBJECTS), frozenset(STATES)
+KNOWN = frozenset(COMMON) | OBJECT_WORDS | STATE_WORDS
 
 NAME = r"[A-Za-z][A-Za-z0-9]*(?:[_ -][A-Za-z0-9]+){0,4}"
 TAGS = "html|head|title|body|p|h[1-6]|pre|code|a|b|i|em|strong|ul|ol|li|div|span|br|hr|table|tr|td|th|img|script|style|noscript|blockquote|sub|sup|nav|header|footer|section|article|main|meta|link|form|input|button|label|small|tt|kbd"
@@ -144,7 +154,7 @@ def _counted(batches):
             yield _count_rows(joint[0].view(np.int64), origins[joint[1].astype(np.int64)], None)
         values, rows, texts_of = [], [], []
         for i, text in enumerate(texts.to_pylist()):
-            if text and PLACEHOLDER.search(text):
+            if text and not CODE.search(text) and PLACEHOLDER.search(text):
                 for s in {s for m in messages(text) if (s := skeleton(m)) and len(WORD.findall(s)) >= 2}:
                     values.append(hash_of(s))
                     rows.append(origins[i])
@@ -193,15 +203,17 @@ def classify(message: str, recurs: bool) -> str:
     if CODE.search(message):
         return CONTENT
     if RULES.search(plain):
-        others = WORD.findall(CUES.sub(" ", plain))
-        if recurs or len(words) <= 4 or (len(words) <= LONGEST_RULE_WORDS and len(others) <= 0.5 * len(words)):
+        others = [w for w in WORD.findall(RULES.sub(" ", plain)) if w not in KNOWN]
+        if recurs or len(words) <= 4 or (len(words) <= LONGEST_RULE_WORDS and len(others) <= max(1, FOREIGN_SHARE * len(words))):
             return RESIDUE
         # prose that mentions a phrase
         if not FURNITURE.search(message):
             return CONTENT
+    if len(words) <= LONGEST_RULE_WORDS and KNOWN.issuperset(words) and not STATE_WORDS.isdisjoint(words) and not OBJECT_WORDS.isdisjoint(words):
+        return RESIDUE
     if FURNITURE.search(message) or not words:
         return FURNISHED
-    if recurs or len(words) < 4 or LABELLED.match(message) and len(words) <= 5:
+    if (recurs and sum(w in KNOWN for w in words) >= 0.5 * len(words)) or len(words) < 4 or LABELLED.match(message) and len(words) <= 5:
         return FURNISHED
     if message[-1] not in ".!?:;" and len(words) <= 8:
         return FURNISHED
@@ -210,10 +222,9 @@ def classify(message: str, recurs: bool) -> str:
 
 def is_residue(text: str, known: Knowledge) -> bool:
     """Whether a text has residue and no content of its own."""
-    plain = folded(text)
-    placeholders = bool(PLACEHOLDER.search(text))
-    if not placeholders and not RULES.search(plain):
+    if CODE.search(text):
         return False
+    placeholders = bool(PLACEHOLDER.search(text))
     parts = messages(text)
     found, unsure = False, []
     for message, recurs in zip(parts, known.recurs(hashes_of(parts)).tolist()):
