@@ -96,7 +96,8 @@ def folded(text: str) -> str:
 
 def messages(text: str) -> list[str]:
     """The lines and sentences of a text, without HTML tags."""
-    return [m for part in SPLIT.split(TAG.sub("\n", text)) if (m := part.strip())]
+    # without a closing tag, <title> and the like are placeholders
+    return [m for part in SPLIT.split(TAG.sub("\n", text) if "</" in text else text) if (m := part.strip())]
 
 
 def skeleton(message: str) -> str | None:
