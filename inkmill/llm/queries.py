@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkmill.llm import format_duplicates, leakage, near_duplicates, residue, truncation
+from inkmill.llm import format_duplicates, leakage, mixing, near_duplicates, packing, residue, truncation
 from inkmill.sources.tables import read_table
 
 
@@ -56,12 +56,36 @@ def p4_groups(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.NearDuplicates(read_table(spark, d, "corpus")).groups().withColumnRenamed("id", "file_id")
 
 
+def p5_packing(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packing(read_table(spark, d, "documents"), read_table(spark, d, "packing_specs"))
+
+
+def p5_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packing_report(p5_packing(spark, d))
+
+
+def _mix(spark: SparkSession, d: str) -> mixing.Mix:
+    return mixing.Mix(read_table(spark, d, "documents"), read_table(spark, d, "mix_targets"))
+
+
+def p6_draws(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d).draws()
+
+
+def p6_usage(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d).usage()
+
+
+def p6_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d).shares()
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.p7_found(read_table(spark, d, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_collapsed, p2_found, p2_report, p2_limits, p3_found, p3_report, p4_found, p4_classes, p4_groups, p7_found)}
+    return {f.__name__: f for f in (p1_found, p1_collapsed, p2_found, p2_report, p2_limits, p3_found, p3_report, p4_found, p4_classes, p4_groups, p5_packing, p5_report, p6_draws, p6_usage, p6_shares, p7_found)}
 
 
 def oracle_sql() -> dict[str, str]:
