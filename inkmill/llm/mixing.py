@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 from inkmill.llm.tokens import FOLDER, VOCABULARY, token_counts
 from inkmill.session import materialise
 
-BLOCK_DOCS, MOST_BLOCKS = 64, 4096
-SHARD_TOKENS = 16_000_000
+#: Documents in a block, about, until a source has MOST_BLOCKS of them.
+BLOCK_DOCS, MOST_BLOCKS = 32, 1 << 16
+#: Tokens in an output shard, about, as long as there are LEAST_BLOCKS blocks for each.
+SHARD_TOKENS, LEAST_BLOCKS = 2_000_000, 8
 SEED = 17
 
 
@@ -126,8 +128,8 @@ class Mix:
         due = self.due.groupBy("mix_id", "source").agg(F.count("*").alias("due"))
         sizes = self.plan.groupBy("mix_id").agg(F.sum("quota").alias("quota"))
         by_mix = due.groupBy("mix_id").agg(F.sort_array(F.collect_list(F.struct("source", "due"))).alias("all")).join(sizes, "mix_id")
-        # a shard holds some blocks at least
-        shards = F.greatest(F.lit(1), F.ceil(F.col("quota") / self.shard_tokens)).cast("int")
+        blocks = F.aggregate("all.due", F.lit(0).cast("bigint"), lambda a, x: a + x)
+        shards = F.greatest(F.lit(1), F.least(F.ceil(F.col("quota") / self.shard_tokens), F.floor(blocks / LEAST_BLOCKS))).cast("int")
         leaves = by_mix.select("mix_id", shards.alias("shards"), F.col("all.source").alias("sources"), F.col("all.due").alias("due")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
         kind = self.plan.schema["mix_id"].dataType.simpleString()
         ranges = leaves.mapInPandas(_leaves(self.seed), f"mix_id {kind}, shard int, source string, first long, end long")
