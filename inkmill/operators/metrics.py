@@ -59,25 +59,29 @@ def bleu_of(row, most: int = 4) -> float:
     return exp(total / most) * (exp(1 - row["ref_len"] / row["hyp_len"]) if short else 1.0)
 
 
-def crystal_bleu(df: DataFrame, key: str, hypothesis: str, reference: str, trivial: DataFrame, most: int = 4, re_tokenise: bool = True) -> DataFrame:
+def crystal_bleu(df: DataFrame, hypothesis: str, reference: str, trivial: DataFrame, most: int = 4) -> DataFrame:
     """M-01: one row (n_pairs, crystal_bleu in [0, 1]): the n-grams of both token arrays, less the trivial ones, joined to one
     text and scored by corpus BLEU; rows with an empty side are left out, 0 without rows.
 
-    The trivial n-grams (k of them, a bounded table) are read to the driver. Per-row counts are summed in one small aggregation.
+    The trivial n-grams (k of them, a bounded table) are read to the driver. Counts are made by row in Arrow batches and summed
+    in one small aggregation.
     """
-    shared = [r[0] for r in trivial.select("ngram").collect()]
-    known = F.array(*(F.lit(g) for g in shared)) if shared else F.array().cast("array<string>")
-    keep = lambda c: F.filter(F.transform(all_ngrams(c, most), lambda g: F.array_join(g, " ")), lambda g: ~F.array_contains(known, g))
-    text = lambda c: F.filter(F.split(F.array_join(keep(c), " "), " "), lambda t: t != "")
-    left = df.select(key, text(hypothesis).alias("h"), text(reference).alias("r")).where((F.size("h") > 0) & (F.size("r") > 0))
-    counts = left.mapInPandas(_bleu_rows(key, most), "hyp_len long, ref_len long, " + ", ".join(f"m{n} long, t{n} long" for n in range(1, most + 1)))
-    sums = counts.agg(F.count("*").alias("n_pairs"), *(F.sum(c).alias(c) for c in counts.columns))
-    names = counts.columns
+    shared = frozenset(r[0] for r in trivial.select("ngram").collect())
+    names = ["hyp_len", "ref_len", *(f"{c}{n}" for n in range(1, most + 1) for c in "mt")]
+    counts = df.select(F.col(hypothesis).alias("h"), F.col(reference).alias("r")).mapInPandas(_bleu_rows(shared, most, names), ", ".join(f"{c} long" for c in names))
+    sums = counts.agg(F.count("*").alias("n_pairs"), *(F.sum(c).alias(c) for c in names))
     score = F.udf(lambda *v: bleu_of(dict(zip(names, v)), most), "double")
     return sums.select("n_pairs", score(*(F.col(c) for c in names)).alias("crystal_bleu"))
 
 
-def _bleu_rows(key: str, most: int):
+def _bleu_rows(shared: frozenset[str], most: int, names: list[str]):
+    def runs(tokens, n):
+        return zip(*(tokens[i:] for i in range(n)))
+
+    def kept(tokens):
+        grams = (" ".join(g) for n in range(1, most + 1) for g in runs(tokens, n))
+        return " ".join(g for g in grams if g not in shared).split()
+
     def run(frames):
         import pandas as pd
         from collections import Counter
@@ -85,13 +89,14 @@ def _bleu_rows(key: str, most: int):
         for frame in frames:
             rows = []
             for h, r in zip(frame["h"], frame["r"]):
-                h, r = list(h), list(r)
+                h, r = kept(list(h) if h is not None else []), kept(list(r) if r is not None else [])
+                if not h or not r:
+                    continue
                 row = [len(h), len(r)]
                 for n in range(1, most + 1):
-                    a, b = (Counter(zip(*(t[i:] for i in range(n)))) for t in (h, r))
-                    row += [sum((a & b).values()), max(0, len(h) - n + 1)]
+                    row += [sum((Counter(runs(h, n)) & Counter(runs(r, n))).values()), max(0, len(h) - n + 1)]
                 rows.append(row)
-            yield pd.DataFrame(rows, columns=["hyp_len", "ref_len", *(f"{c}{n}" for n in range(1, most + 1) for c in "mt")])
+            yield pd.DataFrame(rows, columns=names)
 
     return run
 

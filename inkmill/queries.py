@@ -485,7 +485,7 @@ def _repaired(spark, d):
 @query("crystal_bleu")
 def _(spark, d):
     trivial = M.trivial_ngrams(read_table(spark, d, "eval_gt").select(Q.lexed("code").alias("tokens")), "tokens")
-    return M.crystal_bleu(_repaired(spark, d), "file_id", "hypothesis", "reference", trivial)
+    return M.crystal_bleu(_repaired(spark, d), "hypothesis", "reference", trivial)
 
 
 @query("tex_edit_distance")
