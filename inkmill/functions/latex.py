@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from inkmill.functions.text import _c, collapse_space, is_blank, lines, remove_empty_lines, strip
+from inkmill.functions.text import _c, collapse_space, is_blank, let, lines, remove_empty_lines, strip
 
 # Commands whose files lie outside of the text.
 EXTERNAL = (
@@ -129,12 +129,13 @@ def trim_to_environment(x: Column | str, env: Column | str) -> Column:
     r"""T-10: from the first ``\begin{env}`` on, and what follows ``\end{env}`` on the last line is cut. ``env`` is a column or a name."""
     name = F.lit(env) if isinstance(env, str) else env
     begin, end = F.concat(F.lit("\\begin{"), name, F.lit("}")), F.concat(F.lit("\\end{"), name, F.lit("}"))
-    at = F.position(begin, _c(x))
-    code = F.when(at > 0, F.substr(_c(x), at)).otherwise(_c(x))
-    last = F.substring_index(code, "\n", -1)
-    stop = F.position(end, last)
-    kept = F.substr(code, F.lit(1), F.length(code) - F.length(last) + stop + F.length(end) - 1)
-    return strip(F.when(stop > 0, kept).otherwise(code))
+
+    def tail(code: Column) -> Column:
+        last = F.substring_index(code, "\n", -1)
+        return let(F.position(end, last), lambda stop: F.when(stop > 0, F.substr(code, F.lit(1), F.length(code) - F.length(last) + stop + F.length(end) - 1)).otherwise(code))
+
+    text = _c(x)
+    return strip(let(let(F.position(begin, text), lambda at: F.when(at > 0, F.substr(text, at)).otherwise(text)), tail))
 
 
 def filter_lines(x: Column | str) -> Column:
@@ -209,14 +210,20 @@ def page_documents(x: Column | str) -> Column:
 
 def _keep_delimiters(x: Column, pattern: str, mark: str, n: Column) -> Column:
     """``x`` with only its first ``n`` occurrences of a delimiter."""
-    parts = F.split(x, pattern, -1)
-    kept = F.array_join(F.slice(parts, F.lit(1), (n + 1).cast("int")), mark)
-    return F.concat(kept, F.array_join(F.slice(parts, (n + 2).cast("int"), F.greatest(F.lit(0), F.size(parts) - n - 1).cast("int")), ""))
+
+    def joined(parts: Column) -> Column:
+        kept = F.array_join(F.slice(parts, F.lit(1), (n + 1).cast("int")), mark)
+        return F.concat(kept, F.array_join(F.slice(parts, (n + 2).cast("int"), F.greatest(F.lit(0), F.size(parts) - n - 1).cast("int")), ""))
+
+    return let(F.split(x, pattern, -1), joined)
 
 
 def _balanced(x: Column, opens: str, open_mark: str, closes: str, close_mark: str) -> Column:
-    a, b = F.regexp_count(x, F.lit(opens)), F.regexp_count(x, F.lit(closes))
-    return F.when(a > b, _keep_delimiters(x, opens, open_mark, b)).when(b > a, _keep_delimiters(x, closes, close_mark, a)).otherwise(x)
+    def cut(t: Column) -> Column:
+        a, b = F.regexp_count(t, F.lit(opens)), F.regexp_count(t, F.lit(closes))
+        return F.when(a > b, _keep_delimiters(t, opens, open_mark, b)).when(b > a, _keep_delimiters(t, closes, close_mark, a)).otherwise(t)
+
+    return let(x, cut)
 
 
 def balance_delimiters(x: Column | str, opening: str = r"\(", closing: str = r"\)") -> Column:
@@ -231,8 +238,8 @@ def balance_braces(x: Column | str, opening: str = "{", closing: str = "}") -> C
 
 def balance_dollars(x: Column | str) -> Column:
     """T-26: of an odd number of dollar signs without a backslash, the last is removed."""
-    n = F.regexp_count(_c(x), F.lit(r"(?<!\\)\$"))
-    return F.when(n % 2 == 1, _keep_delimiters(_c(x), r"(?<!\\)\$", "$", n - 1)).otherwise(_c(x))
+    text = _c(x)
+    return let(F.regexp_count(text, F.lit(r"(?<!\\)\$")), lambda n: F.when(n % 2 == 1, _keep_delimiters(text, r"(?<!\\)\$", "$", n - 1)).otherwise(text))
 
 
 def clean_math(x: Column | str) -> Column:
@@ -313,12 +320,17 @@ def build_document(env: Column | str, code: Column | str, imports: Column | str,
     without external files, empty lines and what surrounds the environment. Sections stand apart by an empty line; that of the
     imports is there even if empty."""
     kept = F.filter(F.transform(lines(_c(imports)), strip), lambda s: ~F.startswith(s, F.lit("\\documentclass")) & _starts(s, KEPT_IMPORTS))
-    body = remove_empty_lines(remove_external(strip(code)))
-    colours = colour_definitions(macros, body)
     used = F.coalesce(_c(used_macros), F.lit("")) if used_macros is not None else F.lit("")
-    head = F.concat(F.lit(STANDALONE_CLASS), F.when(colours != "", F.concat(F.lit("\n\n"), colours)).otherwise(F.lit("")), F.when(used != "", F.concat(F.lit("\n\n"), used)).otherwise(F.lit("")))
-    picture = F.when(F.coalesce(_c(env), F.lit("")) == "", strip(body)).otherwise(trim_to_environment(body, _c(env)))
-    return F.array_join(F.array(head, strip(F.array_join(kept, "\n")), F.lit(BEGIN), picture, F.lit(END)), "\n\n")
+    place = "\x00"
+    section = lambda t: F.when(t != "", F.concat(F.lit("\n\n"), t)).otherwise(F.lit(""))
+
+    def whole(body: Column) -> Column:
+        head = F.concat(F.lit(STANDALONE_CLASS), let(colour_definitions(macros, body), section), F.lit(place))
+        picture = F.when(F.coalesce(_c(env), F.lit("")) == "", strip(body)).otherwise(trim_to_environment(body, _c(env)))
+        return F.array_join(F.array(head, strip(F.array_join(kept, "\n")), F.lit(BEGIN), picture, F.lit(END)), "\n\n")
+
+    # the macros may come from Python, which must not stand inside of a lambda
+    return F.replace(let(remove_empty_lines(remove_external(strip(F.replace(_c(code), F.lit(place), F.lit(""))))), whole), F.lit(place), section(used))
 
 
 def format_as_document(code: Column | str, preamble: Column | str, pre: Column | str | None = None, post: Column | str | None = None, instead: Column | str | None = None) -> Column:

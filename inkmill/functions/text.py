@@ -6,6 +6,8 @@ Null in, null out, unless said otherwise.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +20,12 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once for each row, however often it is used. Expressions with lambdas share
+    nothing by themselves, so nested uses would multiply."""
+    return F.transform(F.array(value), use)[0]
+
+
 def strip(x: Column | str) -> Column:
     """T-20: white space (Unicode) removed from both ends."""
     return F.regexp_replace(_c(x), rf"^{SPACE}++|{SPACE}++$", "")
@@ -98,29 +106,36 @@ def remove_line_prefix(x: Column | str, prefix: str = "%", exact: bool = False)
 
 def dedent(x: Column | str) -> Column:
     """T-21: the white space that all lines with text share at their start is removed; blank lines become empty."""
-    blank_less = F.transform(lines(x), lambda line: F.when(F.regexp_like(line, F.lit(r"^[ \t]*+$")), F.lit("")).otherwise(line))
-    leads = F.transform(F.filter(blank_less, lambda line: line != ""), lambda line: F.regexp_extract(line, r"^([ \t]*+)", 1))
-    # the common prefix of all is that of the least and the greatest
-    low, high = F.array_min(leads), F.array_max(leads)
-    size = F.aggregate(
-        F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(low))),
-        F.lit(0),
-        lambda n, i: F.when((n == i - 1) & (i <= F.length(low)) & (F.substr(low, i, F.lit(1)) == F.substr(high, i, F.lit(1))), i).otherwise(n),
-    )
-    return F.array_join(F.transform(blank_less, lambda line: F.when(line == "", line).otherwise(F.substr(line, F.coalesce(size, F.lit(0)) + 1))), "\n")
+
+    def cut(blank_less: Column) -> Column:
+        leads = F.transform(F.filter(blank_less, lambda line: line != ""), lambda line: F.regexp_extract(line, r"^([ \t]*+)", 1))
+        # the common prefix of all is that of the least and the greatest
+        return let(let(leads, lambda v: F.array(F.array_min(v), F.array_max(v))), lambda v: joined(blank_less, common(v[0], v[1])))
+
+    def common(low: Column, high: Column) -> Column:
+        return F.aggregate(
+            F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(low))),
+            F.lit(0),
+            lambda n, i: F.when((n == i - 1) & (i <= F.length(low)) & (F.substr(low, i, F.lit(1)) == F.substr(high, i, F.lit(1))), i).otherwise(n),
+        )
+
+    def joined(blank_less: Column, size: Column) -> Column:
+        return let(F.coalesce(size, F.lit(0)), lambda n: F.array_join(F.transform(blank_less, lambda line: F.when(line == "", line).otherwise(F.substr(line, n + 1))), "\n"))
+
+    return let(F.transform(lines(x), lambda line: F.when(F.regexp_like(line, F.lit(r"^[ \t]*+$")), F.lit("")).otherwise(line)), cut)
 
 
 def clean_block(x: Column | str, prefix: Column | str | None = None) -> Column:
     """T-06: dedented and cleaned; code whose every line is a comment is uncommented, and else the first occurrence of
     the (cleaned) prefix is removed. Null stays null; a null or empty prefix removes nothing."""
-    code = _c(x)
-    base = dedent(code)
-    opened = strip(remove_line_prefix(base))
-    plain = clean_code(base)
-    head = F.coalesce(clean_code(dedent(_c(prefix))), F.lit("")) if prefix is not None else F.lit("")
-    at = F.position(head, plain)
-    cut = F.when((head != "") & (at > 0), strip(F.concat(F.substr(plain, F.lit(1), at - 1), F.substr(plain, at + F.length(head))))).otherwise(plain)
-    return F.when(all_lines_start_with(base) & ~is_blank(base), opened).otherwise(cut)
+    head = F.coalesce(clean_code(dedent(_c(prefix))), F.lit("")) if prefix is not None else None
+
+    def without(plain: Column) -> Column:
+        if head is None:
+            return plain
+        return let(head, lambda h: let(F.position(h, plain), lambda at: F.when((h != "") & (at > 0), strip(F.concat(F.substr(plain, F.lit(1), at - 1), F.substr(plain, at + F.length(h))))).otherwise(plain)))
+
+    return let(dedent(_c(x)), lambda base: F.when(all_lines_start_with(base) & ~is_blank(base), strip(remove_line_prefix(base))).otherwise(let(clean_code(base), without)))
 
 
 def remove_empty_lines(x: Column | str) -> Column:
@@ -172,14 +187,13 @@ def _from_backslash_to_line_end(x: Column) -> Column:
 
 def extract_code(x: Column | str) -> Column:
     """T-32: from the first backslash to the end of the line of the last one, stripped; empty if there is none."""
-    return strip(_from_backslash_to_line_end(_c(x)))
+    return strip(let(_c(x), _from_backslash_to_line_end))
 
 
 def extract_repair(x: Column | str) -> Column:
     """T-33: as T-32 after the reasoning (``<think>`` to ``</think>``) is removed; the whole answer if there is no code."""
     answer = F.regexp_replace(_c(x), r"(?s)<think>.*?</think>\s*", "")
-    code = extract_code(answer)
-    return F.when(code == "", strip(answer)).otherwise(code)
+    return let(answer, lambda a: let(extract_code(a), lambda code: F.when(code == "", strip(a)).otherwise(code)))
 
 
 def extract_answer(x: Column | str) -> Column:

@@ -21,7 +21,7 @@ from inkmill.operators import relational as R
 from inkmill.operators import sampling as O
 from inkmill.plans import curated_pairs, evaluation
 from inkmill.plans import extraction as figures_plan
-from inkmill.session import checkpoint_dir
+from inkmill.session import checkpoint_dir, shuffle_partitions, spread
 from inkmill.sources.files import month_ranges
 from inkmill.sources.tables import read_table
 from inkmill.streaming import assembly as S
@@ -342,7 +342,7 @@ def _(spark, d):
 
 @query("figure_documents")
 def _(spark, d):
-    return figures_plan.extract_figures(read_table(spark, d, "documents"), "doc_id", "text", balanced=True)
+    return figures_plan.extract_figures(spread(read_table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text", balanced=True)
 
 
 over("paragraphs", "documents", None, "doc_id", F.explode(X.paragraphs("text")).alias("paragraph"))
@@ -479,7 +479,8 @@ def _(spark, d):
 
 def _repaired(spark, d):
     rows = curated_pairs.with_repairs(read_table(spark, d, "corpus").select("file_id", "code", "code_new"), read_table(spark, d, "repair_responses"))
-    return rows.where("code is not null and code_new is not null").select("file_id", Q.lexed("code").alias("reference"), Q.lexed("code_new").alias("hypothesis"))
+    rows = rows.where("code is not null and code_new is not null").repartition(shuffle_partitions(spark), "file_id")
+    return rows.select("file_id", Q.lexed("code").alias("reference"), Q.lexed("code_new").alias("hypothesis"))
 
 
 @query("crystal_bleu")
@@ -491,6 +492,7 @@ def _(spark, d):
 @query("tex_edit_distance")
 def _(spark, d):
     rows = curated_pairs.with_repairs(read_table(spark, d, "corpus").select("file_id", "code", "code_new"), read_table(spark, d, "repair_responses")).where("code is not null and code_new is not null")
+    rows = rows.repartition(shuffle_partitions(spark), "file_id")
     return rows.select("file_id", F.round(M.tex_edit_distance(Q.lexed(L.relevant_code("code_new"), True), Q.lexed(L.relevant_code("code"), True)), 6).alias("distance"))
 
 

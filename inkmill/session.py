@@ -47,3 +47,10 @@ def materialise(df: DataFrame) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with fewer parts than the session has cores, cut into as many; larger ones stay as they are, unshuffled. For costly
+    work on small tables only; ``df`` must be a plain scan with filters, as its plan is looked at."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
