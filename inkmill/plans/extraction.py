@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from inkmill.functions.extraction import figures, text_mentions
 from inkmill.functions.latex import as_document, build_document, clean_caption, has_picture, is_uncompilable, preamble_parts
 from inkmill.functions.macros import used_macros
-from inkmill.functions.text import clean_block
+from inkmill.functions.text import clean_block, let
 
 
 def extract_figures(papers: DataFrame, key: str, text: str, balanced: bool = False) -> DataFrame:
@@ -20,9 +20,9 @@ def extract_figures(papers: DataFrame, key: str, text: str, balanced: bool = Fal
     wanted = papers.select(key, text).where(has_picture(text))
     parsed = wanted.select(key, text, preamble_parts(as_document(text)).alias("__pre"), figures(text, balanced).alias("__figures"))
     fields = lambda f: F.named_struct(F.lit("env"), f["env"], F.lit("start"), f["start"], F.lit("body"), clean_block(f["code"]), F.lit("caption"), clean_caption(f["caption"]), F.lit("label"), f["label"])
-    cleaned = parsed.select(key, text, "__pre", F.transform("__figures", fields).alias("__figures"))
-    first = F.filter("__figures", lambda f, i: (F.array_position(F.col("__figures.body"), f["body"]) == i + 1) & (f["body"] != ""))
-    once = cleaned.select(key, text, "__pre", F.explode(first).alias("f")).select(key, text, "__pre", "f.*")
+    distinct = lambda c: F.filter(c, lambda f, i: (F.array_position(c["body"], f["body"]) == i + 1) & (f["body"] != ""))
+    once = parsed.select(key, text, "__pre", F.explode(let(F.transform("__figures", fields), distinct)).alias("f")).select(key, text, "__pre", "f.*")
+    # tested on the parts: a filter on the document would build it again
+    once = once.where(~is_uncompilable("body") & ~is_uncompilable("__pre.imports"))
     document = build_document(F.col("env"), F.col("body"), F.col("__pre.imports"), F.col("__pre.macros"), used_macros(F.col("__pre.macros"), F.col("body")))
-    rows = once.select(F.concat_ws("_", F.col(key).cast("string"), F.col("start").cast("string")).alias("file_id"), key, "caption", document.alias("code"), text_mentions(text, "label").alias("text_mentions"))
-    return rows.where(~is_uncompilable("code"))
+    return once.select(F.concat_ws("_", F.col(key).cast("string"), F.col("start").cast("string")).alias("file_id"), key, "caption", document.alias("code"), text_mentions(text, "label").alias("text_mentions"))
