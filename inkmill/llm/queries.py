@@ -88,5 +88,25 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p1_found, p1_collapsed, p2_found, p2_report, p2_limits, p3_found, p3_report, p4_found, p4_classes, p4_groups, p5_packing, p5_report, p6_draws, p6_usage, p6_shares, p7_found)}
 
 
+_FOLD = r"regexp_replace(lower({0}), '[^\p{{L}}\p{{Nd}}]', '', 'g')"
+_WORDS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{Nd}}]+')"
+_CANON = rf"""(select file_id, n, cap, array_to_string(list_transform(range(1, len(o) + 1), lambda i: {_FOLD.format("o[i]")} || coalesce(array_to_string(list_sort(list_transform(string_split(g[i], ','), lambda e: {_FOLD.format("e")})), ''), '')), '') as canon
+from (select file_id, string_split_regex(code, '\[[^\[\]]*\]') as o, regexp_extract_all(code, '\[([^\[\]]*)\]', 1) as g, {_FOLD.format("caption")} as cap, len({_WORDS.format("code")}) as n
+from (select file_id, coalesce(code, '') as code, coalesce(caption, '') as caption from corpus) a) b)"""
+
+
+def _passages(table: str, key: str, column: str, span: int) -> str:
+    return f"(select distinct {key}, array_to_string(w[i:i + {span - 1}], ' ') as passage from (select {key}, w, unnest(range(1, len(w) - {span - 2})) as i from (select {key}, {_WORDS.format(column)} as w from {table}) a where len(w) >= {span}) b)"
+
+
+_SHARED = " union ".join(f"select e.figure_id, c.file_id from {_passages('eval_gt', 'figure_id', c, n)} e join {_passages('corpus', 'file_id', c, n)} c using (passage)" for c, n in (("code", 30), ("new_caption", 13)))
+_SHINGLES = f"(select distinct file_id, array_to_string(w[i:i + 4], ' ') as s from (select file_id, w, unnest(range(1, len(w) - 3)) as i from (select file_id, {_WORDS.format('code')} as w from corpus) a where len(w) >= 40) b)"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p1_found": f"select first as file_id_a, file_id as file_id_b from (select file_id, min(file_id) over (partition by canon, cap) as first from {_CANON} c where n >= 40) d where first <> file_id",
+        "p1_collapsed": f"select min(file_id) as file_id, count(*)::bigint as copies from {_CANON} c group by canon, cap",
+        "p3_found": _SHARED,
+        "p4_found": f"with s as materialized {_SHINGLES}, n as (select file_id, count(*) as n from s group by file_id), p as (select a.file_id as file_id_a, b.file_id as file_id_b, count(*) as k from s a join s b on a.s = b.s and a.file_id < b.file_id group by all) select file_id_a, file_id_b from p join n x on x.file_id = file_id_a join n y on y.file_id = file_id_b where 10 * k >= 7 * (x.n + y.n - k)",
+    }
