@@ -205,11 +205,12 @@ def _compare(batches):
 
 def _round(text: DataFrame, min_words: int, seed: int) -> tuple[DataFrame, DataFrame]:
     """(id, rep) of the groups by hash, rows alone included, and (id, rep, ok) of the members compared with their first."""
-    prints = text.mapInArrow(_prints(seed), "id string, print long, print_2 long, n_words int").where(F.col("n_words") >= min_words)
+    # read twice below, and far smaller than the texts
+    prints = materialise(text.mapInArrow(_prints(seed), "id string, print long, print_2 long, n_words int").where(F.col("n_words") >= min_words).drop("n_words"))
     reps = prints.groupBy("print", "print_2").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
-    grouped = materialise(prints.join(reps, ["print", "print_2"]).select("id", "rep", "n"))
+    grouped = prints.join(reps, ["print", "print_2"]).select("id", "rep", "n")
     # a record that comes more than once under one id is one record
-    pairs = grouped.where("n > 1 and id <> rep").select("id", "rep", "n")
+    pairs = materialise(grouped.where("n > 1 and id <> rep").select("id", "rep", "n"))
     wanted = pairs.select(F.explode(F.array("id", "rep")).alias("id")).distinct()
     if pairs.count() * 2 <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
