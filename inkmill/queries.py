@@ -41,13 +41,13 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def over(name: str, table: str, sql: str | None, *columns, where: str | None = None) -> None:
-    """A query that selects columns from one table."""
+def over(name: str, table: str, sql: str | None, columns: Callable[[], list], where: str | None = None) -> None:
+    """A query that selects columns from one table. They are made when it runs, as columns need a session."""
 
     @query(name, sql)
     def run(spark: SparkSession, d: str) -> DataFrame:
         df = read_table(spark, d, table)
-        return (df.where(where) if where else df).select(*columns)
+        return (df.where(where) if where else df).select(*columns())
 
 
 # --- SQL by parts ---------------------------------------------------------------------------------------------------
@@ -259,19 +259,19 @@ def _(spark, d):
 
 
 # --- text -----------------------------------------------------------------------------------------------------------
-over("clean_code", "corpus", f"select file_id, {s_clean('code')} as code from corpus where code is not null", "file_id", T.clean_code("code").alias("code"), where="code is not null")
-over("drop_comment_lines", "corpus", f"select file_id, {s_strip(s_join(f'''list_filter({s_lines('code')}, lambda l: not starts_with({s_lstrip('l')}, '%'))'''))} as code from corpus where code is not null", "file_id", T.drop_comment_lines("code").alias("code"), where="code is not null")
-over("strip_text", "corpus", f"select file_id, {s_strip('caption')} as caption, {s_blank('caption')} as blank from corpus", "file_id", T.strip("caption").alias("caption"), T.is_blank("caption").alias("blank"))
-over("collapse_space", "documents", f"select doc_id, {s_collapse('text')} as text from documents", "doc_id", T.collapse_space("text").alias("text"))
-over("truncate_500", "documents", "select doc_id, left(text, 500) as text from documents", "doc_id", T.truncate("text").alias("text"))
-over("first_lines", "corpus", f"select file_id, {s_join(s_lines('code') + '[1:5]')} as head from corpus where code is not null", "file_id", T.first_lines("code", 5).alias("head"), where="code is not null")
-over("last_lines", "corpus", f"select file_id, {s_join(s_lines('code') + '[-5:]')} as tail from corpus where code is not null", "file_id", T.last_lines("code", 5).alias("tail"), where="code is not null")
-over("normalise_text", "documents", r"select doc_id, regexp_replace(lower(text), '[^a-z0-9\s\x0b]', '', 'g') as text from documents", "doc_id", T.normalise("text").alias("text"))
-over("remove_empty_lines", "corpus", f"select file_id, {s_join(f'''list_filter({s_lines('code')}, lambda l: not {s_blank('l')})''')} as code from corpus where code is not null", "file_id", T.remove_empty_lines("code").alias("code"), where="code is not null")
-over("all_commented", "corpus", f"select file_id, len(list_filter({s_lines('code')}, lambda l: not ({s_blank('l')} or starts_with({s_lstrip('l')}, '%')))) = 0 as commented from corpus where code is not null", "file_id", T.all_lines_start_with("code").alias("commented"), where="code is not null")
-over("uncomment", "corpus", f"select file_id, {s_join(f'''list_transform({s_lines('code')}, lambda l: regexp_replace(l, '^{S_}*%', ''))''')} as code from corpus where code is not null", "file_id", T.remove_line_prefix("code").alias("code"), where="code is not null")
+over("clean_code", "corpus", f"select file_id, {s_clean('code')} as code from corpus where code is not null", lambda: ["file_id", T.clean_code("code").alias("code")], where="code is not null")
+over("drop_comment_lines", "corpus", f"select file_id, {s_strip(s_join(f'''list_filter({s_lines('code')}, lambda l: not starts_with({s_lstrip('l')}, '%'))'''))} as code from corpus where code is not null", lambda: ["file_id", T.drop_comment_lines("code").alias("code")], where="code is not null")
+over("strip_text", "corpus", f"select file_id, {s_strip('caption')} as caption, {s_blank('caption')} as blank from corpus", lambda: ["file_id", T.strip("caption").alias("caption"), T.is_blank("caption").alias("blank")])
+over("collapse_space", "documents", f"select doc_id, {s_collapse('text')} as text from documents", lambda: ["doc_id", T.collapse_space("text").alias("text")])
+over("truncate_500", "documents", "select doc_id, left(text, 500) as text from documents", lambda: ["doc_id", T.truncate("text").alias("text")])
+over("first_lines", "corpus", f"select file_id, {s_join(s_lines('code') + '[1:5]')} as head from corpus where code is not null", lambda: ["file_id", T.first_lines("code", 5).alias("head")], where="code is not null")
+over("last_lines", "corpus", f"select file_id, {s_join(s_lines('code') + '[-5:]')} as tail from corpus where code is not null", lambda: ["file_id", T.last_lines("code", 5).alias("tail")], where="code is not null")
+over("normalise_text", "documents", r"select doc_id, regexp_replace(lower(text), '[^a-z0-9\s\x0b]', '', 'g') as text from documents", lambda: ["doc_id", T.normalise("text").alias("text")])
+over("remove_empty_lines", "corpus", f"select file_id, {s_join(f'''list_filter({s_lines('code')}, lambda l: not {s_blank('l')})''')} as code from corpus where code is not null", lambda: ["file_id", T.remove_empty_lines("code").alias("code")], where="code is not null")
+over("all_commented", "corpus", f"select file_id, len(list_filter({s_lines('code')}, lambda l: not ({s_blank('l')} or starts_with({s_lstrip('l')}, '%')))) = 0 as commented from corpus where code is not null", lambda: ["file_id", T.all_lines_start_with("code").alias("commented")], where="code is not null")
+over("uncomment", "corpus", f"select file_id, {s_join(f'''list_transform({s_lines('code')}, lambda l: regexp_replace(l, '^{S_}*%', ''))''')} as code from corpus where code is not null", lambda: ["file_id", T.remove_line_prefix("code").alias("code")], where="code is not null")
 over("log_excerpt", "corpus", f"""select file_id, case when coalesce(log, '') = '' then '' when p is not null then array_to_string(l[greatest(1, p - 3):p + 29], chr(10)) else array_to_string(l[-30:], chr(10)) end as excerpt
-from (select file_id, log, l, list_position(list_transform(l, lambda x: starts_with(x, '! ')), true) as p from (select file_id, log, {s_lines("coalesce(log, '')")} as l from corpus) t) u""", "file_id", T.log_excerpt("log").alias("excerpt"))
+from (select file_id, log, l, list_position(list_transform(l, lambda x: starts_with(x, '! ')), true) as p from (select file_id, log, {s_lines("coalesce(log, '')")} as l from corpus) t) u""", lambda: ["file_id", T.log_excerpt("log").alias("excerpt")])
 _FIRST, _LAST = "instr({0}, chr(92))", "(length({0}) - instr(reverse({0}), chr(92)) + 1)"
 
 
@@ -282,43 +282,43 @@ def s_code_of(x: str) -> str:
 
 
 _ANSWER = r"regexp_replace(response, '(?s)<think>.*?</think>\s*', '', 'g')"
-over("extract_code", "repair_responses", f"select file_id, {s_code_of('response')} as code from repair_responses where response is not null", "file_id", T.extract_code("response").alias("code"), where="response is not null")
-over("extract_repair", "repair_responses", f"select file_id, case when {s_code_of('a')} = '' then {s_strip('a')} else {s_code_of('a')} end as code from (select file_id, {_ANSWER} as a from repair_responses where response is not null) t", "file_id", T.extract_repair("response").alias("code"), where="response is not null")
+over("extract_code", "repair_responses", f"select file_id, {s_code_of('response')} as code from repair_responses where response is not null", lambda: ["file_id", T.extract_code("response").alias("code")], where="response is not null")
+over("extract_repair", "repair_responses", f"select file_id, case when {s_code_of('a')} = '' then {s_strip('a')} else {s_code_of('a')} end as code from (select file_id, {_ANSWER} as a from repair_responses where response is not null) t", lambda: ["file_id", T.extract_repair("response").alias("code")], where="response is not null")
 over("extract_answer", "repair_responses", rf"""select file_id, case when f = 0 then '' when e >= f then substr(response, f, e + 14 - f) else substr(response, f, {_LAST.format('response')} - f + 1) end as code
-from (select file_id, response, instr(response, chr(92)) as f, instr(response, '\end{{document}}') as e from repair_responses where response is not null) t""", "file_id", T.extract_answer("response").alias("code"), where="response is not null")
-over("extract_document", "corpus", rf"select file_id, nullif(regexp_extract(code, '{T.STANDALONE}', 0), '') as document from corpus", "file_id", T.extract_document("code").alias("document"))
-over("hashes", "corpus", "select file_id, sha256(code) as sha256, sha1(code) as sha1, md5(code) as md5, to_base64(encode(caption)) as base64 from corpus", "file_id", T.code_hash("code").alias("sha256"), F.sha1("code").alias("sha1"), F.md5("code").alias("md5"), T.base64_text("caption").alias("base64"))
-over("insert_line", "corpus", rf"select file_id, array_to_string({s_lines('code')}[1:1] || ['\AtBeginDocument{{}}'] || {s_lines('code')}[2:], chr(10)) as code from corpus where code is not null", "file_id", T.insert_after_first_line("code", r"\AtBeginDocument{}").alias("code"), where="code is not null")
-over("description", "posts", f"select id, {s_strip('''concat_ws(chr(10) || chr(10), title, body)''')} as description from posts", "id", T.description("title", "body").alias("description"))
+from (select file_id, response, instr(response, chr(92)) as f, instr(response, '\end{{document}}') as e from repair_responses where response is not null) t""", lambda: ["file_id", T.extract_answer("response").alias("code")], where="response is not null")
+over("extract_document", "corpus", rf"select file_id, nullif(regexp_extract(code, '{T.STANDALONE}', 0), '') as document from corpus", lambda: ["file_id", T.extract_document("code").alias("document")])
+over("hashes", "corpus", "select file_id, sha256(code) as sha256, sha1(code) as sha1, md5(code) as md5, to_base64(encode(caption)) as base64 from corpus", lambda: ["file_id", T.code_hash("code").alias("sha256"), F.sha1("code").alias("sha1"), F.md5("code").alias("md5"), T.base64_text("caption").alias("base64")])
+over("insert_line", "corpus", rf"select file_id, array_to_string({s_lines('code')}[1:1] || ['\AtBeginDocument{{}}'] || {s_lines('code')}[2:], chr(10)) as code from corpus where code is not null", lambda: ["file_id", T.insert_after_first_line("code", r"\AtBeginDocument{}").alias("code")], where="code is not null")
+over("description", "posts", f"select id, {s_strip('''concat_ws(chr(10) || chr(10), title, body)''')} as description from posts", lambda: ["id", T.description("title", "body").alias("description")])
 over("paper_id", "documents", r"""select doc_id, case when not regexp_matches(x, '^[a-zA-Z-]*[\d.]+$') then null when regexp_matches(x, '^[\d.]+$') then x else regexp_replace(x, '^([a-zA-Z-]*)([\d.]+)$', '\1/\2') end as paper, split_part(x, 'v', 1) as unversioned
 from (select doc_id, regexp_replace(origin, '^\w+:', case when doc_id % 2 = 0 then 'math' else '' end) as x from documents where origin is not null) t""",
-     "doc_id", T.paper_id(F.regexp_replace("origin", r"^\w+:", F.when(F.col("doc_id") % 2 == 0, F.lit("math")).otherwise(F.lit("")))).alias("paper"), T.strip_version(F.regexp_replace("origin", r"^\w+:", F.when(F.col("doc_id") % 2 == 0, F.lit("math")).otherwise(F.lit("")))).alias("unversioned"), where="origin is not null")
+     lambda: ["doc_id", T.paper_id(F.regexp_replace("origin", r"^\w+:", F.when(F.col("doc_id") % 2 == 0, F.lit("math")).otherwise(F.lit("")))).alias("paper"), T.strip_version(F.regexp_replace("origin", r"^\w+:", F.when(F.col("doc_id") % 2 == 0, F.lit("math")).otherwise(F.lit("")))).alias("unversioned")], where="origin is not null")
 over("title_rules", "documents", r"""select doc_id, n as stem, replace(n, '-', ' ') as spaces, regexp_replace(n, '^.*-', '') as last_dash from (select doc_id, regexp_replace(regexp_replace(origin, '^.*/', ''), '\.[^.]*$', '') as n from documents where origin is not null) t""",
-     "doc_id", T.title_from_name("origin").alias("stem"), T.title_from_name("origin", "spaces").alias("spaces"), T.title_from_name("origin", "last_dash").alias("last_dash"), where="origin is not null")
+     lambda: ["doc_id", T.title_from_name("origin").alias("stem"), T.title_from_name("origin", "spaces").alias("spaces"), T.title_from_name("origin", "last_dash").alias("last_dash")], where="origin is not null")
 
 # --- LaTeX ----------------------------------------------------------------------------------------------------------
-over("has_picture", "documents", f"select doc_id, {s_contains_any('text', L.PICTURES)} as picture, {' or '.join(rf'''(contains(text, '\begin{{{e}}}') and contains(text, '\end{{{e}}}'))''' for e in L.CODE_ENVIRONMENTS)} as paired from documents where text is not null", "doc_id", L.has_picture("text").alias("picture"), L.has_paired_environment("text").alias("paired"), where="text is not null")
-over("uncompilable", "corpus", r"select file_id, regexp_matches(lower(code), '\\usetikzlibrary\{[^}]*animations[^}]*\}') or regexp_matches(lower(code), '\\usepgfmodule\{[^}]*animations[^}]*\}') or regexp_matches(code, '\\pgfmathprintnumber\s*\{[^}]+\}') as uncompilable from corpus where code is not null", "file_id", L.is_uncompilable("code").alias("uncompilable"), where="code is not null")
-over("remove_external", "documents", f"select doc_id, {s_drop('text', *L.EXTERNAL)} as text from documents", "doc_id", L.remove_external("text").alias("text"))
-over("replace_graphics", "documents", r"select doc_id, regexp_replace(text, '(\\includegraphics\*?(?:\[.*?\]){0,2})\{.+?\}', '\1{example-image}', 'g') as text from documents", "doc_id", L.replace_graphics("text").alias("text"))
-over("standard_class", "corpus", r"select file_id, regexp_replace(code, '\\documentclass(\[.*?\])?\{(article|report|book|scrartcl)\}', '\\documentclass[tikz]{standalone}', 'g') as code from corpus", "file_id", L.standard_class("code").alias("code"))
-over("required_packages", "corpus", f"select file_id, {s_detect('code', L.PACKAGES)} as packages, {s_detect('code', L.LIBRARIES)} as libraries from corpus where code is not null", "file_id", L.required_packages("code").alias("packages"), L.required_libraries("code").alias("libraries"), where="code is not null")
+over("has_picture", "documents", f"select doc_id, {s_contains_any('text', L.PICTURES)} as picture, {' or '.join(rf'''(contains(text, '\begin{{{e}}}') and contains(text, '\end{{{e}}}'))''' for e in L.CODE_ENVIRONMENTS)} as paired from documents where text is not null", lambda: ["doc_id", L.has_picture("text").alias("picture"), L.has_paired_environment("text").alias("paired")], where="text is not null")
+over("uncompilable", "corpus", r"select file_id, regexp_matches(lower(code), '\\usetikzlibrary\{[^}]*animations[^}]*\}') or regexp_matches(lower(code), '\\usepgfmodule\{[^}]*animations[^}]*\}') or regexp_matches(code, '\\pgfmathprintnumber\s*\{[^}]+\}') as uncompilable from corpus where code is not null", lambda: ["file_id", L.is_uncompilable("code").alias("uncompilable")], where="code is not null")
+over("remove_external", "documents", f"select doc_id, {s_drop('text', *L.EXTERNAL)} as text from documents", lambda: ["doc_id", L.remove_external("text").alias("text")])
+over("replace_graphics", "documents", r"select doc_id, regexp_replace(text, '(\\includegraphics\*?(?:\[.*?\]){0,2})\{.+?\}', '\1{example-image}', 'g') as text from documents", lambda: ["doc_id", L.replace_graphics("text").alias("text")])
+over("standard_class", "corpus", r"select file_id, regexp_replace(code, '\\documentclass(\[.*?\])?\{(article|report|book|scrartcl)\}', '\\documentclass[tikz]{standalone}', 'g') as code from corpus", lambda: ["file_id", L.standard_class("code").alias("code")])
+over("required_packages", "corpus", f"select file_id, {s_detect('code', L.PACKAGES)} as packages, {s_detect('code', L.LIBRARIES)} as libraries from corpus where code is not null", lambda: ["file_id", L.required_packages("code").alias("packages"), L.required_libraries("code").alias("libraries")], where="code is not null")
 over("build_preamble", "corpus", rf"""select file_id, '\documentclass[tikz]{{standalone}}' || coalesce(array_to_string(list_transform(p, lambda x: chr(10) || '\usepackage{{' || x || '}}'), ''), '') || case when len(l) > 0 then chr(10) || '\usetikzlibrary{{' || array_to_string(l, ',') || '}}' else '' end as preamble
-from (select file_id, {s_detect('code', L.PACKAGES)} as p, {s_detect('code', L.LIBRARIES)} as l from corpus where code is not null) t""", "file_id", L.build_preamble(L.required_packages("code"), L.required_libraries("code")).alias("preamble"), where="code is not null")
-over("plot_preamble", "corpus", "select file_id, " + " || ".join([rf"'{L.PLOT_PREAMBLE[0]}'", "chr(10)", rf"'{L.PLOT_PREAMBLE[1]}'", *(f"case when {s_contains_any('code', w)} then chr(10) || '{line}' else '' end" for w, line in L.PLOT_LINES)]) + " as preamble from corpus where code is not null", "file_id", L.plot_preamble("code").alias("preamble"), where="code is not null")
+from (select file_id, {s_detect('code', L.PACKAGES)} as p, {s_detect('code', L.LIBRARIES)} as l from corpus where code is not null) t""", lambda: ["file_id", L.build_preamble(L.required_packages("code"), L.required_libraries("code")).alias("preamble")], where="code is not null")
+over("plot_preamble", "corpus", "select file_id, " + " || ".join([rf"'{L.PLOT_PREAMBLE[0]}'", "chr(10)", rf"'{L.PLOT_PREAMBLE[1]}'", *(f"case when {s_contains_any('code', w)} then chr(10) || '{line}' else '' end" for w, line in L.PLOT_LINES)]) + " as preamble from corpus where code is not null", lambda: ["file_id", L.plot_preamble("code").alias("preamble")], where="code is not null")
 _FILTERED = rf"regexp_replace({s_drop('l', r'\\input\{[^}]*\}', r'\\includegraphics(?:\[[^\]]*\])?\{[^}]*\}', r'\\includepdf(?:\[[^\]]*\])?\{[^}]*\}')}, '\{{\s*\}}', '{{}}', 'g')"
-over("filter_lines", "corpus", rf"select file_id, {s_join(f'''list_filter(list_transform({s_lines('code')}, lambda l: {_FILTERED}), lambda x: not {s_blank('x')} and not starts_with({s_strip('x')}, '%') and not contains(x, '\maketitle') and not contains(x, '\tableofcontents'))''')} as code from corpus where code is not null", "file_id", L.filter_lines("code").alias("code"), where="code is not null")
-over("label_of", "documents", r"select doc_id, trim(regexp_extract(text, '\\label\{([^\}]+)\}', 1)) as label from documents where text is not null", "doc_id", L.label_of("text").alias("label"), where="text is not null")
+over("filter_lines", "corpus", rf"select file_id, {s_join(rf'''list_filter(list_transform({s_lines('code')}, lambda l: {_FILTERED}), lambda x: not {s_blank('x')} and not starts_with({s_strip('x')}, '%') and not contains(x, '\maketitle') and not contains(x, '\tableofcontents'))''')} as code from corpus where code is not null", lambda: ["file_id", L.filter_lines("code").alias("code")], where="code is not null")
+over("label_of", "documents", r"select doc_id, trim(regexp_extract(text, '\\label\{([^\}]+)\}', 1)) as label from documents where text is not null", lambda: ["doc_id", L.label_of("text").alias("label")], where="text is not null")
 over("trim_environment", "corpus", rf"""select file_id, {s_strip(r'''case when strpos(reverse(split_part(reverse(c), chr(10), 1)), '\end{tikzpicture}') > 0 then left(c, length(c) - length(split_part(reverse(c), chr(10), 1)) + strpos(reverse(split_part(reverse(c), chr(10), 1)), '\end{tikzpicture}') + 16) else c end''')} as code
-from (select file_id, case when strpos(code, '\begin{{tikzpicture}}') > 0 then substr(code, strpos(code, '\begin{{tikzpicture}}')) else code end as c from corpus where code is not null) t""", "file_id", L.trim_to_environment("code", "tikzpicture").alias("code"), where="code is not null")
-over("clean_caption", "corpus", None, "file_id", L.clean_caption("caption").alias("caption"))
-over("balance_dollars", "corpus", r"""select file_id, case when len(regexp_extract_all(replace(caption, '\$', ''), '\$')) % 2 = 1 then regexp_replace(caption, '(?s)^(.*)\$', '\1') else caption end as caption from corpus where caption is not null and not contains(caption, '\$')""", "file_id", L.balance_dollars("caption").alias("caption"), where=r"caption is not null and not contains(caption, '\\$')")
-over("preamble_parts", "corpus", None, "file_id", L.preamble_parts("code")["imports"].alias("imports"), L.preamble_parts("code")["macros"].alias("macros"))
-over("prefix_lines", "corpus", None, "file_id", L.prefix_lines("code").alias("prefix"))
-over("as_document", "corpus", None, "file_id", L.as_document("code").alias("document"))
-over("page_documents", "corpus", None, "file_id", F.size(L.page_documents("code")).cast("bigint").alias("n"), F.array_join(L.page_documents("code"), "\n").alias("documents"), where="code is not null")
-over("inject_package", "corpus", None, "file_id", L.inject_network_package("code").alias("code"))
-over("macro_expand", "corpus", None, "file_id", MX.expand_macros(L.preamble_parts("code")["macros"], F.col("code")).alias("expanded"), MX.used_macros(L.preamble_parts("code")["macros"], F.col("code")).alias("used"))
+from (select file_id, case when strpos(code, '\begin{{tikzpicture}}') > 0 then substr(code, strpos(code, '\begin{{tikzpicture}}')) else code end as c from corpus where code is not null) t""", lambda: ["file_id", L.trim_to_environment("code", "tikzpicture").alias("code")], where="code is not null")
+over("clean_caption", "corpus", None, lambda: ["file_id", L.clean_caption("caption").alias("caption")])
+over("balance_dollars", "corpus", r"""select file_id, case when len(regexp_extract_all(replace(caption, '\$', ''), '\$')) % 2 = 1 then regexp_replace(caption, '(?s)^(.*)\$', '\1') else caption end as caption from corpus where caption is not null and not contains(caption, '\$')""", lambda: ["file_id", L.balance_dollars("caption").alias("caption")], where=r"caption is not null and not contains(caption, '\\$')")
+over("preamble_parts", "corpus", None, lambda: ["file_id", L.preamble_parts("code")["imports"].alias("imports"), L.preamble_parts("code")["macros"].alias("macros")])
+over("prefix_lines", "corpus", None, lambda: ["file_id", L.prefix_lines("code").alias("prefix")])
+over("as_document", "corpus", None, lambda: ["file_id", L.as_document("code").alias("document")])
+over("page_documents", "corpus", None, lambda: ["file_id", F.size(L.page_documents("code")).cast("bigint").alias("n"), F.array_join(L.page_documents("code"), "\n").alias("documents")], where="code is not null")
+over("inject_package", "corpus", None, lambda: ["file_id", L.inject_network_package("code").alias("code")])
+over("macro_expand", "corpus", None, lambda: ["file_id", MX.expand_macros(L.preamble_parts("code")["macros"], F.col("code")).alias("expanded"), MX.used_macros(L.preamble_parts("code")["macros"], F.col("code")).alias("used")])
 
 # --- extraction -----------------------------------------------------------------------------------------------------
 _ENV_SQL = " union all ".join(rf"select doc_id, unnest(regexp_extract_all(text, '(?s)\\begin\{{{e}\}}.*?\\end\{{{e}\}}')) as code from documents" for e in L.PICTURES)
@@ -345,7 +345,7 @@ def _(spark, d):
     return figures_plan.extract_figures(spread(read_table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text", balanced=True)
 
 
-over("paragraphs", "documents", None, "doc_id", F.explode(X.paragraphs("text")).alias("paragraph"))
+over("paragraphs", "documents", None, lambda: ["doc_id", F.explode(X.paragraphs("text")).alias("paragraph")])
 
 
 @query("text_mentions")
@@ -359,10 +359,10 @@ def _(spark, d):
     return read_table(spark, d, "posts").select("id", F.explode(X.html_code_blocks("body")).alias("code"))
 
 
-over("html_text", "posts", "select id, " + s_strip(r"""replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(body, '(?s)<pre[^>]*>.*?</pre>', '', 'g'), '<[^>]+>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', chr(160)), '&amp;', '&')""") + " as text from posts", "id", X.html_text("body").alias("text"))
-over("page_title", "documents", r"""select doc_id, trim(split_part(regexp_extract(text, '(?s)<title>(.*?)</title>', 1), '–', 1)) as title from documents where contains(text, '</title>')""", "doc_id", X.page_title("text").alias("title"), where="contains(text, '</title>')")
-over("markdown_title", "documents", r"""select doc_id, nullif(trim(regexp_extract(text, '(?m)^# (.*)$', 1)), '') as title from documents where source = 'github'""", "doc_id", X.markdown_title("text").alias("title"), where="source = 'github'")
-over("relevant_code", "eval_gt", None, "figure_id", L.relevant_code("code").alias("code"))
+over("html_text", "posts", "select id, " + s_strip(r"""replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(body, '(?s)<pre[^>]*>.*?</pre>', '', 'g'), '<[^>]+>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', chr(160)), '&amp;', '&')""") + " as text from posts", lambda: ["id", X.html_text("body").alias("text")])
+over("page_title", "documents", r"""select doc_id, trim(split_part(regexp_extract(text, '(?s)<title>(.*?)</title>', 1), '–', 1)) as title from documents where contains(text, '</title>')""", lambda: ["doc_id", X.page_title("text").alias("title")], where="contains(text, '</title>')")
+over("markdown_title", "documents", r"""select doc_id, nullif(trim(regexp_extract(text, '(?m)^# (.*)$', 1)), '') as title from documents where source = 'github'""", lambda: ["doc_id", X.markdown_title("text").alias("title")], where="source = 'github'")
+over("relevant_code", "eval_gt", None, lambda: ["figure_id", L.relevant_code("code").alias("code")])
 
 
 @query("qa_code_documents")
@@ -384,7 +384,7 @@ def _(spark, d):
     return rows.select("question_id", "title", F.array_join(F.transform("answers", lambda a: a["answer_id"].cast("string")), ",").alias("answers"), F.size("answers").cast("bigint").alias("n"))
 
 
-over("post_tags", "posts", "select id, contains(tags, '<tikz-pgf>') and contains(tags, '<pgfplots>') as tagged from posts where tags is not null", "id", A.has_tags("tags", ["tikz-pgf", "pgfplots"]).alias("tagged"), where="tags is not null")
+over("post_tags", "posts", "select id, contains(tags, '<tikz-pgf>') and contains(tags, '<pgfplots>') as tagged from posts where tags is not null", lambda: ["id", A.has_tags("tags", ["tikz-pgf", "pgfplots"]).alias("tagged")], where="tags is not null")
 
 
 @query("context_frame", "select id, array_to_string(list(title) over (partition by posttypeid, month(creationdate) order by id rows between 1 preceding and 3 following), ' ') as context from (select id, posttypeid, creationdate, title from posts where title is not null and creationdate is not null group by all) t qualify row_number() over (partition by id) = 1")
@@ -440,14 +440,14 @@ def _(spark, d):
 
 # --- sequences, vectors ---------------------------------------------------------------------------------------------
 _TOK = r"length(regexp_replace(regexp_replace({0}, '\\[A-Za-z@]+|[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s\x0b]', chr(1), 'g'), '[^\x01]', '', 'g'))"
-over("token_count", "corpus", f"select file_id, coalesce({_TOK.format('code')}, 0)::bigint as tokens from corpus", "file_id", Q.pretoken_count("code").cast("bigint").alias("tokens"))
-over("token_budget", "corpus", rf"select file_id, coalesce(ends_with({s_strip('code')}, '\end{{document}}') and coalesce({_TOK.format('caption')}, 0) <= 512 and coalesce({_TOK.format('code')}, 0) + coalesce({_TOK.format('caption')}, 0) < 2048, false) as training, coalesce({_TOK.format('caption')}, 0) <= 512 and coalesce({_TOK.format('code')}, 0) <= 2048 as reward from corpus", "file_id", F.coalesce(Q.fits_training(F.col("code"), Q.pretoken_count("caption"), Q.pretoken_count("code") + Q.pretoken_count("caption")), F.lit(False)).alias("training"), Q.fits_reward(Q.pretoken_count("caption"), Q.pretoken_count("code")).alias("reward"))
-over("chat_format", "corpus", "select file_id, '<|im_start|>user' || chr(10) || '" + Q.REQUEST.replace("\n", "' || chr(10) || '") + "' || caption || '" + Q.FORM.replace("\n", "' || chr(10) || '") + "' || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) || code || '<|im_end|>' || chr(10) as chat from corpus where caption is not null and code is not null", "file_id", Q.chat([("user", Q.request_text("caption")), ("assistant", F.col("code"))]).alias("chat"), where="caption is not null and code is not null")
-over("label_mask", "corpus", "select file_id, array_to_string(list_transform(range(1, 13), lambda i: case when i <= length(source) then '-100' else (i * 7)::varchar end), ',') as labels from corpus where source is not null", "file_id", F.array_join(Q.label_mask(F.transform(F.sequence(F.lit(1), F.lit(12)), lambda i: i * 7), F.length("source")), ",").alias("labels"), where="source is not null")
-over("position_ids", "corpus", "select file_id, array_to_string(list_transform(range(1, 9), lambda i: case when i <= length(source) % 4 then '1' else (i - length(source) % 4 - 1)::varchar end), ',') as positions from corpus where source is not null", "file_id", F.array_join(Q.position_ids(F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: F.when(i <= F.length("source") % 4, 0).otherwise(1))), ",").alias("positions"), where="source is not null")
-over("image_prompt", "captions", "select file_id, repeat('<image>', 5) || new_caption || '</s>' as prompt from captions where new_caption is not null", "file_id", Q.image_prompt("new_caption", "<image>", 5, eos="</s>").alias("prompt"), where="new_caption is not null")
+over("token_count", "corpus", f"select file_id, coalesce({_TOK.format('code')}, 0)::bigint as tokens from corpus", lambda: ["file_id", Q.pretoken_count("code").cast("bigint").alias("tokens")])
+over("token_budget", "corpus", rf"select file_id, coalesce(ends_with({s_strip('code')}, '\end{{document}}') and coalesce({_TOK.format('caption')}, 0) <= 512 and coalesce({_TOK.format('code')}, 0) + coalesce({_TOK.format('caption')}, 0) < 2048, false) as training, coalesce({_TOK.format('caption')}, 0) <= 512 and coalesce({_TOK.format('code')}, 0) <= 2048 as reward from corpus", lambda: ["file_id", F.coalesce(Q.fits_training(F.col("code"), Q.pretoken_count("caption"), Q.pretoken_count("code") + Q.pretoken_count("caption")), F.lit(False)).alias("training"), Q.fits_reward(Q.pretoken_count("caption"), Q.pretoken_count("code")).alias("reward")])
+over("chat_format", "corpus", "select file_id, '<|im_start|>user' || chr(10) || '" + Q.REQUEST.replace("\n", "' || chr(10) || '") + "' || caption || '" + Q.FORM.replace("\n", "' || chr(10) || '") + "' || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) || code || '<|im_end|>' || chr(10) as chat from corpus where caption is not null and code is not null", lambda: ["file_id", Q.chat([("user", Q.request_text("caption")), ("assistant", F.col("code"))]).alias("chat")], where="caption is not null and code is not null")
+over("label_mask", "corpus", "select file_id, array_to_string(list_transform(range(1, 13), lambda i: case when i <= length(source) then '-100' else (i * 7)::varchar end), ',') as labels from corpus where source is not null", lambda: ["file_id", F.array_join(Q.label_mask(F.transform(F.sequence(F.lit(1), F.lit(12)), lambda i: i * 7), F.length("source")), ",").alias("labels")], where="source is not null")
+over("position_ids", "corpus", "select file_id, array_to_string(list_transform(range(1, 9), lambda i: case when i <= length(source) % 4 then '1' else (i - length(source) % 4 - 1)::varchar end), ',') as positions from corpus where source is not null", lambda: ["file_id", F.array_join(Q.position_ids(F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: F.when(i <= F.length("source") % 4, 0).otherwise(1))), ",").alias("positions")], where="source is not null")
+over("image_prompt", "captions", "select file_id, repeat('<image>', 5) || new_caption || '</s>' as prompt from captions where new_caption is not null", lambda: ["file_id", Q.image_prompt("new_caption", "<image>", 5, eos="</s>").alias("prompt")], where="new_caption is not null")
 over("resize_geometry", "part", """select p_partkey, w::int as width, h::int as height, floor((448 - w) / 2)::int as left_, floor((448 - h) / 2)::int as top_ from (select p_partkey, round_even(a * s, 0) as w, round_even(b * s, 0) as h from (select p_partkey, a, b, least(448.0::double / a, 448.0::double / b) as s from (select p_partkey, (p_size * 13 + 7)::double as a, (p_partkey % 700 + 40)::double as b from part) t) u) v""",
-     "p_partkey", *(M.padded_geometry((F.col("p_size") * 13 + 7).cast("double"), (F.col("p_partkey") % 700 + 40).cast("double"))[k].alias(n) for k, n in (("width", "width"), ("height", "height"), ("left", "left_"), ("top", "top_"))))
+     lambda: ["p_partkey", *(M.padded_geometry((F.col("p_size") * 13 + 7).cast("double"), (F.col("p_partkey") % 700 + 40).cast("double"))[k].alias(n) for k, n in (("width", "width"), ("height", "height"), ("left", "left_"), ("top", "top_")))])
 _PAIRED = "(select a.vec_id as a, b.vec_id as b, a.embedding as x, b.embedding as y from embeddings a join embeddings b on b.vec_id = a.vec_id + 1)"
 
 
