@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkmill.functions.sequences import all_ngrams
+from inkmill.functions.sequences import all_ngrams, ngrams
 from inkmill.functions.text import _c
 
 EPSILON = 1e-6
@@ -27,13 +27,15 @@ def trivial_ngrams(df: DataFrame, tokens: str, k: int = 500, most: int = 4) -> D
 
 def bleu_counts(df: DataFrame, key: str, hypothesis: str, reference: str, most: int = 4) -> DataFrame:
     """A-13: by row the clipped matches and totals of each order, and both lengths. Evaluated within the row."""
+
+    def matched(h: Column, r: Column) -> Column:
+        each = lambda g: F.least(F.size(F.filter(h, lambda x: x == g)), F.size(F.filter(r, lambda x: x == g)))
+        return F.aggregate(F.array_distinct(h), F.lit(0), lambda s, g: s + each(g))
+
     stats = []
     for n in range(1, most + 1):
-        from inkmill.functions.sequences import ngrams
-
         h, r = (F.transform(ngrams(c, n), lambda g: F.array_join(g, " ")) for c in (hypothesis, reference))
-        matched = F.aggregate(F.array_distinct(h), F.lit(0), lambda s, g, h=h, r=r: s + F.least(F.size(F.filter(h, lambda x: x == g)), F.size(F.filter(r, lambda x: x == g))))
-        stats += [matched.alias(f"m{n}"), F.size(h).alias(f"t{n}")]
+        stats += [matched(h, r).alias(f"m{n}"), F.size(h).alias(f"t{n}")]
     return df.select(key, F.size(hypothesis).alias("hyp_len"), F.size(reference).alias("ref_len"), *stats)
 
 
@@ -149,8 +151,10 @@ def cosine(a: Column | str, b: Column | str) -> Column:
 
 def cosine_reward(a: Column | str, b: Column | str) -> Column:
     """M-04: the cosine on a scale from 0 to 1; 0 if a vector is null (M-10)."""
-    value = dot(a, b) / F.greatest(norm(a) * norm(b), F.lit(EPSILON))
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (value + 1) / 2)), F.lit(0.0))
+    scale = norm(a) * norm(b)
+    value = dot(a, b) / F.greatest(scale, F.lit(EPSILON))
+    # greatest and least pass over nulls
+    return F.when(value.isNotNull() & scale.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), (value + 1) / 2))).otherwise(F.lit(0.0))
 
 
 def mean_pool(patches: Column | str) -> Column:
@@ -242,7 +246,7 @@ def patch_similarity(a: Column | str, b: Column | str) -> Column:
 def distance_similarity(distance: Column | str, clamp: bool = False) -> Column:
     """M-06: 1 less a perceptual distance that an encoder supplied; clamped to [0, 1] as a reward, where null gives 0."""
     value = 1 - _c(distance)
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)), F.lit(0.0)) if clamp else value
+    return F.when(value.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))).otherwise(F.lit(0.0)) if clamp else value
 
 
 def bagged(vector: Column | str, size: int) -> Column:

@@ -18,7 +18,11 @@ def read_json_arrays(spark: SparkSession, path: str, schema: str, pattern: str |
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
     df = reader.json(path)
-    return df.where(F.col(CORRUPT).isNull()).drop(CORRUPT) if skip_broken else df
+    if not skip_broken:
+        return df
+    # the scan refuses to read the mark of broken records alone, so another column takes part
+    other = F.coalesce(F.length(F.col(df.columns[0]).cast("string")), F.lit(0)) >= 0
+    return df.where(F.col(CORRUPT).isNull() & other).drop(CORRUPT)
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: str, skip_broken: bool = False, pattern: str | None = None, keep_broken: bool = False) -> DataFrame:

@@ -9,7 +9,7 @@ from inkmill.functions import sequences as Q
 
 PAPER = r"""\documentclass{article}
 \usepackage{tikz}
-\newcommand{\hi}[1]{Hello #1}
+\makeatletter\newcommand{\hi}[1]{Hello #1}\makeatother
 \begin{document}
 \section{One}
 See \ref{fig:a} here.

@@ -122,7 +122,7 @@ def test_math_and_captions(spark):
     assert one(spark, r"a $b$ c $d", L.balance_dollars("x")) == "a $b$ c d"
     assert one(spark, r"cost \$5", L.balance_dollars("x")) == r"cost \$5"
     assert one(spark, r"x \( y \) \( z", L.balance_delimiters("x")) == r"x \( y \)  z"
-    assert one(spark, "A  {b\n\\label{fig:x} $c", L.clean_caption("x")) == "A b c"
+    assert one(spark, "A  b\n\\label{fig:x} $c", L.clean_caption("x")) == "A b c"
 
 
 def test_documents(spark):
