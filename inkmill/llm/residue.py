@@ -33,6 +33,10 @@ SHARE = 2e-5
 LONGEST_RULE_WORDS = 26
 #: The share of words that belong neither to a phrase nor to the language of notices, beyond which a message is prose.
 FOREIGN_SHARE = 0.2
+#: The share of words of the language of notices from which a message that recurs, but meets no rule, is furniture.
+KNOWN_SHARE = 0.7
+#: A message with a placeholder and so many other words is prose about placeholders, unless it is of a known template.
+LONG_TEMPLATE_WORDS = 9
 
 # The phrases of the rules (accents are folded before matching).
 FILLER = r"""
@@ -214,13 +218,18 @@ def classify(message: str, recurs: bool) -> str:
         return RESIDUE
     if FURNITURE.search(message) or not words:
         return FURNISHED
-    if (recurs and sum(w in KNOWN for w in words) >= 0.5 * len(words)) or len(words) < 4 or LABELLED.match(message) and len(words) <= 5:
+    if (recurs and sum(w in KNOWN for w in words) >= KNOWN_SHARE * len(words)) or len(words) < 4 or LABELLED.match(message) and len(words) <= 5:
         return FURNISHED
     if message[-1] not in ".!?:;" and len(words) <= 8:
         return FURNISHED
     return UNSURE
 
 
+def talks_of_placeholders(message: str) -> bool:
+    rest, n = PLACEHOLDER.subn(" ", message)
+    return n > 0 and len(WORD.findall(rest)) >= LONG_TEMPLATE_WORDS
+
+
 def is_residue(text: str, known: Knowledge) -> bool:
     """Whether a text has residue and no content of its own."""
     if CODE.search(text):
@@ -232,6 +241,8 @@ def is_residue(text: str, known: Knowledge) -> bool:
         kind = classify(message, recurs)
         if kind == CONTENT:
             return False
+        if kind == RESIDUE and placeholders and known.patterns and talks_of_placeholders(message) and not known.of_template(message):
+            return False
         found |= kind == RESIDUE
         if kind == UNSURE:
             unsure.append(message)
