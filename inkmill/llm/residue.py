@@ -68,10 +68,14 @@ before after again later now right just here there order see view viewing open o
 could may might cannot will would at from as also only more new old moved renamed owner browser site app page web client side canvas preview editor host upstream connection server reference id code minutes seconds hours blank stays works best ce cette ces
 le la les un une des du de d l votre vos ne pas plus sans et ou en est sont sur pour avec veuillez serveur navigateur tard active activez activer desactive der die das den dem ein eine einer dieser diese dieses ihr ihre ihren sie bitte nicht und oder ist sind auf mit fur zum zur um von im wird werden seite
 el los las uno una su sus este esta estos es son para por con que se ha han y o del al lo en pagina navegador servidor solicitada angeforderte demandee benotigt fonctionne necesita zu wurde mas""".split()
+LATIN = """lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo
+consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum nam libero tempore cum soluta
+nobis pellentesque habitant morbi tristique senectus netus malesuada fames ac turpis egestas vestibulum""".split()
+FILLING = "text texto texte paragraph caption description title figura figure own about add insert replace with sample dummy placeholder content coming soon later write edit click introduction abstract section word words example".split()
 OBJECTS = "page file document repository figure entry gallery question paste site drawing url resource thread post preview picture image content archive project folder link account section seite datei bild zeichnung fichier dessin archivo dibujo".split()
 STATES = "private withheld unavailable missing gone offline removed deleted protected expired blocked hidden restricted disabled shown displayed closed broken locked empty denied forbidden suspended archived privat geloscht gesperrt entfernt prive supprime bloque masque privado eliminado bloqueado oculto".split()
 OBJECT_WORDS, STATE_WORDS = frozenset(OBJECTS), frozenset(STATES)
-KNOWN = frozenset(COMMON) | OBJECT_WORDS | STATE_WORDS
+KNOWN = frozenset(COMMON) | OBJECT_WORDS | STATE_WORDS | frozenset(LATIN) | frozenset(FILLING)
 
 NAME = r"[A-Za-z][A-Za-z0-9]*(?:[_ -][A-Za-z0-9]+){0,4}"
 TAGS = "html|head|title|body|p|h[1-6]|pre|code|a|b|i|em|strong|ul|ol|li|div|span|br|hr|table|tr|td|th|img|script|style|noscript|blockquote|sub|sup|nav|header|footer|section|article|main|meta|link|form|input|button|label|small|tt|kbd"
