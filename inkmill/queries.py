@@ -17,6 +17,7 @@ from inkmill.functions import text as T
 from inkmill.operators import assembly as A
 from inkmill.operators import dedup as D
 from inkmill.operators import metrics as M
+from inkmill.operators import records as C
 from inkmill.operators import relational as R
 from inkmill.operators import sampling as O
 from inkmill.plans import curated_pairs, evaluation
@@ -313,11 +314,20 @@ over("trim_environment", "corpus", rf"""select file_id, {s_strip(r'''case when s
 from (select file_id, case when strpos(code, '\begin{{tikzpicture}}') > 0 then substr(code, strpos(code, '\begin{{tikzpicture}}')) else code end as c from corpus where code is not null) t""", lambda: ["file_id", L.trim_to_environment("code", "tikzpicture").alias("code")], where="code is not null")
 over("clean_caption", "corpus", None, lambda: ["file_id", L.clean_caption("caption").alias("caption")])
 over("balance_dollars", "corpus", r"""select file_id, case when len(regexp_extract_all(replace(caption, '\$', ''), '\$')) % 2 = 1 then regexp_replace(caption, '(?s)^(.*)\$', '\1') else caption end as caption from corpus where caption is not null and not contains(caption, '\$')""", lambda: ["file_id", L.balance_dollars("caption").alias("caption")], where=r"caption is not null and not contains(caption, '\\$')")
-over("preamble_parts", "corpus", None, lambda: ["file_id", L.preamble_parts("code")["imports"].alias("imports"), L.preamble_parts("code")["macros"].alias("macros")])
-over("prefix_lines", "corpus", None, lambda: ["file_id", L.prefix_lines("code").alias("prefix")])
+_HEAD = r"split_part(code, '\begin{document}', 1)"
+_STATEMENTS = f"list_filter({s_lines(_HEAD)}, lambda l: not {s_blank('l')} and not starts_with({s_strip('l')}, '%') and not starts_with({s_strip('l')}, '\\new') and not starts_with({s_strip('l')}, '\\renew'))"
+_IS_IMPORT = f"({s_contains_any('l', L.IMPORT_MARKS)} or (starts_with({s_strip('l')}, '\\usepackage') and {s_contains_any('l', L.IMPORT_PACKAGES)}))"
+_PARTS_SQL = f"select file_id, {s_strip(s_join(f'list_filter({_STATEMENTS}, lambda l: {_IS_IMPORT})'))} as imports, {s_strip(s_join(f'list_filter({_STATEMENTS}, lambda l: not {_IS_IMPORT})'))} as macros from corpus where code is not null"
+over("preamble_parts", "corpus", _PARTS_SQL, lambda: ["file_id", L.preamble_parts("code")["imports"].alias("imports"), L.preamble_parts("code")["macros"].alias("macros")], where="code is not null")
+_LOADS = f"list_transform(list_filter({s_lines(_HEAD)}, lambda l: regexp_matches(l, '\\\\(?:usepackage|usetikzlibrary|newcommand|def|tikzset|tikzstyle)')), lambda l: {s_strip('l')})"
+_PREFIX_SQL = f"""select file_id, case when len(f) > 0 then '\\documentclass[tikz]{{standalone}}' || chr(10) || array_to_string(list_filter(f, lambda x, i: list_position(f, x) = i), chr(10)) else '{L.DEFAULT_PREAMBLE}' end as prefix from (select file_id, {_LOADS} as f from corpus where code is not null) t"""
+over("prefix_lines", "corpus", _PREFIX_SQL, lambda: ["file_id", L.prefix_lines("code").alias("prefix")], where="code is not null")
 over("as_document", "corpus", None, lambda: ["file_id", L.as_document("code").alias("document")])
 over("page_documents", "corpus", None, lambda: ["file_id", F.size(L.page_documents("code")).cast("bigint").alias("n"), F.array_join(L.page_documents("code"), "\n").alias("documents")], where="code is not null")
-over("inject_package", "corpus", None, lambda: ["file_id", L.inject_network_package("code").alias("code")])
+_BARE = r"regexp_replace(code, '\\usepackage\{.*?tikz-?network.*?\}', '', 'g')"
+_CLASSED = rf"case when contains(c, '\documentclass') then c else '\documentclass{{standalone}}' || chr(10) || c end"
+_INJECT_SQL = rf"select file_id, {s_strip(rf"replace({_CLASSED}, '\documentclass{{standalone}}', '\documentclass{{standalone}}' || chr(10) || '\usepackage{{tikz-network}}')")} as code from (select file_id, {_BARE} as c from corpus) t"
+over("inject_package", "corpus", _INJECT_SQL, lambda: ["file_id", L.inject_network_package("code").alias("code")])
 over("macro_expand", "corpus", None, lambda: ["file_id", MX.expand_macros(L.preamble_parts("code")["macros"], F.col("code")).alias("expanded"), MX.used_macros(L.preamble_parts("code")["macros"], F.col("code")).alias("used")])
 
 # --- extraction -----------------------------------------------------------------------------------------------------
@@ -362,7 +372,9 @@ def _(spark, d):
 over("html_text", "posts", "select id, " + s_strip(r"""replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(body, '(?s)<pre[^>]*>.*?</pre>', '', 'g'), '<[^>]+>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', chr(160)), '&amp;', '&')""") + " as text from posts", lambda: ["id", X.html_text("body").alias("text")])
 over("page_title", "documents", r"""select doc_id, trim(split_part(regexp_extract(text, '(?s)<title>(.*?)</title>', 1), '–', 1)) as title from documents where contains(text, '</title>')""", lambda: ["doc_id", X.page_title("text").alias("title")], where="contains(text, '</title>')")
 over("markdown_title", "documents", r"""select doc_id, nullif(trim(regexp_extract(text, '(?m)^# (.*)$', 1)), '') as title from documents where source = 'github'""", lambda: ["doc_id", X.markdown_title("text").alias("title")], where="source = 'github'")
-over("relevant_code", "eval_gt", None, lambda: ["figure_id", L.relevant_code("code").alias("code")])
+_MATCHES = ", ".join(rf"regexp_extract(code, '(?s)\\begin\{{{e}\}}.*?\\end\{{{e}\}}', 0)" for e in L.PICTURES)
+_PICTURE_SQL = f"coalesce(list_sort(list_transform(list_filter([{_MATCHES}], lambda x: x <> ''), lambda x: {{'p': strpos(code, x), 'x': x}}))[1].x, '')"
+over("relevant_code", "eval_gt", f"select figure_id, {s_collapse(f"case when {_PICTURE_SQL} = '' then code else {_PICTURE_SQL} end")} as code from eval_gt", lambda: ["figure_id", L.relevant_code("code").alias("code")])
 
 
 @query("qa_code_documents")
@@ -433,6 +445,12 @@ def _(spark, d):
     return read_table(spark, d, "corpus").groupBy("archive_id").agg(F.bool_or(F.contains("code", F.lit("tikzcd"))).alias("any_cd"), F.bool_and(F.length("code") > 100).alias("all_long"), F.count_if(F.col("status") == "success").alias("n_ok"))
 
 
+@query("paper_records", rf"select text, n as arxiv_id, left(n, 4) as yymm, '{C.PAPER_URL}' || n as url, strftime(added_at, '%Y-%m-%dT%H:%M:%S') as stamp from (select text, added_at, regexp_replace(origin, '^\w+:', '') as n from documents where source = 'arxiv' and origin is not null and not {s_blank('text')}) t")
+def _(spark, d):
+    rows = read_table(spark, d, "documents").where("source = 'arxiv' and origin is not null").withColumn("name", F.regexp_replace("origin", r"^\w+:", ""))
+    return C.paper_records(rows, "name", "text", "source", F.col("added_at")).select("text", "meta.arxiv_id", "meta.yymm", "meta.url", F.col("meta.timestamp").alias("stamp"))
+
+
 @query("month_ranges", "select d::date as start_date, last_day(d)::date as end_date from (select unnest(generate_series(date '2024-01-01', date '2024-06-30', interval 1 month)) as d) t")
 def _(spark, d):
     return month_ranges(spark, "2024-01-01", "2024-06-30")
@@ -519,7 +537,10 @@ def curated(spark, d):
     return curated_pairs.build_pairs(t("corpus"), captions=t("captions"), reference=t("eval_gt"), shards=10)
 
 
-@query("repaired_code")
+_REPAIR = f"select file_id, case when {s_code_of('a')} = '' then {s_strip('a')} else {s_code_of('a')} end as code from (select file_id, {_ANSWER} as a from repair_responses where response is not null and file_id is not null) t"
+
+
+@query("repaired_code", f"select c.file_id, coalesce(r.code, c.code_new) as code_new from corpus c left join (select file_id, min(code) as code from ({_REPAIR}) q where starts_with(code, chr(92)) group by file_id) r on c.file_id = r.file_id")
 def _(spark, d):
     return curated_pairs.with_repairs(read_table(spark, d, "corpus").select("file_id", "code_new"), read_table(spark, d, "repair_responses"))
 
