@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from inkmill.llm.scan import BLOCK_BYTES, GRAM_BASE, Words, blocks, mixed, words
 
 #: Bytes of test text in one index, by which its broadcast is bounded.
-INDEX_BYTES = 32 << 20
+INDEX_BYTES = 8 << 20
 HITS_SCHEMA = "id string, item string, field string, span_words int, at_word int"
 
 

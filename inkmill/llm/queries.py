@@ -8,56 +8,62 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkmill.llm import format_duplicates, leakage, mixing, near_duplicates, packing, residue, truncation
+from inkmill.session import spread
 from inkmill.sources.tables import read_table
 
 
+def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """A large table, whose scan is cut finer if it has fewer parts than there are cores."""
+    return spread(read_table(spark, d, name))
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return format_duplicates.p1_found(read_table(spark, d, "corpus"))
+    return format_duplicates.p1_found(_table(spark, d, "corpus"))
 
 
 def p1_collapsed(spark: SparkSession, d: str) -> DataFrame:
     """Every corpus row counts here, however short."""
-    groups = format_duplicates.copies(read_table(spark, d, "corpus"), min_words=0)
+    groups = format_duplicates.copies(_table(spark, d, "corpus"), min_words=0)
     return format_duplicates.collapsed(groups).withColumnRenamed("rep", "file_id")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return truncation.p2_found(read_table(spark, d, "corpus"))
+    return truncation.p2_found(_table(spark, d, "corpus"))
 
 
 def p2_report(spark: SparkSession, d: str) -> DataFrame:
-    corpus = read_table(spark, d, "corpus")
+    corpus = _table(spark, d, "corpus")
     return truncation.truncation_report(corpus, truncation.truncated(corpus))
 
 
 def p2_limits(spark: SparkSession, d: str) -> DataFrame:
-    return truncation.limits(truncation.endings(read_table(spark, d, "corpus")))
+    return truncation.limits(truncation.endings(_table(spark, d, "corpus")))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    found = leakage.leaks(read_table(spark, d, "corpus"), read_table(spark, d, "eval_gt"))
+    found = leakage.leaks(_table(spark, d, "corpus"), read_table(spark, d, "eval_gt"))
     return found.select(F.col("item").alias("figure_id"), F.col("id").alias("file_id")).distinct()
 
 
 def p3_report(spark: SparkSession, d: str) -> DataFrame:
     test = read_table(spark, d, "eval_gt")
-    return leakage.leak_report(leakage.leaks(read_table(spark, d, "corpus"), test), test)
+    return leakage.leak_report(leakage.leaks(_table(spark, d, "corpus"), test), test)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return near_duplicates.p4_found(read_table(spark, d, "corpus"))
+    return near_duplicates.p4_found(_table(spark, d, "corpus"))
 
 
 def p4_classes(spark: SparkSession, d: str) -> DataFrame:
-    return near_duplicates.NearDuplicates(read_table(spark, d, "corpus")).classes().withColumnRenamed("id", "file_id")
+    return near_duplicates.NearDuplicates(_table(spark, d, "corpus")).classes().withColumnRenamed("id", "file_id")
 
 
 def p4_groups(spark: SparkSession, d: str) -> DataFrame:
-    return near_duplicates.NearDuplicates(read_table(spark, d, "corpus")).groups().withColumnRenamed("id", "file_id")
+    return near_duplicates.NearDuplicates(_table(spark, d, "corpus")).groups().withColumnRenamed("id", "file_id")
 
 
 def p5_packing(spark: SparkSession, d: str) -> DataFrame:
-    return packing.packing(read_table(spark, d, "documents"), read_table(spark, d, "packing_specs"))
+    return packing.packing(_table(spark, d, "documents"), read_table(spark, d, "packing_specs"))
 
 
 def p5_report(spark: SparkSession, d: str) -> DataFrame:
@@ -65,7 +71,7 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _mix(spark: SparkSession, d: str) -> mixing.Mix:
-    return mixing.Mix(read_table(spark, d, "documents"), read_table(spark, d, "mix_targets"))
+    return mixing.Mix(_table(spark, d, "documents"), read_table(spark, d, "mix_targets"))
 
 
 def p6_draws(spark: SparkSession, d: str) -> DataFrame:
@@ -81,7 +87,7 @@ def p6_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return residue.p7_found(read_table(spark, d, "documents"))
+    return residue.p7_found(_table(spark, d, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
