@@ -42,12 +42,17 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+#: Queries whose expressions cost more than a shuffle of a small table.
+COSTLY = {"clean_code", "drop_comment_lines", "collapse_space", "remove_empty_lines", "filter_lines", "build_preamble", "required_packages", "token_budget", "preamble_parts", "macro_expand", "paragraphs", "page_documents", "inject_package", "trim_environment", "html_text", "clean_caption", "as_document", "uncomment"}
+
+
 def over(name: str, table: str, sql: str | None, columns: Callable[[], list], where: str | None = None) -> None:
     """A query that selects columns from one table. They are made when it runs, as columns need a session."""
 
     @query(name, sql)
     def run(spark: SparkSession, d: str) -> DataFrame:
         df = read_table(spark, d, table)
+        df = spread(df) if name in COSTLY else df
         return (df.where(where) if where else df).select(*columns())
 
 
