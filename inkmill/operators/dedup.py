@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkmill.operators.relational import first_by, not_in_reference
-from inkmill.session import materialise
+from inkmill.session import materialise, shuffle_partitions
 
 
 def dedup_exact(df: DataFrame, text: str = "code", order: tuple[str, ...] = ("file_id",), reference: DataFrame | None = None, reference_text: str = "code", scope: str | None = None) -> DataFrame:
@@ -65,24 +65,32 @@ def similar_pairs(df: DataFrame, key: str, text: str, threshold: float = 0.95) -
     pieces = F.transform(F.sequence(F.lit(0), F.least(F.col("k"), F.floor((F.col("n") - 1) / F.col("size")).cast("int"))), lambda i: F.struct((i * F.col("size") + 1).alias("at"), F.substr("text", i * F.col("size") + 1, F.col("size")).alias("piece")))
     parts = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("n") - F.col("size") + 1)), lambda i: F.struct(i.alias("at"), F.substr("text", i, F.col("size")).alias("piece")))
     left = own.select("band_key", "k", F.col("band").alias("band_a"), F.col("id").alias("new_id"), F.col("n").alias("n_a"), F.col("counts").alias("counts_a"), F.explode(pieces).alias("p")).select("*", F.xxhash64("p.piece").alias("piece"), F.col("p.at").alias("at_a")).drop("p")
-    right = own.select("band_key", F.col("band").alias("band_b"), F.col("id").alias("old_id"), F.col("n").alias("n_b"), F.col("counts").alias("counts_b"), F.explode(parts).alias("p")).select("*", F.xxhash64("p.piece").alias("piece"), F.col("p.at").alias("at_b")).drop("p")
-    differ = F.aggregate(F.zip_with("counts_a", "counts_b", lambda a, b: F.abs(a - b)), F.lit(0), lambda s, v: s + v)
-    pairs = left.join(right, ["band_key", "piece"]).where((F.col("old_id") < F.col("new_id")) & (F.abs(F.col("at_a") - F.col("at_b")) <= F.col("k")) & (F.greatest("band_a", "band_b") == F.col("band_key")) & (differ <= (1 - threshold) * (F.col("n_a") + F.col("n_b")) + 1e-9))
+    # places are cut into stretches of k + 1, of which a partner's is the same or a neighbouring one
+    stretch = lambda at: F.floor(F.col(at) / (F.col("k") + 1)).cast("int")
+    left = left.withColumn("stretch", F.explode(F.array(*(stretch("at_a") + i for i in (-1, 0, 1)))))
+    right = own.select("band_key", "k", F.col("band").alias("band_b"), F.col("id").alias("old_id"), F.col("n").alias("n_b"), F.col("counts").alias("counts_b"), F.explode(parts).alias("p")).select("*", F.xxhash64("p.piece").alias("piece"), F.col("p.at").alias("at_b")).withColumn("stretch", stretch("at_b")).drop("p", "k")
+    # written out, so that it is compiled into the join
+    differ = sum((F.abs(F.col("counts_a")[i] - F.col("counts_b")[i]) for i in range(len(classes))), F.lit(0))
+    pairs = left.join(right, ["band_key", "piece", "stretch"]).where((F.col("old_id") < F.col("new_id")) & (F.abs(F.col("at_a") - F.col("at_b")) <= F.col("k")) & (F.greatest("band_a", "band_b") == F.col("band_key")) & (differ <= (1 - threshold) * (F.col("n_a") + F.col("n_b")) + 1e-9))
     pairs = pairs.select("new_id", "old_id").distinct()
     texts = rows.select("id", "text")
     both = pairs.join(texts.select(F.col("id").alias("new_id"), F.col("text").alias("new_text")), "new_id").join(texts.select(F.col("id").alias("old_id"), F.col("text").alias("old_text")), "old_id")
     kind = df.schema[key].dataType.simpleString()
-    return both.select("new_id", "new_text", "old_id", "old_text").mapInArrow(_ratio, f"new_id {kind}, old_id {kind}, ratio double").where(F.col("ratio") > threshold)
+    # few rows that cost much: kept from being packed into one task
+    both = both.select("new_id", "new_text", "old_id", "old_text").repartition(shuffle_partitions(df.sparkSession), "new_id", "old_id")
+    return both.mapInArrow(_ratio, f"new_id {kind}, old_id {kind}, ratio double").where(F.col("ratio") > threshold)
 
 
 def greedy_near_dedup(df: DataFrame, key: str, text: str, threshold: float = 0.95) -> DataFrame:
     """D-04: rows in order of ``key``, each dropped if it is similar to an earlier row that was kept.
 
     Decided in rounds over the pairs: a row is kept once all its earlier partners are dropped, and dropped once one of them is
-    kept. The number of rounds is the longest chain of decisions. Rows with a null key or text are kept; rows that
-    repeat a key share its fate.
+    kept. The number of rounds is the longest chain of decisions. Rows with a null key or an empty or null text are kept; rows
+    that repeat a key share its fate.
     """
-    pairs = materialise(similar_pairs(df, key, text, threshold).select("new_id", "old_id"))
+    # of equal texts only the first can be kept
+    firsts = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).groupBy(text).agg(F.min(key).alias("__first"))
+    pairs = materialise(similar_pairs(firsts.select(F.col("__first").alias(key), text), key, text, threshold).select("new_id", "old_id"))
     nodes = pairs.select(F.col("new_id").alias("id")).unionByName(pairs.select(F.col("old_id").alias("id"))).distinct()
     # rows without an earlier partner are kept
     kept = materialise(nodes.join(pairs, nodes["id"] == pairs["new_id"], "left_anti"))
@@ -100,4 +108,6 @@ def greedy_near_dedup(df: DataFrame, key: str, text: str, threshold: float = 0.9
         undecided = nodes.join(dropped, "id", "left_anti").join(kept, "id", "left_anti")
         kept = materialise(kept.unionByName(undecided.join(waiting, "id", "left_anti")))
     gone = dropped.select(F.col("id").alias("__gone"))
-    return df.join(gone, F.col(key) == F.col("__gone"), "left_anti")
+    kept_texts = firsts.join(gone, F.col("__first") == F.col("__gone"), "left_anti").select("__first")
+    whole = df.where(F.col(text).isNull() | (F.length(text) == 0) | F.col(key).isNull())
+    return df.where(F.length(text) > 0).join(kept_texts, F.col(key) == F.col("__first"), "left_semi").unionByName(whole)
