@@ -274,9 +274,10 @@ def as_document(x: Column | str, preamble: str = DEFAULT_PREAMBLE) -> Column:
     text = _c(x)
     begins, ends, has_class = F.contains(text, F.lit(BEGIN)), F.contains(text, F.lit(END)), F.regexp_like(text, F.lit(r"\\document(class|style)"))
     head = F.when(has_class, F.lit("")).otherwise(F.lit(preamble.strip() + "\n"))
-    body = F.when(~begins & ~has_class, F.concat(F.lit(BEGIN + "\n"), text)).when(
-        ~begins, F.regexp_replace(text, r"(?s)^((?:(?!\\begin\{).)*+)", r"$1\\begin{document}" + "\n")
-    ).otherwise(text)
+    opened = F.lit(BEGIN + "\n")
+    at = F.position(F.lit("\\begin{"), text)
+    inserted = F.when(at > 0, F.concat(F.substr(text, F.lit(1), at - 1), opened, F.substr(text, at))).otherwise(F.concat(text, opened))
+    body = F.when(begins, text).when(has_class, inserted).otherwise(F.concat(opened, text))
     return F.concat(head, body, F.when(ends, F.lit("")).otherwise(F.lit("\n" + END)))
 
 

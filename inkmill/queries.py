@@ -327,7 +327,10 @@ over("preamble_parts", "corpus", _PARTS_SQL, lambda: ["file_id", L.preamble_part
 _LOADS = f"list_transform(list_filter({s_lines(_HEAD)}, lambda l: regexp_matches(l, '\\\\(?:usepackage|usetikzlibrary|newcommand|def|tikzset|tikzstyle)')), lambda l: {s_strip('l')})"
 _PREFIX_SQL = f"""select file_id, case when len(f) > 0 then '\\documentclass[tikz]{{standalone}}' || chr(10) || array_to_string(list_filter(f, lambda x, i: list_position(f, x) = i), chr(10)) else '{L.DEFAULT_PREAMBLE}' end as prefix from (select file_id, {_LOADS} as f from corpus where code is not null) t"""
 over("prefix_lines", "corpus", _PREFIX_SQL, lambda: ["file_id", L.prefix_lines("code").alias("prefix")], where="code is not null")
-over("as_document", "corpus", None, lambda: ["file_id", L.as_document("code").alias("document")])
+_OPENED = r"'\begin{document}' || chr(10)"
+_AS_DOCUMENT = rf"""select file_id, case when c then '' else {"'" + L.DEFAULT_PREAMBLE.strip() + "'"} || chr(10) end || case when b then code when c and p > 0 then left(code, p - 1) || {_OPENED} || substr(code, p) when c then code || {_OPENED} else {_OPENED} || code end || case when e then '' else chr(10) || '\end{{document}}' end as document
+from (select file_id, code, contains(code, '\begin{{document}}') as b, contains(code, '\end{{document}}') as e, regexp_matches(code, '\\document(class|style)') as c, strpos(code, '\begin{{') as p from corpus) t"""
+over("as_document", "corpus", _AS_DOCUMENT, lambda: ["file_id", L.as_document("code").alias("document")])
 over("page_documents", "corpus", None, lambda: ["file_id", F.size(L.page_documents("code")).cast("bigint").alias("n"), F.array_join(L.page_documents("code"), "\n").alias("documents")], where="code is not null")
 _BARE = r"regexp_replace(code, '\\usepackage\{.*?tikz-?network.*?\}', '', 'g')"
 _CLASSED = rf"case when contains(c, '\documentclass') then c else '\documentclass{{standalone}}' || chr(10) || c end"
@@ -382,7 +385,16 @@ _PICTURE_SQL = f"coalesce(list_sort(list_transform(list_filter([{_MATCHES}], lam
 over("relevant_code", "eval_gt", f"select figure_id, {s_collapse(f"case when {_PICTURE_SQL} = '' then code else {_PICTURE_SQL} end")} as code from eval_gt", lambda: ["figure_id", L.relevant_code("code").alias("code")])
 
 
-@query("qa_code_documents")
+_BLOCKS = r"select id, unnest(list_transform(regexp_extract_all(body, '(?s)<pre[^>]*>\s*<code[^>]*>(.*?)</code>', 1), lambda x, i: {'n': i - 1, 'c': x})) as u from posts"
+_UNESCAPED = r"""replace(replace(replace(replace(replace(replace(regexp_replace(u.c, '<[^>]+>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', chr(160)), '&amp;', '&')"""
+_PAIRED = " or ".join(rf"(contains(code, '\begin{{{e}}}') and contains(code, '\end{{{e}}}'))" for e in L.CODE_ENVIRONMENTS)
+_QA_PREAMBLE = rf"""'\documentclass[tikz]{{standalone}}' || coalesce(array_to_string(list_transform(p, lambda x: chr(10) || '\usepackage{{' || x || '}}'), ''), '') || case when len(l) > 0 then chr(10) || '\usetikzlibrary{{' || array_to_string(l, ',') || '}}' else '' end"""
+_QA_DOCUMENT = rf"""select file_id, case when contains(code, '\begin{{document}}') and contains(code, '\documentclass') then code else {_QA_PREAMBLE} || chr(10) || '\begin{{document}}' || chr(10) || {s_strip('code')} || chr(10) || '\end{{document}}' end as doc
+from (select file_id, code, {s_detect('code', L.PACKAGES)} as p, {s_detect('code', L.LIBRARIES)} as l from (select 'tex_' || id || '_' || u.n as file_id, {_UNESCAPED} as code from ({_BLOCKS}) t) t where {_PAIRED}) t"""
+_QA_STANDARD = rf"select file_id, regexp_replace({s_clean('doc')}, '\\documentclass(\[.*?\])?\{{(article|report|book|scrartcl)\}}', '\\documentclass[tikz]{{standalone}}', 'g') as code from ({_QA_DOCUMENT}) t"
+
+
+@query("qa_code_documents", rf"select file_id, {s_join(rf'''list_filter(list_transform({s_lines('code')}, lambda l: {_FILTERED}), lambda x: not {s_blank('x')} and not starts_with({s_strip('x')}, '%') and not contains(x, '\maketitle') and not contains(x, '\tableofcontents'))''')} as code from ({_QA_STANDARD}) t")
 def _(spark, d):
     blocks = read_table(spark, d, "posts").select("id", F.posexplode(X.html_code_blocks("body")).alias("n", "code")).where(L.has_paired_environment("code"))
     document = F.when(F.contains("code", F.lit(L.BEGIN)) & F.contains("code", F.lit("\\documentclass")), F.col("code")).otherwise(F.concat(L.build_preamble(L.required_packages("code"), L.required_libraries("code")), F.lit("\n" + L.BEGIN + "\n"), T.strip("code"), F.lit("\n" + L.END)))
