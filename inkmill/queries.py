@@ -259,7 +259,7 @@ def _(spark, d):
 
 @query("ngram_topk", r"select ngram, count(*)::bigint as n from (select unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as ngram from (select regexp_extract_all(lower(text), '[\p{L}\p{Nd}]+') as w from documents) t) u group by ngram order by n desc, ngram limit 500")
 def _(spark, d):
-    words = read_table(spark, d, "documents").select(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{Nd}]+"), 0).alias("w"))
+    words = spread(read_table(spark, d, "documents").select("text")).select(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{Nd}]+"), 0).alias("w"))
     grams = words.select(F.explode(Q.ngrams("w", 2)).alias("g")).select(F.array_join("g", " ").alias("ngram"))
     return O.top_k(grams.groupBy("ngram").agg(F.count("*").alias("n")), [F.desc("n"), F.col("ngram")], 500)
 
