@@ -20,6 +20,7 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -86,7 +87,16 @@ PLACEHOLDER = re.compile(
 )
 HINT = re.compile(r"[{}\[\]<>@#%$]|__")
 SPLIT = re.compile(r"[\n\r\u2028\u2029]+|(?<=[.!?;])[ \t\u00a0]+(?=\S)")
-MASKED = re.compile(r"(?:https?://|www\.)\S+|\S+@\S+\.\w+|\b\d{4}-\d\d-\d\d(?:[T ]\d\d:\d\d(?::\d\d)?)?\b|\b\d{1,2}[./]\d{1,2}[./]\d{2,4}\b|\b\d+(?:[.,:]\d+)*\b")
+# Addresses and dates, in a form that Python and Arrow read alike. An address ends before tags and closing punctuation.
+ADDRESS = r"""(?:\b[A-Za-z][A-Za-z0-9+.-]*://|\b[Ww][Ww][Ww]\.|\b(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}/)(?:[^\s<>"]*[^\s<>".,!?;:)\]}'])?|\b(?:mailto:)?[A-Za-z0-9_.+%-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"""
+MONTH = "(?:jan(?:uary|uar|vier)?|feb(?:ruary|ruar)?|f[ée]vr(?:ier)?|mar(?:ch|s|zo)?|m[äa]rz|apr(?:il)?|avr(?:il)?|ma[iy]|mayo|june?|juni|juin|july?|juli|juil(?:let)?|aug(?:ust)?|ao[uû]t|sept?(?:ember|embre)?|o[ck]t(?:ober|obre)?|nov(?:ember|embre)?|de[cz](?:ember)?|d[ée]c(?:embre)?|enero|ene|febrero|abr(?:il)?|junio|julio|ago(?:sto)?|sep?tiembre|octubre|noviembre|dic(?:iembre)?)"
+DAY = "(?:mon|tues|wednes|thurs|fri|satur|sun)day|montag|dienstag|mittwoch|donnerstag|freitag|samstag|sonntag|lundi|mardi|mercredi|jeudi|vendredi|samedi|dimanche|lunes|martes|mi[ée]rcoles|jueves|viernes|s[áa]bado|domingo"
+NUMBER = r"\d+(?:st|nd|rd|th)?"
+DATE = rf"\b(?:(?:{DAY}),? +)?(?:{NUMBER}\.?(?: +(?:of|de))? +{MONTH}\b\.?(?:,?(?: +de)? +\d{{4}}\b)?|{MONTH}\b\.? +{NUMBER}\b(?:,? +\d{{4}}\b)?)"
+#: What message hashes leave out besides digits: of dates, the names of months and days, so that sentences end where they did.
+UNHASHED = rf"{ADDRESS}|(?i:\b\d{{4}}-\d\d-\d\dt[\d:.]*\dz?\b|\b(?:{MONTH}|{DAY})\b|\b\d+(?:st|nd|rd|th)\b)"
+ELSEWHERE = re.compile(rf"{ADDRESS}|(?i:{DATE})")
+MASKED = re.compile(rf"(?i:{DATE})|(?:https?://|www\.)\S+|\S+@\S+\.\w+|\b" r"\d{4}-\d\d-\d\d(?:[T ]\d\d:\d\d(?::\d\d)?)?\b|\b\d{1,2}[./]\d{1,2}[./]\d{2,4}\b|\b\d+(?:[.,:]\d+)*\b")
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 FURNITURE = re.compile(r"^(?:#{1,6} |[-*+>|] ?|\d+[.)] |©|\(c\) |%)|\||^\\(?:documentclass|usepackage|usetikzlibrary|begin|end|section|subsection|subsubsection|chapter|paragraph|title|author|date|maketitle|label|centering|includegraphics|tableofcontents|caption|item|bibliography\w*|ref|cite|input)\b")
 CODE = re.compile(r"\\(?:draw|node|fill|filldraw|path|addplot|arrow|foreach|coordinate|matrix|shade|clip|sum|frac|int|newcommand|renewcommand|def|tikzset|pgfplotsset|definecolor|mathcal|lipsum)\b|\S\s*&\s*\S.*\\\\")
@@ -117,15 +127,19 @@ def skeleton(message: str) -> str | None:
 
 
 def _message_hashes(column: pa.Array):
-    """By block: row and hash of each message, letters only, which masks numbers, case and punctuation. Messages of fewer
-    than four letters are left out. Splits at line ends and at ends of sentences."""
-    for block in blocks(column):
+    """By block: row and hash of each message, letters only, which masks numbers, case and punctuation; addresses and dates are
+    masked before. Messages of fewer than four letters are left out. Splits at line ends and at ends of sentences."""
+    for block in blocks(pc.replace_substring_regex(column, UNHASHED, "0")):
         data, offsets = block.data, block.offsets
         if not len(data):
             continue
         symbol, kind = symbols(data)
         digit = (data >= 48) & (data <= 57)
         symbol[digit] = 0
+        wide = np.unique(symbol[symbol >= 128])
+        numerals = [c for c in wide.tolist() if chr(c).isdecimal()]
+        if numerals:
+            symbol[np.isin(symbol, numerals)] = 0
         space = (data == 10) | (data == 13) | (data == 32) | (data == 9)
         stop = (data == 46) | (data == 33) | (data == 63) | (data == 59)
         cut = (data == 10) | (data == 13) | (data == 60) | (data == 62)
@@ -206,13 +220,14 @@ def classify(message: str, recurs: bool) -> str:
     """What a message is by the rules; UNSURE: a sentence that a template may hold."""
     inner = ARGUMENT.match(message)
     plain = folded(inner[1] if inner else message.lstrip("%# ") if message.startswith(("%", "#")) and not PLACEHOLDER.match(message) else message)
-    words = WORD.findall(plain)
+    # addresses and dates are words of no language
+    words = WORD.findall(ELSEWHERE.sub(" ", plain))
     if skeleton(message):
         return RESIDUE
     if CODE.search(message):
         return CONTENT
     if RULES.search(plain):
-        others = [w for w in WORD.findall(RULES.sub(" ", plain)) if w not in KNOWN]
+        others = [w for w in WORD.findall(ELSEWHERE.sub(" ", RULES.sub(" ", plain))) if w not in KNOWN]
         if recurs or len(words) <= 4 or (len(words) <= LONGEST_RULE_WORDS and len(others) <= max(1, FOREIGN_SHARE * len(words))):
             return RESIDUE
         # prose that mentions a phrase

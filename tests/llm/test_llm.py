@@ -319,3 +319,15 @@ def test_residue_recurring(spark):
     df = spark.createDataFrame(rows + [(20 + i, odd + " Oops!", None) for i in range(6)], "doc_id long, text string, origin string")
     got = {r.doc_id for r in residue.p7_found(df).collect()}
     assert {0, 1, 2, 3, 10} <= got and 11 not in got
+
+
+def test_residue_masks_addresses_and_dates(spark):
+    where = ["https://tikz.example.org/gallery/blue/arrow.html", "www.melpo.net/kresh", "ftp://files.example.org/a/wolmir.tex", "tikz.example.org/pelkas/green.html"]
+    when = ["3 March 2024", "2 Juni", "August 1st, 2023", "2024-05-01T10:00:00Z"]
+    odd = "Oops, dear guest: this exhibit at {} sleeps under its glossy wolmir blanket since {}. Write to {}@example.org."
+    rows = [(i, odd.format(a, d, n), f"o{i}") for i, (a, d, n) in enumerate(zip(where, when, ("ann", "bo.b", "c-d", "eve")))]
+    rows += [(10, f"404 Not Found: {where[0]}", "x"), (11, odd.format("the melpo", "the kresh", "ann"), "y"), (12, "404 Not Found is all that the melpo archive at https://a.example.org returned, so we redrew every sphere by hand.", "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, origin string")
+    assert {r.doc_id for r in residue.p7_found(df).collect()} == {0, 1, 2, 3, 10}
+    parts = [f"The sphere of {m} sleeps" for m in ("March", "Juillet", "\N{ARABIC-INDIC DIGIT THREE}", "\N{ARABIC-INDIC DIGIT FOUR}")]
+    assert len(set(residue.hashes_of(parts).tolist())) == 1
