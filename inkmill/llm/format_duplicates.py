@@ -73,7 +73,7 @@ def _moved(place: np.ndarray, symbol: np.ndarray, keep: np.ndarray, data: np.nda
             key = (key << np.uint64(21)) | piece
         keys.append(key)
     order = np.lexsort((*reversed(keys), group))
-    long = length[order] > KEY_SYMBOLS
+    long = length[order] >= KEY_SYMBOLS  # an entry that ends with its key ties with longer ones
     tie = (group[order][1:] == group[order][:-1]) & long[1:] & long[:-1]
     for key in keys:
         tie &= key[order][1:] == key[order][:-1]

@@ -101,6 +101,16 @@ def test_copies(spark, monkeypatch):
     assert {tuple(r) for r in FD.copies(df, min_words=0).collect()} == wanted
 
 
+def test_entries_as_long_as_the_key(spark):
+    a, b = "abcdefghijkl", "abcdefghijklm"
+    assert len(a) == FD.KEY_SYMBOLS
+    texts = [f"[{a}, {b}]", f"[{b}, {a}]", f"[{b}, x, {a}, {a}]", f"[{a}, {b}, {a}, x]"]
+    prints = np.concatenate([FD.fingerprints(x, 0, True)[0] for x in scan.blocks(pa.array(texts))]).tolist()
+    assert prints[0] == prints[1] != prints[2] == prints[3]
+    df = spark.createDataFrame([(str(i), t, "") for i, t in enumerate(texts)], "file_id string, code string, caption string")
+    assert {tuple(r) for r in FD.copies(df, min_words=0).collect()} == {("0", "0"), ("1", "0"), ("2", "2"), ("3", "2")}
+
+
 def test_hot_group(spark):
     df = spark.range(5000).selectExpr("lpad(id, 5, '0') as file_id", "case when id % 3 = 0 then concat(repeat('w ', 50), repeat(' ', cast(id % 7 as int))) else concat(repeat('v ', 50), id) end as code", "cast(null as string) as caption")
     assert FD.copies(df).where("id <> rep").count() == 1666
