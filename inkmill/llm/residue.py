@@ -1,22 +1,24 @@
 r"""Template residue, filler, error pages and script notices in place of content.
 
 A text is cut into messages: lines and, within lines, sentences. *Recurrence*: with numbers, dates, addresses, case and
-punctuation masked, each message is hashed and counted over the origins of all documents; a message that at least ``SHARE`` of
-the origins (and ``LEAST_ORIGINS`` of them) have recurs widely. Messages with placeholders are counted with the placeholders
-masked, which yields the sentences of the templates. *Rules*: phrases (filler, errors, access and script notices in English,
+punctuation masked, each message is hashed and counted over the origins of all documents; a message that ``LEAST_ORIGINS`` origins have
+recurs, however many other origins there are. Messages with placeholders are counted with the placeholders
+masked, which yields the sentences of the templates, each held by ``TEMPLATE_ORIGINS`` origins. *Rules*: phrases (filler, errors, access and script notices in English,
 German, French and Spanish) and placeholder forms classify messages; a recurring message needs only a cue of a rule, one that
 stands alone must match a rule as a whole. What is neither residue nor furniture (headings, menus, links, lists of titles,
 document scaffolding, sentences of a known template, recurring messages) is content. A document is residue if it
 has some residue and no content.
 
-The counts are the only shuffle (hashes, aggregated before it); a hot message is one row for each task. The recurring messages
-and template sentences are broadcast: as each is held by a share of all origins, there are at most (messages in an origin) / SHARE.
+The counts are the only large shuffle (hashes, aggregated before it); a hot message is one row for each task. Most documents are judged by
+the rules alone, whatever recurs; the others ask for the hashes and sentences that decide them, and these are joined with what
+recurs: messages by hash, sentences by a word that the template holds. Nothing is broadcast or collected.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +29,9 @@ from pyspark.sql import functions as F
 from inkmill.llm.scan import BASE, blocks, mixed, powers, symbols
 from inkmill.session import materialise
 
-#: A message recurs widely if so many origins, and this share of all origins, have it.
+#: A message recurs if so many origins have it; a template sentence is learned from so many.
 LEAST_ORIGINS = 4
-SHARE = 2e-5
+TEMPLATE_ORIGINS = 2
 #: A message of more words is taken for prose, whatever it mentions, unless it recurs.
 LONGEST_RULE_WORDS = 26
 #: The share of words that belong neither to a phrase nor to the language of notices, beyond which a message is prose.
@@ -97,6 +99,7 @@ DATE = rf"\b(?:(?:{DAY}),? +)?(?:{NUMBER}\.?(?: +(?:of|de))? +{MONTH}\b\.?(?:,?(
 UNHASHED = rf"{ADDRESS}|(?i:\b\d{{4}}-\d\d-\d\dt[\d:.]*\dz?\b|\b(?:{MONTH}|{DAY})\b|\b\d+(?:st|nd|rd|th)\b)"
 ELSEWHERE = re.compile(rf"{ADDRESS}|(?i:{DATE})")
 MASKED = re.compile(rf"(?i:{DATE})|(?:https?://|www\.)\S+|\S+@\S+\.\w+|\b" r"\d{4}-\d\d-\d\d(?:[T ]\d\d:\d\d(?::\d\d)?)?\b|\b\d{1,2}[./]\d{1,2}[./]\d{2,4}\b|\b\d+(?:[.,:]\d+)*\b")
+LETTERS = re.compile(r"[^\W\d_]+")
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 FURNITURE = re.compile(r"^(?:#{1,6} |[-*+>|] ?|\d+[.)] |©|\(c\) |%)|\||^\\(?:documentclass|usepackage|usetikzlibrary|begin|end|section|subsection|subsubsection|chapter|paragraph|title|author|date|maketitle|label|centering|includegraphics|tableofcontents|caption|item|bibliography\w*|ref|cite|input)\b")
 CODE = re.compile(r"\\(?:draw|node|fill|filldraw|path|addplot|arrow|foreach|coordinate|matrix|shade|clip|sum|frac|int|newcommand|renewcommand|def|tikzset|pgfplotsset|definecolor|mathcal|lipsum)\b|\S\s*&\s*\S.*\\\\")
@@ -196,21 +199,21 @@ def _count_rows(value, origin, text):
     return pa.RecordBatch.from_arrays([pa.array(value), pa.array(origin), pa.array(text if text is not None else [None] * len(value), pa.string())], names=["hash", "origin", "skeleton"])
 
 
-class Knowledge:
-    """What recurs widely: hashes of messages (sorted), and patterns of template sentences."""
+def template_text(message: str) -> str:
+    """A message as it is held against template sentences."""
+    return MASKED.sub("0", folded(PLACEHOLDER.sub("it", message)))
 
-    def __init__(self, hashes: np.ndarray, skeletons: list[str]):
-        self.hashes = np.sort(hashes)
-        self.patterns = [re.compile(r"\S.{0,60}?".join(re.escape(part) for part in s.split(BLANK.lower())) + r"\Z") for s in skeletons]
-        self._known: dict[str, bool] = {}
 
-    def recurs(self, values: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.hashes, values), max(len(self.hashes) - 1, 0))
-        return self.hashes[at] == values if len(self.hashes) else np.zeros(len(values), bool)
+@lru_cache(4096)
+def pattern(sentence: str) -> re.Pattern:
+    """What a template sentence gives when it is filled."""
+    return re.compile(r"\S.{0,60}?".join(re.escape(part) for part in sentence.split(BLANK)) + r"\Z")
 
-    def of_template(self, message: str) -> bool:
-        text = MASKED.sub("0", folded(PLACEHOLDER.sub("it", message)))
-        return any(p.match(text) for p in self.patterns)
+
+def template_key(sentence: str) -> str:
+    """The longest word of a template sentence that touches no blank, so that each text it matches has it; "" if there is none."""
+    whole = [m[0] for m in LETTERS.finditer(sentence) if sentence[m.start() - 1 : m.start()] != BLANK and sentence[m.end() : m.end() + 1] != BLANK]
+    return max(whole, key=lambda w: (len(w), w), default="")
 
 
 RESIDUE, FURNISHED, CONTENT, UNSURE = "residue", "furniture", "content", "unsure"
@@ -249,55 +252,103 @@ def talks_of_placeholders(message: str) -> bool:
     return n > 0 and len(WORD.findall(rest)) >= LONG_TEMPLATE_WORDS
 
 
-def is_residue(text: str, known: Knowledge) -> bool:
-    """Whether a text has residue and no content of its own."""
+def asked(text: str) -> tuple[bool | None, list[int], list[str]]:
+    """Whether a text is residue, if no knowledge of what recurs can change that; else None with the hashes and the sentences that decide it."""
     if CODE.search(text):
-        return False
+        return False, [], []
+    placeholders = bool(PLACEHOLDER.search(text))
+    found, unclear, sentences = False, [], []
+    for message in messages(text):
+        kind = classify(message, False)
+        kinds = {kind} if kind == RESIDUE else {kind, classify(message, True)}
+        if kinds == {CONTENT} or kinds == {UNSURE} and not placeholders:
+            return False, [], []
+        found |= RESIDUE in kinds
+        if len(kinds) > 1:
+            unclear.append(message)
+        if placeholders and (UNSURE in kinds or RESIDUE in kinds and talks_of_placeholders(message)):
+            sentences.append(template_text(message))
+    if not found or not (unclear or sentences):
+        return found, [], []
+    return None, sorted({h for h in hashes_of(unclear).view(np.int64).tolist() if h}), sorted(set(sentences))
+
+
+def is_residue(text: str, recurring: set[int], fitting: set[str]) -> bool:
+    """Whether a text has residue and no content of its own, given which of its hashes recur and which sentences are of a template."""
     placeholders = bool(PLACEHOLDER.search(text))
     parts = messages(text)
-    found, unsure = False, []
-    for message, recurs in zip(parts, known.recurs(hashes_of(parts)).tolist()):
-        kind = classify(message, recurs)
+    found = False
+    for message, value in zip(parts, hashes_of(parts).view(np.int64).tolist()):
+        kind = classify(message, value in recurring)
         if kind == CONTENT:
             return False
-        if kind == RESIDUE and placeholders and known.patterns and talks_of_placeholders(message) and not known.of_template(message):
+        if (kind == UNSURE or kind == RESIDUE and placeholders and talks_of_placeholders(message)) and not (placeholders and template_text(message) in fitting):
             return False
         found |= kind == RESIDUE
-        if kind == UNSURE:
-            unsure.append(message)
-    return found and all(placeholders and known.of_template(m) for m in unsure)
+    return found
+
+
+def _judge(batches):
+    for batch in batches:
+        texts = batch.column(1).to_pylist()
+        flags, hashes, sentences = zip(*(asked(t) if t else (False, [], []) for t in texts)) if texts else ((), (), ())
+        kept = [t if f is None else None for t, f in zip(texts, flags)]
+        columns = [pa.array(kept, pa.string()), pa.array(flags, pa.bool_()), pa.array(hashes, pa.list_(pa.int64())), pa.array(sentences, pa.list_(pa.string()))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", "text", "residue", "hashes", "sentences"])
+
+
+def _sentence_keys(batches):
+    for batch in batches:
+        rows = [(s, k) for s in batch.column(0).to_pylist() for k in {"", *LETTERS.findall(s)}]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in (0, 1)], names=["sentence", "key"])
 
 
-def _flag(known):
-    def run(batches):
-        knowledge = known.value
-        for batch in batches:
-            flags = [bool(t) and is_residue(t, knowledge) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(flags, pa.bool_())], names=["id", "residue"])
+def _skeleton_keys(batches):
+    for batch in batches:
+        rows = [(s, template_key(s), s.split(BLANK)[0], s.split(BLANK)[-1]) for s in batch.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(4)], names=["skeleton", "key", "head", "tail"])
+
+
+def _fitting(batches):
+    for batch in batches:
+        pairs = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array(sorted({s for s, t in pairs if pattern(t).match(s)}), pa.string())], names=["sentence"])
 
-    return run
+
+def _decide(batches):
+    for batch in batches:
+        texts, recurring, fitting = (batch.column(k).to_pylist() for k in (1, 2, 3))
+        flags = [is_residue(t, set(r or ()), set(f or ())) for t, r, f in zip(texts, recurring, fitting)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(flags, pa.bool_())], names=["id", "residue"])
 
 
 def recurring(df: DataFrame, text_col: str = "text", origin_col: str = "origin", id_col: str = "doc_id") -> DataFrame:
-    """(hash, skeleton, n_origins) of the messages that recur widely. A document without an origin is an origin of its own."""
+    """(hash, skeleton, n_origins) of the messages that recur. A document without an origin is an origin of its own."""
     origin = F.when(F.col(origin_col).isNull(), F.xxhash64(F.lit("none"), F.col(id_col))).otherwise(F.xxhash64(F.col(origin_col)))
     text = df.select(F.col(text_col).alias("text"), origin.alias("origin_hash")).where("text is not null")
-    n = text.select("origin_hash").distinct().count()
-    least = max(LEAST_ORIGINS, int(SHARE * n))
     rows = text.mapInArrow(_counted, "hash long, origin long, skeleton string")
     once = rows.groupBy("hash", "origin").agg(F.max("skeleton").alias("skeleton"))
-    return once.groupBy("hash").agg(F.max("skeleton").alias("skeleton"), F.count("*").alias("n_origins")).where(F.col("n_origins") >= F.when(F.col("skeleton").isNotNull(), max(2, int(SHARE * n))).otherwise(least))
+    least = F.when(F.col("skeleton").isNotNull(), TEMPLATE_ORIGINS).otherwise(LEAST_ORIGINS)
+    return once.groupBy("hash").agg(F.max("skeleton").alias("skeleton"), F.count("*").alias("n_origins")).where(F.col("n_origins") >= least)
 
 
 def residue(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", origin_col: str = "origin") -> DataFrame:
     """(id, residue) of every row: whether its text is residue only. Null and empty texts are not. Other columns are not read."""
-    found = materialise(recurring(df, text_col, origin_col, id_col))
-    rows = found.select("hash", "skeleton").toPandas()
-    hashes = rows.loc[rows["skeleton"].isna(), "hash"].to_numpy(dtype=np.int64).view(np.uint64)
-    knowledge = Knowledge(hashes, sorted(rows.loc[rows["skeleton"].notna(), "skeleton"]))
-    known = df.sparkSession.sparkContext.broadcast(knowledge)
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_flag(known), f"id {kind}, residue boolean")
+    judged = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_judge, f"id {kind}, text string, residue boolean, hashes array<long>, sentences array<string>")
+    judged = materialise(judged.withColumn("row", F.monotonically_increasing_id()))
+    unclear = judged.where("residue is null")
+    found = materialise(recurring(df, text_col, origin_col, id_col))
+    hashes = unclear.select("row", F.explode("hashes").alias("hash"))
+    recur = hashes.join(found.where("skeleton is null").select("hash"), "hash").groupBy("row").agg(F.collect_list("hash").alias("recurring"))
+    sentences = unclear.select("row", F.explode("sentences").alias("sentence"))
+    keyed = sentences.select("sentence").distinct().mapInArrow(_sentence_keys, "sentence string, key string")
+    skeletons = found.where("skeleton is not null").select("skeleton").mapInArrow(_skeleton_keys, "skeleton string, key string, head string, tail string")
+    pairs = keyed.join(skeletons, "key").where(F.startswith("sentence", "head") & F.endswith("sentence", "tail")).select("sentence", "skeleton")
+    fitting = sentences.join(pairs.mapInArrow(_fitting, "sentence string").distinct(), "sentence").groupBy("row").agg(F.collect_list("sentence").alias("fitting"))
+    known = unclear.select("row", "id", "text").join(recur, "row", "left").join(fitting, "row", "left")
+    decided = known.select("id", "text", "recurring", "fitting").mapInArrow(_decide, f"id {kind}, residue boolean")
+    return judged.where("residue is not null").select("id", "residue").unionByName(decided)
 
 
 def p7_found(df: DataFrame) -> DataFrame:

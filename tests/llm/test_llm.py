@@ -341,3 +341,21 @@ def test_residue_masks_addresses_and_dates(spark):
     assert {r.doc_id for r in residue.p7_found(df).collect()} == {0, 1, 2, 3, 10}
     parts = [f"The sphere of {m} sleeps" for m in ("March", "Juillet", "\N{ARABIC-INDIC DIGIT THREE}", "\N{ARABIC-INDIC DIGIT FOUR}")]
     assert len(set(residue.hashes_of(parts).tolist())) == 1
+
+
+def test_residue_whatever_else_there_is(spark):
+    held = "The caption of the melpo drawing shown on {{place}} was written by the keeper of kresh."
+    odd = "Oops, dear guest: this exhibit sleeps under its glossy wolmir blanket until the keeper of kresh wakes it."
+    rows = [(i, held, f"o{i}") for i in (1, 2)] + [(i, odd, f"o{i}") for i in (3, 4, 5, 6)] + [(7, held.replace("{{place}}", "a hill") + "\nUse {{a}} here.", "o7"), (8, held.replace("melpo", "tergra"), "o8")]
+    # templates that hold no whole word, and words beside a placeholder
+    rows += [(i, "Insert the title here: {{a}}\n{{a}}melpo kresh{{b}}", f"o{i}") for i in (11, 12)] + [(13, "The title is {{a}}.\nMy melpo kresh, seen from afar, is what this blue drawing wants to show.", "o13")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, origin string")
+    wanted = {1, 2, 3, 4, 5, 6, 7, 11, 12, 13}
+    assert {r.doc_id for r in residue.p7_found(df).collect()} == wanted
+    others = spark.range(100, 300_100).selectExpr("id as doc_id", "concat('Sphere ', id) as text", "concat('other', id) as origin")
+    assert {r.doc_id for r in residue.p7_found(df.unionByName(others)).collect()} == wanted
+
+
+def test_template_keys():
+    b = residue.BLANK
+    assert residue.template_key(f"draw a {b} near {b}s.") == "near" and residue.template_key(f"{b}melpo kresh{b}") == "" and residue.template_key("a bc") == "bc"
