@@ -6,7 +6,7 @@ recurs, however many other origins there are. Messages with placeholders are cou
 masked, which yields the sentences of the templates, each held by ``TEMPLATE_ORIGINS`` origins. *Rules*: phrases (filler, errors, access and script notices in English,
 German, French and Spanish) and placeholder forms classify messages; a recurring message needs only a cue of a rule, one that
 stands alone must match a rule as a whole. What is neither residue nor furniture (headings, menus, links, lists of titles,
-document scaffolding, sentences of a known template, recurring messages) is content. A document is residue if it
+document scaffolding, definitions of macros, colours and styles, sentences of a known template, recurring messages) is content. A document is residue if it
 has some residue and no content.
 
 The counts are the only large shuffle (hashes, aggregated before it); a hot message is one row for each task. Most documents are judged by
@@ -102,7 +102,15 @@ MASKED = re.compile(rf"(?i:{DATE})|(?:https?://|www\.)\S+|\S+@\S+\.\w+|\b" r"\d{
 LETTERS = re.compile(r"[^\W\d_]+")
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 FURNITURE = re.compile(r"^(?:#{1,6} |[-*+>|] ?|\d+[.)] |©|\(c\) |%)|\||^\\(?:documentclass|usepackage|usetikzlibrary|begin|end|section|subsection|subsubsection|chapter|paragraph|title|author|date|maketitle|label|centering|includegraphics|tableofcontents|caption|item|bibliography\w*|ref|cite|input)\b")
-CODE = re.compile(r"\\(?:draw|node|fill|filldraw|path|addplot|arrow|foreach|coordinate|matrix|shade|clip|sum|frac|int|newcommand|renewcommand|def|tikzset|pgfplotsset|definecolor|mathcal|lipsum)\b|\S\s*&\s*\S.*\\\\")
+# What draws, what is a formula, what fills a page, and what only defines (its arguments follow).
+DRAWING = r"\\(?:draw|node|fill|filldraw|path|addplot|arrow|foreach|coordinate|matrix|shade|clip)\b"
+CODE = re.compile(DRAWING + r"|\\(?:sum|frac|int|mathcal)\b|\S\s*&\s*\S.*\\\\")
+FILLING_COMMAND = re.compile(r"\\(?:lipsum|blindtext|Blindtext|blinddocument|Blinddocument|kant)\*?(?![A-Za-z])(?:\[[^\]\n]*\])*")
+DEFINITION = re.compile(r"\\(?:(?:re)?newcommand|providecommand|DeclareRobustCommand|DeclareMathOperator|[gex]?def|newenvironment|renewenvironment|newtheorem|definecolor|colorlet|tikzset|tikzstyle|pgfplotsset|pgfkeys|lstset|hypersetup|setlength|newlength)(?![A-Za-z])\*?")
+DRAWS = re.compile(DRAWING)
+BRACKET = re.compile(r"\\.|[{}\[\]]", re.S)
+#: What stands between the arguments of a definition: blanks within a line, a name, parameters, an equals sign.
+DEFINED = re.compile(r"[ \t]*(?:\\[A-Za-z@]+\*?)?(?:#\d)*[ \t]*=?[ \t]*(?:%?\n[ \t]*(?=[{\[]))?")
 ARGUMENT = re.compile(r"^\\(?:title|author|section|subsection|subsubsection|caption|date|paragraph|chapter)\*?(?:\[[^\]]*\])?\{(.*?)\}?\s*(?:\\label\{[^}]*\})?$")
 LABELLED = re.compile(r"^[A-Z]\w+: ")
 BLANK = "\N{OBJECT REPLACEMENT CHARACTER}"
@@ -115,6 +123,47 @@ def folded(text: str) -> str:
     return " ".join(text.lower().split())
 
 
+def _closes(text: str) -> dict[int, int]:
+    """By place of each opening bracket that is closed: the place after the one that closes it."""
+    opened, out = [], {}
+    for m in BRACKET.finditer(text):
+        c = m[0]
+        if c in "{[":
+            opened.append((c, m.start()))
+        elif c == "}":
+            while opened and opened[-1][0] == "[":
+                opened.pop()
+            if opened:
+                out[opened.pop()[1]] = m.end()
+        elif c == "]" and opened and opened[-1][0] == "[":
+            out[opened.pop()[1]] = m.end()
+    return out
+
+
+def without_definitions(text: str) -> str:
+    """A text without the definitions of macros, colours, styles and lengths."""
+    found = list(DEFINITION.finditer(text)) if "\\" in text else []
+    if not found:
+        return text
+    closes, kept, last = _closes(text), [], 0
+    for m in found:
+        if m.start() < last:
+            continue
+        end, at = m.end(), DEFINED.match(text, m.end()).end()
+        while at in closes:
+            end = closes[at]
+            at = DEFINED.match(text, end).end()
+        if end > m.end():
+            kept.append(text[last : m.start()])
+            last = end
+    return "".join(kept) + text[last:]
+
+
+def calculates_or_draws(text: str) -> bool:
+    """Whether a text holds drawing statements, even in definitions (these may be all of a figure), or formulas outside of them."""
+    return bool(DRAWS.search(text)) or bool(CODE.search(without_definitions(text)))
+
+
 def messages(text: str) -> list[str]:
     """The lines and sentences of a text, without HTML tags."""
     # without a closing tag, <title> and the like are placeholders
@@ -180,8 +229,9 @@ def _counted(batches):
             yield _count_rows(joint[0].view(np.int64), origins[joint[1].astype(np.int64)], None)
         values, rows, texts_of = [], [], []
         for i, text in enumerate(texts.to_pylist()):
-            if text and not CODE.search(text) and PLACEHOLDER.search(text):
-                for s in {s for m in messages(text) if (s := skeleton(m)) and len(WORD.findall(s)) >= 2}:
+            # a document that draws or calculates teaches no template
+            if text and not calculates_or_draws(text) and PLACEHOLDER.search(text):
+                for s in {s for m in messages(without_definitions(text)) if (s := skeleton(m)) and len(WORD.findall(s)) >= 2}:
                     values.append(hash_of(s))
                     rows.append(origins[i])
                     texts_of.append(s)
@@ -229,6 +279,10 @@ def classify(message: str, recurs: bool) -> str:
         return RESIDUE
     if CODE.search(message):
         return CONTENT
+    rest, n = FILLING_COMMAND.subn("", message)
+    if n:
+        kind = classify(rest.strip(), recurs) if rest.strip() else FURNISHED
+        return RESIDUE if kind == FURNISHED else kind
     if RULES.search(plain):
         others = [w for w in WORD.findall(ELSEWHERE.sub(" ", RULES.sub(" ", plain))) if w not in KNOWN]
         if recurs or len(words) <= 4 or (len(words) <= LONGEST_RULE_WORDS and len(others) <= max(1, FOREIGN_SHARE * len(words))):
@@ -254,8 +308,9 @@ def talks_of_placeholders(message: str) -> bool:
 
 def asked(text: str) -> tuple[bool | None, list[int], list[str]]:
     """Whether a text is residue, if no knowledge of what recurs can change that; else None with the hashes and the sentences that decide it."""
-    if CODE.search(text):
+    if calculates_or_draws(text):
         return False, [], []
+    text = without_definitions(text)
     placeholders = bool(PLACEHOLDER.search(text))
     found, unclear, sentences = False, [], []
     for message in messages(text):
@@ -274,7 +329,8 @@ def asked(text: str) -> tuple[bool | None, list[int], list[str]]:
 
 
 def is_residue(text: str, recurring: set[int], fitting: set[str]) -> bool:
-    """Whether a text has residue and no content of its own, given which of its hashes recur and which sentences are of a template."""
+    """Whether a text that ``asked`` leaves open has residue and no content of its own, given which of its hashes recur and which sentences are of a template."""
+    text = without_definitions(text)
     placeholders = bool(PLACEHOLDER.search(text))
     parts = messages(text)
     found = False

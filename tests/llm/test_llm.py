@@ -359,3 +359,18 @@ def test_residue_whatever_else_there_is(spark):
 def test_template_keys():
     b = residue.BLANK
     assert residue.template_key(f"draw a {b} near {b}s.") == "near" and residue.template_key(f"{b}melpo kresh{b}") == "" and residue.template_key("a bc") == "bc"
+
+
+PREAMBLE = "\\documentclass{article}\n\\usepackage{tikz}\n\\newcommand{\\half}[1]{\\frac{#1}{2}}\n\\def\\R{\\mathcal{R}}\n\\definecolor{melpo}{RGB}{1,2,3}\n\\tikzset{\n  block/.style={rectangle, draw, fill=blue!20, text width=5em, text centered, rounded corners, minimum height=4em},\n  line/.style={draw, -latex}\n}\n\\pgfplotsset{compat=1.18}\n\\begin{document}\n"
+BODIES = [
+    ("\\title{Paper title}\n\\section{Heading 1}\nText text text.", True), ("\\lipsum[1-4]", True), ("\\section{Results} \\lipsum[1]\\lipsum[2]", True), ("Lorem ipsum dolor sit amet.", True), (REAL, False), (REAL + "\n\\lipsum[1]", False), ("\\lipsum[1] " + REAL, False),
+    ("\\title{Paper title}\n\\draw (0,0) -- (1,1);", False), ("Text text text.\n$\\frac{1}{2}$", False), ("\\newcommand{\\pic}{\\draw (0,0);}\n\\pic\nText text text.", False), ("\\section{Heading}", False), ("\\lipsum[1]\n\\newcommand{\\a}{" + REAL, False),
+]
+
+
+def test_residue_behind_a_preamble(spark):
+    df = spark.createDataFrame([(i, PREAMBLE + body + "\n\\end{document}", f"o{i}") for i, (body, _) in enumerate(BODIES)], "doc_id long, text string, origin string")
+    assert {r.id: r.residue for r in residue.residue(df).collect()} == {i: flag for i, (_, flag) in enumerate(BODIES)}
+    held = "The caption of the melpo drawing shown on {{place}} was written by the keeper of kresh."
+    df = spark.createDataFrame([(i, PREAMBLE + held, f"o{i}") for i in (1, 2)], "doc_id long, text string, origin string")
+    assert {r.doc_id for r in residue.p7_found(df).collect()} == {1, 2}
