@@ -346,6 +346,12 @@ def label_of(x: Column | str) -> Column:
     return strip(F.regexp_extract(_c(x), r"\\label\{([^\}]+)\}", 1))
 
 
+def labels_of(x: Column | str) -> Column:
+    """X-09: all different labels in order of appearance, blank ones left out."""
+    labels = F.transform(F.regexp_extract_all(_c(x), F.lit(r"\\label\{([^\}]+)\}"), 1), lambda label: strip(label))
+    return F.array_distinct(F.filter(labels, lambda label: label != ""))
+
+
 def relevant_code(x: Column | str) -> Column:
     """X-28: the first picture, or the whole text, white space collapsed."""
     found = F.regexp_extract(_c(x), r"(?s)\\begin\{(tikzpicture|circuitikz|tikzcd)\}.*?\\end\{\1\}", 0)

@@ -368,7 +368,7 @@ over("paragraphs", "documents", None, lambda: ["doc_id", F.explode(X.paragraphs(
 
 @query("text_mentions")
 def _(spark, d):
-    rows = read_table(spark, d, "documents").where(F.contains("text", F.lit("\\label{"))).select("doc_id", L.label_of("text").alias("label"), "text")
+    rows = read_table(spark, d, "documents").where(F.contains("text", F.lit("\\label{"))).select("doc_id", F.explode(L.labels_of("text")).alias("label"), "text")
     return rows.select("doc_id", "label", X.text_mentions("text", "label").alias("mentions"))
 
 

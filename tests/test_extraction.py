@@ -100,3 +100,12 @@ def test_sequences(spark):
     assert Q.template_request("easy", 3).startswith("Write 3 ")
     lexed = spark.createDataFrame([("\\draw (0,0) % note\n Hello There",), (None,)], "x string").select(Q.lexed("x"), Q.lexed("x", True)).collect()
     assert "\\draw" in lexed[0][0] and not any("note" in t for t in lexed[0][0]) and "hello" in lexed[0][1] and lexed[1][0] is None
+
+
+def test_text_mentions_of_every_label(spark, tmp_path):
+    from inkmill import queries
+
+    text = "\\label{fig:a} \\label{ fig:b } \\label{fig:a}\n\nAs \\ref{fig:a} shows, all is well.\n\nAs \\ref{fig:b} shows, it is not."
+    spark.createDataFrame([(1, text), (2, "no label"), (3, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.doc_id, r.label): r.mentions for r in queries.QUERIES["text_mentions"](spark, str(tmp_path)).collect()}
+    assert set(got) == {(1, "fig:a"), (1, "fig:b")} and ["fig:a" in m[0] for m in got.values()].count(True) == 1 and all(len(m) == 1 for m in got.values())
