@@ -37,7 +37,7 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_limits(spark: SparkSession, d: str) -> DataFrame:
-    return truncation.limits(truncation.endings(_table(spark, d, "corpus")))
+    return truncation.limits(truncation.lengths(_table(spark, d, "corpus"))).drop("q_value")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -115,8 +115,29 @@ r as (select s.file_id, s.s, c.n from s join c on s.file_id = c.file_id and c.fi
 e as materialized (select a, b from l union all select b, a from l)"""
 
 
+# the length hazards of problem 2: tested twice, the second time without the neighbours that are limits themselves
+_MARK = r"(\s*(…|\x{FFFD}|\.{3,}|[\[(<{]\s*(\.{2,}|…|([\w ]{0,20}\b)?(truncated|clipped|snip(ped)?|cut( off)?|shortened|omitted|trimmed|continued|more)\b[\w ]{0,20})\s*[\])>}]))+\s*$"
+
+
+def _tested(table: str, ends: str, exposure: str, own_ends: str, own_exposure: str) -> str:
+    near = "over (partition by source order by length range between 50 preceding and 50 following)"
+    rates = f"select *, (sum({ends}) {near} - {own_ends} + 0.5) / (sum({exposure}) {near} - {own_exposure} + 1.0) as near_hazard from {table}"
+    tails = f"select *, case when ends > near_hazard * at_risk then exp(-(ends * ln(ends / (near_hazard * at_risk)) - ends + near_hazard * at_risk)) else 1.0 end as p from ({rates}) t1"
+    ranks = f"select *, p * count(*) over (partition by source) / row_number() over (partition by source order by p, length) as up from ({tails}) t2"
+    return f"(select *, least(1.0, min(up) over (partition by source order by p, length rows between current row and unbounded following)) <= 0.01 and ends >= 3 as found from ({ranks}) t3)"
+
+
+_FIRST = _tested("e", "ends", "exposure", "ends", "at_risk")
+_PLAIN = f"(select source, length, ends, at_risk, case when found then 0 else ends end as pe, exposure - case when found then at_risk else 0 end as px, case when found then 0 else ends end as oe, case when found then 0 else at_risk end as ox from {_FIRST} f1)"
+_LIMITS = f"""with c as (select source, length(regexp_replace(code, '{_MARK}', '', 'i'))::int as length, count(*)::bigint as ends from corpus where regexp_matches(code, '\\S') group by all),
+r as (select *, (sum(ends) over (partition by source order by length rows between current row and unbounded following))::bigint as at_risk, coalesce(lag(length) over (partition by source order by length), 0) as prev from c),
+e as (select *, greatest(least(length - prev, 100), 1) * at_risk as exposure from r)
+select source, length, ends, at_risk, ends / at_risk as hazard, near_hazard from {_tested(_PLAIN, "pe", "px", "oe", "ox")} f2 where found"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p2_limits": _LIMITS,
         "p1_found": f"select first as file_id_a, file_id as file_id_b from (select file_id, min(file_id) over (partition by canon, cap) as first from {_CANON} c where n >= 40) d where first <> file_id",
         "p1_collapsed": f"select min(file_id) as file_id, count(*)::bigint as copies from {_CANON} c group by canon, cap",
         "p3_found": _SHARED,

@@ -155,6 +155,36 @@ def test_truncated(spark):
     assert truncation.truncated(df.where("false")).count() == 0
 
 
+def test_constructs(spark):
+    r = random.Random(3)
+    whole = ["\\begin{melpo}\n" + "".join(f"\\kresh{{{i}}} (0,{r.randrange(9)}) -- (1,1);\n" for i in range(6)) + "\\end{melpo}" for _ in range(60)]
+    listed = ["".join(f"\\wolmir{{{i}}}\n" for i in range(r.randrange(1, 5))) for _ in range(60)]
+    cut = ["\\begin{melpo}\n\\kresh{1} (0,0);\n", "\\kresh{1} (0,0);\n\\kresh{2} (0,", "\\kresh{1} (0,0);\n\\kre", "\\kresh{1} (0,0);\n\\kresh"]
+    df = spark.createDataFrame([(f"w{i}", None, t) for i, t in enumerate(whole + listed)] + [(f"c{i}", None, t) for i, t in enumerate(cut)], "file_id string, source string, code string")
+    for with_prior in (True, False):
+        assert {x.id for x in truncation.truncated(df, with_prior=with_prior).collect()} == {f"c{i}" for i in range(4)}
+    counted = truncation.walked(df).where("kind is not null")
+    found = {(x.kind, x.name, x.step): x for x in truncation.construct_hazards(counted.select("kind", "name", "step", "visits", "stops"), with_prior=False).collect()}
+    # every text of the list ends after a command with its argument; one text stops in the environment
+    assert found["command", "wolmir", 1].stops == 60 and found["command", "wolmir", 1].p_value == 1.0 and found["environment", "melpo", 0].stops == 1
+    known = {tuple(x) for x in truncation.unended(truncation.construct_hazards(counted.select("kind", "name", "step", "visits", "stops"), with_prior=False)).collect()}
+    assert ("command", "kresh", 0) in known and ("beginning", "kre", 0) in known and ("command", "wolmir", 1) not in known
+
+
+def test_prescribed_and_observed_constructs_find_the_same(spark, data):
+    corpus = spark.read.parquet(f"{data}/corpus.parquet")
+    by = [sorted(x.id for x in truncation.truncated(corpus, with_prior=p).collect()) for p in (True, False)]
+    assert by[0] == by[1] and by[0]
+
+
+def test_limits_beside_limits(spark):
+    r = random.Random(2)
+    rows = [("a", r.randrange(100, 3000)) for _ in range(3000)] + [("a", 2000)] * 90 + [("a", 1999)] * 12
+    df = spark.createDataFrame(rows, "source string, length int")
+    got = {x.length: x for x in truncation.hazards(df).collect()}
+    assert {x.length for x in truncation.limits(df).collect()} == {1999, 2000} and got[1990].near_hazard < 0.002
+
+
 # --- 3: leakage -----------------------------------------------------------------------------------------------------
 def shared_items(train, test, span):
     inverse = defaultdict(set)
