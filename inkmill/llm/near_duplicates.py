@@ -6,10 +6,16 @@ is a lower bound of the symmetric difference. A Jaccard similarity of t allows a
 d = (1 - t) / (1 + t) * (|A| + |B|), so among any d + 1 filled cells of a set at least one agrees with the other set
 (pigeonhole). Each set is joined within its *size band* (an octave of set sizes, with K fitted to it) and, as the smaller
 partner, within the next band. Of its filled cells it sends the d + 1 that come first in an order that depends on the
-content of the cell only, so both partners sort an agreeing cell alike; the order puts rare content first, by a
-fixed-size count of all tokens of the corpus. Candidates are held
-against each other's parity bits (Hamming distance at most d) and then verified on the texts. Nothing is capped: a set with too few
-filled cells sends all of them, and joins the other such sets once more with one token to a cell.
+content of the cell only, so both partners sort an agreeing cell alike; the order puts rare content first, by
+counts of all tokens of the corpus in a table of bounded size. Candidates are held
+against each other's parity bits (Hamming distance at most d) and then verified on the texts.
+
+*Hot cells.* A cell whose rarest token is held by more than about ``HOT`` sets is not sent. Two similar sets can only agree in nothing
+but hot cells if each has a hot cell among its first d + 1; such sets, and those with fewer than d + 1 filled cells, meet once more with one
+token to a cell: for each narrow band of partner sizes a set of n tokens sends its rarest n - o + 1 tokens, o being the overlap that the
+similarity needs. Sets that share a common part meet there only if that part is nearly as large as a similar pair's must be, so the
+meetings grow with the pairs to be found, not with the square of a common part's holders. A token held by more than ``SPLIT`` sets is cut into parts, each two of which meet in a task
+of their own. Nothing is capped.
 
 The cells travel as packed arrays (a few bytes a cell, one shuffled row for each bucket and batch) and are joined by sorting in
 each bucket. Sets that are equal are collapsed before the join and expanded after it.
@@ -31,13 +37,22 @@ from inkmill.session import materialise
 SHINGLE_WORDS = 5
 THRESHOLD = 0.7
 MIN_WORDS = 40
-#: Slots of the token counts that set the order of cells, and into how many rows they are cut. The size is fixed.
-COUNT_SLOTS, COUNT_PARTS = 1 << 20, 64
+#: Slots of the token counts that set the order of cells: for tables of up to 256 parts, and at most. Into how many rows they are cut.
+COUNT_SLOTS, MOST_SLOTS, COUNT_PARTS = 1 << 20, 1 << 24, 64
+#: A cell is hot if its rarest token occurs more often than this (beyond what other tokens add to its slot).
+HOT = 512
+#: Sets that meet in one task because of one token, about.
+SPLIT = 20_000
+#: The width of the bands of partner sizes for sets with hot cells.
+NARROW = 1.1
+#: Members of a class of equal sets in one place, when the pairs within it are written out.
+PLACE_ROWS = 5000
+#: Tasks of the join, each of which holds one bucket after the other.
+MOST_TASKS = 50_000
 #: Cells that one bucket of the join holds, about.
 CELLS_PER_BUCKET = 400_000
 #: Up to this many ids a set of ids is broadcast (about 64 MB); beyond it, it is shuffled.
 BROADCAST_IDS = 1_000_000
-FINE_CELLS = 1 << 47
 #: Bits of the parity sketch against which candidates are held before their texts are fetched.
 SKETCH_BITS = 512
 PAIR_RUN = 1 << 20
@@ -80,20 +95,25 @@ def parity_bits(size: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     return np.packbits(odd).view(np.int64)
 
 
-def _slots(tokens: np.ndarray) -> np.ndarray:
-    return (mixed(tokens) >> np.uint64(64 - (COUNT_SLOTS.bit_length() - 1))).astype(np.int64)
+def _slots(tokens: np.ndarray, slots: int) -> np.ndarray:
+    return (mixed(tokens) >> np.uint64(64 - (slots.bit_length() - 1))).astype(np.int64)
+
 
+def count_slots(parts: int) -> int:
+    """A power of two that grows with the parts of the table's scan."""
+    return min(MOST_SLOTS, COUNT_SLOTS << max(0, (parts - 1) // 256).bit_length())
 
-def _profile(k: int, min_words: int):
+
+def _profile(k: int, min_words: int, slots: int):
     """One row for each record (its set's signatures and size), then the token counts of the partition."""
 
     def run(batches):
-        counts = np.zeros(COUNT_SLOTS, np.uint32)
+        counts = np.zeros(slots, np.uint32)
         for batch in batches:
             for rows, size, tokens in token_sets(batch.column(1), k, min_words):
                 if not len(rows):
                     continue
-                counts += np.bincount(_slots(tokens), minlength=COUNT_SLOTS).astype(np.uint32)
+                counts += np.bincount(_slots(tokens, slots), minlength=slots).astype(np.uint32)
                 one, two = _signatures(size, tokens)
                 none = pa.nulls(len(rows))
                 sketch = pa.ListArray.from_arrays(pa.array(np.arange(0, len(rows) * SKETCH_BITS // 64 + 1, SKETCH_BITS // 64, dtype=np.int32)), pa.array(parity_bits(size, tokens)))
@@ -103,7 +123,7 @@ def _profile(k: int, min_words: int):
                 )
         if counts.any():
             none = pa.nulls(COUNT_PARTS)
-            packed = [pa.compress(x.tobytes(), "zstd", asbytes=True) for x in np.split(counts, COUNT_PARTS)]
+            packed = [pa.compress(x.astype(np.uint64).tobytes(), "zstd", asbytes=True) for x in np.split(counts, COUNT_PARTS)]
             yield pa.RecordBatch.from_arrays(
                 [none.cast(pa.string()), none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.list_(pa.int64())), pa.array(np.arange(COUNT_PARTS, dtype=np.int32)), pa.array(packed, pa.binary())],
                 names=PROFILE_NAMES,
@@ -112,16 +132,23 @@ def _profile(k: int, min_words: int):
     return run
 
 
-def _added(batches):
-    """The sum of the token counts of each part."""
-    width = COUNT_SLOTS // COUNT_PARTS
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for part, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
-            add = np.frombuffer(pa.decompress(packed.as_buffer(), width * 4, "zstd"), np.uint32)
-            total[part] = total[part] + add if part in total else add.astype(np.uint64)
-    for part, x in total.items():
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([_coarse(x).tobytes()], pa.binary())], names=["part", "counts"])
+def _unpacked(data, slots: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data.as_buffer(), slots // COUNT_PARTS * 8, "zstd"), np.uint64)
+
+
+def _added(slots: int, last: bool):
+    """The sums of the token counts of each part, packed, or at the last on a scale of one byte."""
+
+    def run(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
+                add = _unpacked(packed, slots)
+                total[part] = total[part] + add if part in total else add
+        for part, x in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([_coarse(x).tobytes() if last else pa.compress(x.tobytes(), "zstd", asbytes=True)], pa.binary())], names=["part", "counts"])
+
+    return run
 
 
 def _coarse(counts: np.ndarray) -> np.ndarray:
@@ -129,12 +156,15 @@ def _coarse(counts: np.ndarray) -> np.ndarray:
     return np.minimum(255, np.floor(6 * np.log2(1.0 + counts))).astype(np.uint8)
 
 
-def _rarity(profile: DataFrame) -> np.ndarray:
-    """How often the tokens of each slot occur in the whole corpus. The driver gets COUNT_SLOTS bytes, whatever the input."""
-    parts = profile.where("part is not null").select("part", "counts").repartition("part").mapInArrow(_added, "part int, counts binary").collect()
-    scale = np.zeros(COUNT_SLOTS, np.uint8)
-    width = COUNT_SLOTS // COUNT_PARTS
-    for r in parts:
+def _rarity(profile: DataFrame, slots: int, tasks: int) -> np.ndarray:
+    """How often the tokens of each slot occur in the whole corpus. The driver gets ``slots`` bytes, MOST_SLOTS at most. Tables
+    are added up in groups of about the root of their number before they come together."""
+    schema = "part int, counts binary"
+    counted = profile.where("part is not null").select("part", "counts", F.pmod(F.spark_partition_id(), F.lit(max(1, int(tasks**0.5)))).alias("salt"))
+    once = counted.repartition(max(COUNT_PARTS, int(tasks**0.5)), "part", "salt").select("part", "counts").mapInArrow(_added(slots, False), schema) if tasks > 256 else counted.select("part", "counts")
+    scale = np.zeros(slots, np.uint8)
+    width = slots // COUNT_PARTS
+    for r in once.repartition(COUNT_PARTS, "part").mapInArrow(_added(slots, True), schema).collect():
         scale[r["part"] * width : (r["part"] + 1) * width] = np.frombuffer(r["counts"], np.uint8)
     return scale
 
@@ -165,23 +195,39 @@ def sketch_cells(size: np.ndarray, tokens: np.ndarray, cells: np.ndarray, scale:
     owner = np.repeat(np.arange(len(size)), size)
     wide = cells[owner].astype(np.uint64)
     # tokens are sorted within a set, so a cell is a stretch of them
-    cell = np.where(wide >= FINE_CELLS, tokens, ((tokens >> np.uint64(16)) * wide) >> np.uint64(32))
+    cell = ((tokens >> np.uint64(16)) * wide) >> np.uint64(32)
     first = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (cell[1:] != cell[:-1])))) if len(tokens) else np.zeros(0, np.int64)
     if not len(first):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint8)
     parity = np.bitwise_xor.reduceat(tokens, first)
     key = mixed(parity ^ mixed(cell[first] + (wide[first] << np.uint64(40))))
-    return owner[first], key, np.minimum.reduceat(scale[_slots(tokens)], first)
+    return owner[first], key, np.minimum.reduceat(scale[_slots(tokens, len(scale))], first)
 
 
-def _sent(size: np.ndarray, tokens: np.ndarray, threshold: float, scale: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """By role: (set, 1 if only as the smaller partner, keys) such that any two similar sets share a key."""
-    bounds = np.concatenate(([0], np.cumsum(size)))
+def _sent(size: np.ndarray, tokens: np.ndarray, threshold: float, scale: np.ndarray, hot: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """By role: (set, 1 if only with sets of the other mark, keys) such that any two similar sets share a key."""
+    again = np.zeros(len(size), bool)
     for sets, band, differ, small in roles(size, threshold):
-        yield from _role(sets, band, differ, small, size, tokens, bounds, scale)
-
-
-def _pick(sets: np.ndarray, size: np.ndarray, tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        own, mine = _pick(sets, size, tokens)
+        wide = np.int64(3) << np.maximum(band - 1, 0)  # 1.5 cells for each token of the smallest set of the band
+        owner, key, rare = sketch_cells(own, mine, wide, scale)
+        filled = np.bincount(owner, minlength=len(sets))
+        order = np.lexsort((key, rare, owner))
+        place = np.arange(len(owner)) - np.repeat(np.concatenate(([0], np.cumsum(filled)[:-1])), filled)
+        first = order[place <= differ[owner[order]]]
+        cold = rare[first] <= hot
+        send = first[cold]
+        yield sets[owner[send]], small[owner[send]], key[send]
+        again[sets[owner[first[~cold]]]] = True
+        again[sets[filled <= differ]] = True  # the pigeonhole fails for these
+    if again.any():
+        some = np.flatnonzero(again)
+        own, mine = _pick(some, size, tokens)
+        for owner, larger, key in rarest_tokens(own, mine, threshold, scale):
+            yield some[owner], larger, key
+
+
+def _pick(sets: np.ndarray, size: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if len(sets) == len(size):
         return size, tokens
     keep = np.zeros(len(size), bool)
@@ -189,23 +235,37 @@ def _pick(sets: np.ndarray, size: np.ndarray, tokens: np.ndarray, bounds: np.nda
     return size[sets], tokens[np.repeat(keep, size)]
 
 
-def _role(sets, band, differ, small, size, tokens, bounds, scale):
-    own, mine = _pick(sets, size, tokens, bounds)
-    wide = np.int64(3) << np.maximum(band - 1, 0)  # 1.5 cells for each token of the smallest set of the band
-    owner, key, rare = sketch_cells(own, mine, wide, scale)
-    filled = np.bincount(owner, minlength=len(sets))
-    order = np.lexsort((key, rare, owner))
-    place = np.arange(len(owner)) - np.repeat(np.concatenate(([0], np.cumsum(filled)[:-1])), filled)
-    send = order[place <= differ[owner[order]]]
-    yield sets[owner[send]], small[owner[send]], key[send]
-    poor = np.flatnonzero(filled <= differ)
-    if len(poor):  # the pigeonhole fails for these: they meet each other again with a token to a cell
-        p_size, p_tokens = _pick(poor, own, mine, None)
-        owner, key, _ = sketch_cells(p_size, p_tokens, np.full(len(poor), FINE_CELLS, np.int64) + band[poor], scale)
-        yield sets[poor[owner]], small[poor[owner]], key
+def rarest_tokens(size: np.ndarray, tokens: np.ndarray, threshold: float, scale: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """By band of partner sizes: (set, 1 if only as the larger partner, keys). Of two sets with an overlap of o, the rarest n - o + 1 tokens
+    of each, in one order, have one in common."""
+    owner = np.repeat(np.arange(len(size)), size)
+    level, name = scale[_slots(tokens, len(scale))], mixed(tokens + np.uint64(5))
+    order = np.lexsort((name, level, owner))
+    name, level = name[order], level[order]  # owners stay in place
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
+    parts = np.maximum(1, np.ceil(np.exp2(level / 6.0) / SPLIT)).astype(np.int64)
+    mark = mixed(np.bitwise_xor.reduceat(mixed(tokens + np.uint64(1)), np.cumsum(size) - size))
+    least = np.ceil(threshold * size - 1e-9)
+    band = np.floor(np.log(size) / np.log(NARROW) + 1e-9).astype(np.int64)
+    step = 0
+    while True:
+        low = np.maximum(np.ceil(NARROW ** (band - step) - 1e-6), least)
+        active = (band >= step) & (np.ceil(NARROW ** (band - step + 1)) >= least)
+        if not active.any():
+            return
+        overlap = np.ceil(threshold / (1 + threshold) * (size + low) - 1e-9)
+        send = np.flatnonzero(active[owner] & (place <= (size - overlap)[owner]))
+        times = parts[send]
+        at = np.repeat(send, times)
+        other = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+        mine = (mark[owner[at]] % parts[at].astype(np.uint64)).astype(np.int64)
+        pair = (np.minimum(mine, other) << 24) | np.maximum(mine, other)
+        where = mixed(pair.astype(np.uint64) + (np.uint64(1) << np.uint64(60)) + ((band - step)[owner[at]].astype(np.uint64) << np.uint64(48)))
+        yield owner[at], np.full(len(at), step > 0), mixed(name[at] ^ where)
+        step += 1
 
 
-def _emit(k: int, min_words: int, threshold: float, buckets: int, scale):
+def _emit(k: int, min_words: int, threshold: float, buckets: int, scale, hot: int):
     """Packed cells: one row for each bucket and batch."""
 
     def pack(sigs, sizes, owners, smalls, keys):
@@ -242,7 +302,7 @@ def _emit(k: int, min_words: int, threshold: float, buckets: int, scale):
                 if not new.any():
                     continue
                 tokens, size, one = tokens[np.repeat(new, size)], size[new], one[new]
-                for owner, small, key in _sent(size, tokens, threshold, rarity):
+                for owner, small, key in _sent(size, tokens, threshold, rarity, hot):
                     owners.append(owner + base)
                     smalls.append(small)
                     keys.append(key)
@@ -286,21 +346,21 @@ def _meet(threshold: float):
         by_set = np.zeros(len(named), np.int64)
         by_set[number] = size
         node = number[at] * 2 + small[at]
-        order = np.lexsort((node, key))
+        # those that meet only sets of the other mark stand last in a run, and look for none after them
+        order = np.lexsort((node, node & 1, key))
         key, node = key[order], node[order]
         keep = np.concatenate(([True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])))
         key, node = key[keep], node[keep]
         run_start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         length = np.diff(np.append(run_start, len(key)))
         left = np.repeat(length, length) - (np.arange(len(key)) - np.repeat(run_start, length)) - 1
+        left[(node & 1) == 1] = 0
         live, step, found, waiting = np.flatnonzero(left > 0), 1, [], 0
         while len(live):
             a, b = node[live], node[live + step]
-            fits = (a | b | 1) == (a | b)  # at least one is odd
-            both_small = fits & ((a & b & 1) == 1)
             x, y = a >> 1, b >> 1
             low, high = np.minimum(by_set[x], by_set[y]), np.maximum(by_set[x], by_set[y])
-            good = ~both_small & (x != y) & (low >= threshold * high - 1e-9)
+            good = (x != y) & (low >= threshold * high - 1e-9)
             x, y = x[good], y[good]
             found.append((np.minimum(x, y).astype(np.uint64) << np.uint64(32)) | np.maximum(x, y).astype(np.uint64))
             waiting += len(x)
@@ -387,16 +447,19 @@ class NearDuplicates:
         text = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).where("id is not null")
         # what costs no tokenising to know: a text with w words has at least 2 w - 1 characters
         text = text.where(F.length("text") >= 2 * max(min_words, shingle) - 1)
-        profile = materialise(text.mapInArrow(_profile(shingle, min_words), PROFILE_SCHEMA))
+        scans = text.rdd.getNumPartitions()
+        slots = count_slots(scans)
+        profile = materialise(text.mapInArrow(_profile(shingle, min_words, slots), PROFILE_SCHEMA))
         sets = profile.where("id is not null")
         key = ["sig1", "sig2"]
         reps = sets.groupBy(*key).agg(F.min("id").alias("rep"), F.countDistinct("id").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
         self.members = sets.select("id", *key).distinct().join(reps, key).select("id", "rep", "copies", "n")
         total = sets.agg(F.sum("n")).first()[0] or 0
-        buckets = int(max(1, min(1 << 22, -(-total * 0.65 // CELLS_PER_BUCKET))))
-        scale = spark.sparkContext.broadcast(_rarity(profile))
-        cells = text.select("text").mapInArrow(_emit(shingle, min_words, threshold, buckets, scale), "bucket int, cells binary")
-        met = cells.repartition(-(-buckets // 2), "bucket").sortWithinPartitions("bucket").mapInArrow(_meet(threshold), "sig_a long, sig_b long").distinct()
+        buckets = int(max(1, -(-total * 0.65 // CELLS_PER_BUCKET)))
+        scale = spark.sparkContext.broadcast(_rarity(profile, slots, scans))
+        hot = int(_coarse(np.array([HOT + 4 * total / slots]))[0])
+        cells = text.select("text").mapInArrow(_emit(shingle, min_words, threshold, buckets, scale, hot), "bucket int, cells binary")
+        met = cells.repartition(min(MOST_TASKS, -(-buckets // 2)), "bucket").sortWithinPartitions("bucket").mapInArrow(_meet(threshold), "sig_a long, sig_b long").distinct()
         one = reps.select(F.col("sig1").alias("sig_a"), F.col("rep").alias("rep_a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
         two = reps.select(F.col("sig1").alias("sig_b"), F.col("rep").alias("rep_b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"))
         distance = sum((F.bit_count(F.col("sketch_a")[i].bitwiseXOR(F.col("sketch_b")[i])) for i in range(SKETCH_BITS // 64)), F.lit(0))
@@ -417,7 +480,11 @@ class NearDuplicates:
         b = self.members.select(F.col("rep").alias("rep_b"), F.col("id").alias("y"))
         across = self.links.join(a, "rep_a").join(b, "rep_b").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
         many = self.members.where("copies > 1")
-        within = many.select("rep", F.col("id").alias("id_a")).join(many.select("rep", F.col("id").alias("id_b")), "rep").where("id_a < id_b").select("id_a", "id_b")
+        # the members of a large class are dealt to places; those they are paired with come to each place
+        places = F.ceil(F.col("copies") / PLACE_ROWS).cast("int")
+        left = many.select("rep", F.col("id").alias("id_a"), F.pmod(F.xxhash64("id"), places).cast("int").alias("place"))
+        right = many.select("rep", F.col("id").alias("id_b"), F.explode(F.sequence(F.lit(0), places - 1)).alias("place"))
+        within = left.join(right, ["rep", "place"]).where("id_a < id_b").select("id_a", "id_b")
         return across.unionByName(within)
 
     def classes(self) -> DataFrame:

@@ -58,6 +58,12 @@ def p4_classes(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.NearDuplicates(_table(spark, d, "corpus")).classes().withColumnRenamed("id", "file_id")
 
 
+def p4_links(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of class representatives; p4_classes says which rows a class holds."""
+    links = near_duplicates.NearDuplicates(_table(spark, d, "corpus")).links
+    return links.select(F.col("rep_a").alias("class_a"), F.col("rep_b").alias("class_b"), "similarity")
+
+
 def p4_groups(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.NearDuplicates(_table(spark, d, "corpus")).groups().withColumnRenamed("id", "file_id")
 
@@ -91,7 +97,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_collapsed, p2_found, p2_report, p2_limits, p3_found, p3_report, p4_found, p4_classes, p4_groups, p5_packing, p5_report, p6_draws, p6_usage, p6_shares, p7_found)}
+    return {f.__name__: f for f in (p1_found, p1_collapsed, p2_found, p2_report, p2_limits, p3_found, p3_report, p4_found, p4_classes, p4_links, p4_groups, p5_packing, p5_report, p6_draws, p6_usage, p6_shares, p7_found)}
 
 
 _FOLD = r"regexp_replace(lower({0}), '[^\p{{L}}\p{{Nd}}]', '', 'g')"
@@ -111,7 +117,7 @@ _SHINGLES = f"(select distinct file_id, array_to_string(w[i:i + 4], ' ') as s fr
 
 # rows with one set of shingles are one class; classes are linked, and links followed
 _CLASSES = f"""s as materialized {_SHINGLES}, g as (select file_id, count(*) as n, md5(string_agg(s, '|' order by s)) as h from s group by file_id), c as materialized (select file_id, n, min(file_id) over (partition by h) as class_id, count(*) over (partition by h) as copies from g),
-r as (select s.file_id, s.s, c.n from s join c on s.file_id = c.file_id and c.file_id = c.class_id), l as materialized (select a, b from (select a.file_id as a, b.file_id as b, a.n as x, b.n as y, count(*) as k from r a join r b on a.s = b.s and a.file_id < b.file_id group by all) t where 10 * k >= 7 * (x + y - k)),
+r as (select s.file_id, s.s, c.n from s join c on s.file_id = c.file_id and c.file_id = c.class_id), l as materialized (select a, b, k / (x + y - k) as similarity from (select a.file_id as a, b.file_id as b, a.n as x, b.n as y, count(*) as k from r a join r b on a.s = b.s and a.file_id < b.file_id group by all) t where 10 * k >= 7 * (x + y - k)),
 e as materialized (select a, b from l union all select b, a from l)"""
 
 
@@ -142,6 +148,7 @@ def oracle_sql() -> dict[str, str]:
         "p1_collapsed": f"select min(file_id) as file_id, count(*)::bigint as copies from {_CANON} c group by canon, cap",
         "p3_found": _SHARED,
         "p4_classes": f"with {_CLASSES} select file_id, class_id, copies::bigint as copies, (select count(*) from e where e.a = c.class_id)::bigint as n_links from c",
+        "p4_links": f"with {_CLASSES} select a as class_a, b as class_b, similarity from l",
         "p4_groups": f"with recursive {_CLASSES}, w as (select distinct class_id as a, class_id as b from c union select w.a, e.b from w join e on w.b = e.a) select file_id, m as group_id from c join (select a, min(b) as m from w group by a) t on c.class_id = t.a",
         "p4_found": f"with s as materialized {_SHINGLES}, n as (select file_id, count(*) as n from s group by file_id), p as (select a.file_id as file_id_a, b.file_id as file_id_b, count(*) as k from s a join s b on a.s = b.s and a.file_id < b.file_id group by all) select file_id_a, file_id_b from p join n x on x.file_id = file_id_a join n y on y.file_id = file_id_b where 10 * k >= 7 * (x.n + y.n - k)",
     }

@@ -272,6 +272,40 @@ def test_sketch_bound():
         assert sum(int(x).bit_count() for x in bits[0] ^ bits[1]) <= len(np.setxor1d(a, b))
 
 
+def _met(sets, threshold, hot):
+    size, tokens = np.array([len(x) for x in sets]), np.concatenate(sets)
+    scale = near_duplicates._coarse(np.bincount(near_duplicates._slots(tokens, 1 << 16), minlength=1 << 16))
+    held = defaultdict(set)
+    for owner, mark, key in near_duplicates._sent(size, tokens, threshold, scale, hot):
+        for o, m, k in zip(owner.tolist(), np.asarray(mark).tolist(), key.tolist()):
+            held[k].add((o, bool(m)))
+    return {(min(a, b), max(a, b)) for x in held.values() for (a, m), (b, n) in itertools.combinations(sorted(x), 2) if a != b and not (m and n)}
+
+
+@pytest.mark.parametrize("threshold, hot, split", [(0.7, 255, 20_000), (0.7, 0, 20_000), (0.7, 12, 3), (0.5, 0, 3), (0.9, 20, 7)])
+def test_hot_cells_lose_no_pair(monkeypatch, threshold, hot, split):
+    monkeypatch.setattr(near_duplicates, "SPLIT", split)
+    r = np.random.default_rng(int(threshold * 10) + hot)
+    common, sets = r.integers(0, 1 << 48, 150), []
+    for _ in range(120):
+        base = np.concatenate((common[: r.integers(0, 150)], r.integers(0, 1 << 48, r.integers(5, 120))))
+        for _ in range(r.integers(1, 3)):
+            keep = base[r.random(len(base)) > r.choice([0, 0.02, 0.1, 0.2])]
+            sets.append(np.unique(np.concatenate((keep, r.integers(0, 1 << 48, r.integers(0, 6)), base[:1]))).astype(np.uint64))
+    plain = [set(x.tolist()) for x in sets]
+    wanted = {(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if plain[a] != plain[b] and len(plain[a] & plain[b]) >= threshold * len(plain[a] | plain[b])}
+    assert wanted and wanted <= _met(sets, threshold, hot)
+
+
+def test_common_parts_do_not_meet():
+    met = []
+    for n in (200, 400):
+        r = np.random.default_rng(n)
+        common = r.integers(0, 1 << 48, 140)
+        met.append(len(_met([np.unique(np.concatenate((common, r.integers(0, 1 << 48, 60)))).astype(np.uint64) for _ in range(n)], 0.7, 30)))
+    assert met[0] <= 200 and met[1] <= 400
+
+
 # --- 5: packing -----------------------------------------------------------------------------------------------------
 def test_pack():
     r = np.random.default_rng(1)
