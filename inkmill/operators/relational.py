@@ -141,6 +141,20 @@ def union_by_name(*frames: DataFrame) -> DataFrame:
     return out
 
 
+def union_less(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
+    """D-07: all rows of the first frame, and those of the second whose key the first lacks."""
+    return first.unionByName(not_in_reference(second, F.col(key), first, F.col(key)))
+
+
+def with_values(df: DataFrame, *columns: str, filled: tuple[str, ...] = ()) -> DataFrame:
+    """F-06, F-05: rows in which the columns have values, and those of ``filled`` are not blank."""
+    for c in columns:
+        df = df.where(F.col(c).isNotNull())
+    for c in filled:
+        df = df.where(~is_blank(c))
+    return df
+
+
 def failure_budget(df: DataFrame, project: str, path: str, failed: str, most: int = 3, keep_before: bool = True) -> DataFrame:
     """F-26, W-07: successful files of projects, in order of path, until more than ``most`` failed; what came before is kept, or
     nothing of such a project. Files of one project meet in one task, as the running count demands."""

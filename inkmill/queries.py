@@ -591,3 +591,6 @@ def _(spark, d):
 @query("stream_window", "select date_trunc('day', ts)::timestamp as start, event_type, count(*)::bigint as n from events where date_trunc('day', ts) + interval 1 day <= (select max(ts) - interval 1 hour from events) group by all")
 def _(spark, d):
     return _ended(S.windowed_counts(_stream(spark, d, "events"), "ts", ["event_type"])).select("start", "event_type", "n")
+
+
+from inkmill import file_queries  # noqa: E402, F401  # adds its queries to the ones above

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import lzma
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkmill.functions.text import is_blank
 from inkmill.operators.relational import first_by
 from inkmill.schemas import CORRUPT
+from inkmill.sources.paths import open_input
 
 
 def read_json_arrays(spark: SparkSession, path: str, schema: str, pattern: str | None = None, skip_broken: bool = False) -> DataFrame:
@@ -37,6 +41,20 @@ def read_json_lines(spark: SparkSession, path: str, schema: str, skip_broken: bo
     return reader.json(path)
 
 
+def read_xz_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """K-03: JSON lines of xz files, which Spark has no codec for, read as streams by the tasks."""
+    names = spark.read.format("binaryFile").option("pathGlobFilter", "*.xz").load(path).select("path")
+
+    def run(frames):
+        for frame in frames:
+            for name in frame["path"]:
+                with open_input(name) as raw, lzma.LZMAFile(raw) as lines:
+                    while held := lines.readlines(1 << 24):
+                        yield pd.DataFrame({"value": [line.decode() for line in held]})
+
+    return names.mapInPandas(run, "value string").select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
+
+
 def read_json_map(spark: SparkSession, path: str, value_schema: str, key: str = "key") -> DataFrame:
     """S-07: files that each hold one JSON object; a row for each of its entries."""
     whole = spark.read.text(path, wholetext=True)
@@ -109,10 +127,13 @@ def month_ranges(spark: SparkSession, first: str, last: str) -> DataFrame:
     return months.select("start_date", F.last_day("start_date").alias("end_date"))
 
 
-def harvest_records(df: DataFrame, xml: str) -> DataFrame:
-    """S-27, F-19, T-31: (arxiv_id, created) of records in XML; nulls for what cannot be read, dates that are none included."""
+def harvest_records(df: DataFrame, xml: str, *keep: str) -> DataFrame:
+    """S-27, F-19, T-31: (arxiv_id, created), after the columns to keep, of records in XML; both null where one cannot be read, a date
+    that is none included."""
     text = lambda tag: F.nullif(F.trim(F.regexp_extract(F.col(xml), rf"(?s)<{tag}>(.*?)</{tag}>", 1)), F.lit(""))
-    return df.select(text("id").alias("arxiv_id"), F.try_to_date(text("created"), "yyyy-MM-dd").alias("created")).select(F.when(F.col("created").isNotNull(), F.col("arxiv_id")).alias("arxiv_id"), F.when(F.col("arxiv_id").isNotNull(), F.col("created")).alias("created"))
+    read = df.select(*keep, text("id").alias("arxiv_id"), F.try_to_date(text("created"), "yyyy-MM-dd").alias("created"))
+    whole = F.col("arxiv_id").isNotNull() & F.col("created").isNotNull()
+    return read.select(*keep, F.when(whole, F.col("arxiv_id")).alias("arxiv_id"), F.when(whole, F.col("created")).alias("created"))
 
 
 def paired(metadata: DataFrame, archives: DataFrame, path: str = "path") -> DataFrame:
