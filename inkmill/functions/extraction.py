@@ -120,6 +120,17 @@ def references(x: Column) -> Column:
 def text_mentions(x: Column | str, label: Column | str, shortest: int = 10, longest: int = 1000, before: int = 1, after: int = 3) -> Column:
     """X-09, A-08: the sorted paragraphs that refer to a label; of paragraphs of another length, the sentences around the
     reference. Evaluated within the row, without a join. Empty for an empty or null label."""
+    return mentions_among(referring_paragraphs(x), label, shortest, longest, before, after)
+
+
+def referring_paragraphs(x: Column | str) -> Column:
+    """X-09: the paragraphs that refer to anything, with the labels they refer to: all that the mentions of each label need."""
+    every = F.transform(F.filter(paragraphs(x), lambda p: F.contains(p, F.lit("ref{"))), lambda p: F.struct(p.alias("text"), references(p).alias("refs")))
+    return F.filter(every, lambda p: F.size(p["refs"]) > 0)
+
+
+def mentions_among(found: Column | str, label: Column | str, shortest: int = 10, longest: int = 1000, before: int = 1, after: int = 3) -> Column:
+    """X-09, A-08: ``text_mentions`` from what ``referring_paragraphs`` gave for the text."""
 
     def of(p):
         parts = sentences(p)
@@ -128,8 +139,8 @@ def text_mentions(x: Column | str, label: Column | str, shortest: int = 10, long
         window = F.array_join(F.slice(parts, low, (at + after - low + 1).cast("int")), " ")
         return F.when(F.length(p).between(shortest, longest), p).when(at > 0, window).otherwise(p)
 
-    hits = F.filter(paragraphs(x), lambda p: F.array_contains(references(p), _c(label)))
-    return F.when(F.coalesce(_c(label), F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.array_sort(F.array_distinct(F.transform(hits, of))))
+    hits = F.filter(_c(found), lambda p: F.array_contains(p["refs"], _c(label)))
+    return F.when(F.coalesce(_c(label), F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.array_sort(F.array_distinct(F.transform(hits, lambda p: of(p["text"])))))
 
 
 # Entities of HTML text.

@@ -168,10 +168,10 @@ def required_libraries(x: Column | str) -> Column:
 
 
 def build_preamble(packages: Column | str, libraries: Column | str) -> Column:
-    """T-14: the document class, a line for each package, one line for all libraries."""
-    names, parts = _c(packages), _c(libraries)
+    """T-14: the document class, a line for each package, ``tikz`` always among them, one line for all libraries."""
+    names, parts = F.array_union(F.array(F.lit("tikz")), _c(packages)), _c(libraries)
     used = F.transform(F.array_sort(names), lambda p: F.concat(F.lit("\\usepackage{"), p, F.lit("}")))
-    shared = F.when(F.size(parts) > 0, F.array(F.concat(F.lit("\\usetikzlibrary{"), F.array_join(F.array_sort(parts), ","), F.lit("}")))).otherwise(F.array().cast("array<string>"))
+    shared = F.when(F.size(parts) > 0, F.array(F.concat(F.lit("\\usetikzlibrary{"), F.array_join(F.array_sort(parts), ", "), F.lit("}")))).otherwise(F.array().cast("array<string>"))
     return F.array_join(F.concat(F.array(F.lit(STANDALONE_CLASS)), used, shared), "\n")
 
 

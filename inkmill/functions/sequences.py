@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import base64
+import os
 import re
 from collections.abc import Callable
+from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -66,6 +72,41 @@ def counted(x: Column | str, counter: Callable[[str], int]) -> Column:
     return F.udf(lambda t: counter(t) if t is not None else 0, "int", useArrow=True)(x)
 
 
+def bpe_count(x: Column | str, vocabulary: str = "byte_bpe_50k.tiktoken", folder: str = "/opt/tokenizers") -> Column:
+    """X-27, M-11: the size of a text in tokens of a public tokenizer, whose file lies in ``folder`` on every machine; null counts 0.
+    It is read once in each worker."""
+
+    @F.arrow_udf("int")
+    def run(column: pa.Array) -> pa.Array:
+        encode = _encoder(os.path.join(folder, vocabulary))
+        return pa.array([len(encode(t)) if t else 0 for t in column.to_pylist()], pa.int32())
+
+    return run(_c(x))
+
+
+# Fixed value: the pattern that splits text before the merges of a rank file.
+SPLITTING = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+@lru_cache(2)
+def _encoder(path: str) -> Callable[[str], list[int]]:
+    if path.endswith(".json"):
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.encode_special_tokens = True
+        return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+    if path.endswith(".model"):
+        from sentencepiece import SentencePieceProcessor
+
+        return SentencePieceProcessor(model_file=path).encode
+    import tiktoken
+
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines)}
+    return tiktoken.Encoding("file", pat_str=SPLITTING, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
 def fits_training(code: Column | str, description_tokens: Column, total_tokens: Column, longest: int = 2048) -> Column:
     """F-16, F-17: the code is a whole document, the description has at most a quarter of the tokens and all fewer than ``longest``."""
     from inkmill.functions.text import strip
@@ -84,6 +125,13 @@ def ngrams(tokens: Column | str, n: int) -> Column:
     return F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(t) - n + 1)), lambda i: F.slice(t, i, F.lit(n)))).otherwise(F.array().cast("array<array<string>>"))
 
 
+def joined_ngrams(tokens: Column | str, n: int, by: str = " ") -> Column:
+    """X-24: all runs of ``n`` tokens as texts; no array is made for a run."""
+    t = _c(tokens)
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(t) - n)), lambda i: F.concat_ws(by, *(F.get(t, i + j) for j in range(n))))
+    return F.when(F.size(t) >= n, runs).otherwise(F.array().cast("array<string>"))
+
+
 def all_ngrams(tokens: Column | str, most: int = 4) -> Column:
     """X-24: the runs of 1 to ``most`` tokens."""
     return F.concat(*(ngrams(tokens, n) for n in range(1, most + 1)))
@@ -100,6 +148,23 @@ def mask_values(ids: Column | str, *ignored: int) -> Column:
     return F.transform(_c(ids), lambda x: F.when(x.isin(*ignored), F.lit(IGNORED)).otherwise(x))
 
 
+def running_sums(x: Column) -> Column:
+    """The running sums of an array of numbers, nulls as 0. Spark's array functions have none that costs less than the square of the
+    length, so whole Arrow batches are added up at once."""
+
+    @F.arrow_udf("array<int>")
+    def run(column: pa.Array) -> pa.Array:
+        lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        starts = lists.offsets.to_numpy().astype(np.int64)
+        values = pc.fill_null(lists.values.slice(0), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        total = np.concatenate(([0], np.cumsum(values)))
+        here = np.arange(starts[0], starts[-1])
+        sums = total[here + 1] - np.repeat(total[starts[:-1]], np.diff(starts))
+        return pa.ListArray.from_arrays(pa.array((starts - starts[0]).astype(np.int32)), pa.array(sums.astype(np.int32)), mask=lists.is_null() if lists.null_count else None)
+
+    return run(x)
+
+
 def image_prompt(text: Column | str, image_token: str, length: int, bos: str = "", eos: str = "") -> Column:
     """M-13: ``length`` image tokens, the text and the marks after it."""
     return F.concat(F.repeat(F.lit(image_token), length), _c(text), F.lit(bos + eos))
@@ -114,15 +179,14 @@ def image_length(image_size: Column | int = 420, patch_size: Column | int = 14,
 def merge_image_tokens(ids: Column | str, patches: Column | str, image_id: int) -> Column:
     """M-18: for each place the number of the patch that is put there (from 0, in order), null where the id is no image token."""
     t = _c(ids)
-    seen = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(t))), lambda i: F.size(F.filter(F.slice(t, F.lit(1), i), lambda x: x == image_id)))
+    seen = running_sums(F.transform(t, lambda x: F.coalesce((x == image_id).cast("int"), F.lit(0))))
     return F.zip_with(t, seen, lambda x, n: F.when((x == image_id) & (n <= F.size(_c(patches))), n - 1))
 
 
 def position_ids(mask: Column | str) -> Column:
     """M-20: the running sum of the attention mask less 1; masked places get 1."""
-    m = _c(mask)
-    sums = F.aggregate(m, F.array().cast("array<int>"), lambda a, x: F.concat(a, F.array((F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + x).cast("int"))))
-    return F.zip_with(sums, m, lambda s, x: F.when(x == 0, F.lit(1)).otherwise(s - 1))
+    m = F.transform(_c(mask), lambda x: x.cast("int"))
+    return F.zip_with(running_sums(m), m, lambda s, x: F.when(x == 0, F.lit(1)).otherwise(s - 1))
 
 
 def _lexed(text: str, fold: bool) -> list[str]:

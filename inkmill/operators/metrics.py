@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkmill.functions.sequences import all_ngrams, ngrams
+from inkmill.functions.sequences import joined_ngrams, ngrams
 from inkmill.functions.text import _c
 
 EPSILON = 1e-6
@@ -16,8 +16,8 @@ EPSILON = 1e-6
 
 def ngram_counts(df: DataFrame, tokens: str, most: int = 4, least: int = 1) -> DataFrame:
     """A-09: (ngram, n) over all rows; counted in each task before the shuffle."""
-    grams = all_ngrams(tokens, most) if least == 1 else F.filter(all_ngrams(tokens, most), lambda g: F.size(g) >= least)
-    return df.select(F.explode(grams).alias("gram")).select(F.array_join("gram", " ").alias("ngram")).groupBy("ngram").agg(F.count("*").alias("n"))
+    grams = F.concat(*(joined_ngrams(tokens, n) for n in range(least, most + 1)))
+    return df.select(F.explode(grams).alias("ngram")).groupBy("ngram").agg(F.count("*").alias("n"))
 
 
 def trivial_ngrams(df: DataFrame, tokens: str, k: int = 500, most: int = 4) -> DataFrame:
@@ -220,13 +220,49 @@ def assignment_cost(cost: np.ndarray) -> float:
 
 
 def transport_cost(cost: np.ndarray) -> float:
-    """The earth mover's distance with uniform weights: for equal sizes an assignment; else each side is repeated to the least
-    common multiple of the sizes."""
+    """The earth mover's distance with uniform weights: for equal sizes an assignment, else a transport of a rows to b columns by
+    shortest augmenting paths, with as many units as the least common multiple of the sizes; the matrix stays a x b."""
     a, b = cost.shape
-    if a != b:
-        each = int(np.lcm(a, b))
-        cost = np.repeat(np.repeat(cost, each // a, axis=0), each // b, axis=1)
-    return assignment_cost(cost) / len(cost)
+    if a == b:
+        return assignment_cost(cost) / a
+    units = int(np.lcm(a, b))
+    left, room = np.full(a, units // a), np.full(b, units // b)
+    u, v, flow = np.zeros(a), np.zeros(b), np.zeros((a, b), np.int64)
+    for i in range(a):
+        while left[i]:
+            # least reduced cost to each column, and the row before it on the way; rows are reached by flow that can be taken back
+            far, before = cost[i] - u[i] - v, np.full(b, i)
+            row_far, row_from = np.full(a, np.inf), np.full(a, -1)
+            row_far[i] = 0.0
+            done = np.zeros(b, bool)
+            while True:
+                j = int(np.where(done, np.inf, far).argmin())
+                done[j] = True
+                if room[j]:
+                    break
+                for r in np.flatnonzero((flow[:, j] > 0) & np.isinf(row_far)):
+                    row_far[r], row_from[r] = far[j], j
+                    through = far[j] + cost[r] - u[r] - v
+                    better = ~done & (through < far - 1e-15)
+                    far[better], before[better] = through[better], r
+            reached = ~np.isinf(row_far)
+            u[reached] += far[j] - row_far[reached]
+            v[done] -= far[j] - far[done]
+            way, at = [], j
+            while True:
+                r = int(before[at])
+                way.append((r, at))
+                if r == i:
+                    break
+                at = int(row_from[r])
+            most = min(int(left[i]), int(room[j]), *(int(flow[r, row_from[r]]) for r, _ in way[:-1]))
+            for r, c in way:
+                flow[r, c] += most
+                if r != i:
+                    flow[r, row_from[r]] -= most
+            left[i] -= most
+            room[j] -= most
+    return float((flow * cost).sum() / units)
 
 
 def patch_score(a, b) -> float:

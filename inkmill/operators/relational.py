@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +15,8 @@ SOURCES = ("arxiv", "github", "tex", "synthetic", "curated")
 VARIANTS = ("caption", "text_mentions", "caption_text_mentions", "new_caption", "caption_or_new_caption", "caption_and_new_caption", "new_caption_comparison")
 #: Up to this many rows a table of patterns is broadcast for a join that has no key.
 BROADCAST_ROWS = 100_000
+#: The automata of a worker by the names that their sets of parts got.
+AUTOMATA: dict = {}
 
 
 def parse_sources(wanted: str, known: tuple[str, ...] = SOURCES) -> list[str]:
@@ -74,7 +79,8 @@ def with_texts(df: DataFrame, variant: str, name: str = "text") -> DataFrame:
 def first_by(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
     """W-06: of the rows with equal keys, the first in ``order``. Null keys are a key. Other columns pass through.
 
-    Takes the minimum of a struct instead of a window: aggregated before the shuffle, no sort, and a hot key costs one row a task.
+    Takes the minimum of a struct instead of a window: aggregated before the shuffle, so a hot key costs one row a task. Spark
+    aggregates structs by sorting each task's rows by their keys: select the columns that are wanted before, as they travel with the row.
     ``order`` must be plain columns; ties are broken by the other columns, so that the result does not depend on the partitions.
     """
     ordered = [F.col(o) if isinstance(o, str) else o for o in order]
@@ -103,15 +109,35 @@ def without_prefixes(df: DataFrame, column: str, prefixes: DataFrame, prefix_col
 
 
 def without_substrings(df: DataFrame, column: str, parts: DataFrame, part_column: str) -> DataFrame:
-    """J-07, F-20: rows whose text contains none of the parts. The parts are broadcast if they are few, else in blocks."""
+    """J-07, F-20: rows whose text contains none of the parts; a null text contains none. All parts are looked for at once, by one automaton
+    for up to ``BROADCAST_ROWS`` parts (its size is counted before), so a text is read once whatever their number; more parts give more automata."""
     known = parts.select(F.col(part_column).alias("__part")).where("__part is not null and __part <> ''").distinct()
     blocks = max(1, -(-known.count() // BROADCAST_ROWS))
     for b in range(blocks):
-        mine = known.where(F.pmod(F.xxhash64("__part"), F.lit(blocks)) == b)
-        df = df.join(F.broadcast(mine), F.contains(F.col(column), F.col("__part")), "left_anti")
+        mine = [r[0] for r in known.where(F.pmod(F.xxhash64("__part"), F.lit(blocks)) == b).collect()]
+        if mine:
+            df = df.where(~_holds_any(df.sparkSession.sparkContext.broadcast(mine))(F.coalesce(column, F.lit(""))))
     return df
 
 
+def _holds_any(parts):
+    name = uuid.uuid4().hex
+
+    @F.arrow_udf("boolean")
+    def run(texts: pa.Array) -> pa.Array:
+        if not (automaton := AUTOMATA.get(name)):
+            import ahocorasick
+
+            automaton = ahocorasick.Automaton()
+            for p in parts.value:
+                automaton.add_word(p, 1)
+            automaton.make_automaton()
+            AUTOMATA[name] = automaton
+        return pa.array([next(automaton.iter(t), None) is not None for t in texts.to_pylist()], pa.bool_())
+
+    return run
+
+
 def left_first(df: DataFrame, key: str, other: DataFrame, other_key: str, order: list[str], columns: list[str]) -> DataFrame:
     """J-03: each row with the first match of ``other``, nulls without one."""
     mine = other.select(F.col(other_key).alias("__key"), *order, *(c for c in columns if c not in order)).where("__key is not null")

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from inkmill.session import materialise, shuffle_partitions
 
 
+#: Samples of up to so many rows are taken by a limit, larger ones by ranks.
+TASK_ROWS = 10_000
+
+
 def seeded_key(seed: int, key: str) -> Column:
     """O-05, O-06: a hash of the seed and a key, to sort by."""
     return F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")))
@@ -20,7 +24,7 @@ def ranked(df: DataFrame, order: list[Column | str], name: str = "rank") -> Data
     rows that tie are told apart by their other columns where those can be sorted.
     """
     keys = [F.col(o) if isinstance(o, str) else o for o in order]
-    sortable = [F.col(c) for c in df.columns if not df.schema[c].dataType.simpleString().startswith("map")]
+    sortable = _sortable(df)
     named = df.withColumns({f"__k{i}": k for i, k in enumerate(keys)})
     order_cols = [F.col(f"__k{i}") for i in range(len(keys))]
     parts = shuffle_partitions(df.sparkSession)
@@ -33,6 +37,10 @@ def ranked(df: DataFrame, order: list[Column | str], name: str = "rank") -> Data
     return placed.withColumn("__part", part).join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))).drop("__id", "__part", "__before")
 
 
+def _sortable(df: DataFrame) -> list[Column]:
+    return [F.col(c) for c in df.columns if "map<" not in df.schema[c].dataType.simpleString()]
+
+
 def sample(df: DataFrame, key: str, seed: int, n: int | None = None, fraction: float | None = None) -> DataFrame:
     """O-05: exactly ``n`` rows, or that share of all rows rounded down, the same for the same seed whatever the partitions;
     all rows if there are no more. ``key`` should be unique; rows with one key are taken in the order of their columns."""
@@ -42,6 +50,9 @@ def sample(df: DataFrame, key: str, seed: int, n: int | None = None, fraction: f
     target = int(total * fraction) if fraction is not None else n
     if total is not None and target >= total:
         return df
+    if target <= TASK_ROWS:
+        # each task keeps no more than ``target`` rows
+        return df.orderBy(seeded_key(seed, key), key, *_sortable(df)).limit(target)
     return ranked(df, [seeded_key(seed, key), key], "__rank").where(F.col("__rank") < target).drop("__rank")
 
 

@@ -260,7 +260,7 @@ def _(spark, d):
 @query("ngram_topk", r"select ngram, count(*)::bigint as n from (select unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as ngram from (select regexp_extract_all(lower(text), '[\p{L}\p{Nd}]+') as w from documents) t) u group by ngram order by n desc, ngram limit 500")
 def _(spark, d):
     words = spread(read_table(spark, d, "documents").select("text")).select(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{Nd}]+"), 0).alias("w"))
-    grams = words.select(F.explode(Q.ngrams("w", 2)).alias("g")).select(F.array_join("g", " ").alias("ngram"))
+    grams = words.select(F.explode(Q.joined_ngrams("w", 2)).alias("ngram"))
     return O.top_k(grams.groupBy("ngram").agg(F.count("*").alias("n")), [F.desc("n"), F.col("ngram")], 500)
 
 
@@ -309,8 +309,8 @@ over("remove_external", "documents", f"select doc_id, {s_drop('text', *L.EXTERNA
 over("replace_graphics", "documents", r"select doc_id, regexp_replace(text, '(\\includegraphics\*?(?:\[.*?\]){0,2})\{.+?\}', '\1{example-image}', 'g') as text from documents", lambda: ["doc_id", L.replace_graphics("text").alias("text")])
 over("standard_class", "corpus", r"select file_id, regexp_replace(code, '\\documentclass(\[.*?\])?\{(article|report|book|scrartcl)\}', '\\documentclass[tikz]{standalone}', 'g') as code from corpus", lambda: ["file_id", L.standard_class("code").alias("code")])
 over("required_packages", "corpus", f"select file_id, {s_detect('code', L.PACKAGES)} as packages, {s_detect('code', L.LIBRARIES)} as libraries from corpus where code is not null", lambda: ["file_id", L.required_packages("code").alias("packages"), L.required_libraries("code").alias("libraries")], where="code is not null")
-over("build_preamble", "corpus", rf"""select file_id, '\documentclass[tikz]{{standalone}}' || coalesce(array_to_string(list_transform(p, lambda x: chr(10) || '\usepackage{{' || x || '}}'), ''), '') || case when len(l) > 0 then chr(10) || '\usetikzlibrary{{' || array_to_string(l, ',') || '}}' else '' end as preamble
-from (select file_id, {s_detect('code', L.PACKAGES)} as p, {s_detect('code', L.LIBRARIES)} as l from corpus where code is not null) t""", lambda: ["file_id", L.build_preamble(L.required_packages("code"), L.required_libraries("code")).alias("preamble")], where="code is not null")
+over("build_preamble", "corpus", rf"""select file_id, '\documentclass[tikz]{{standalone}}' || coalesce(array_to_string(list_transform(p, lambda x: chr(10) || '\usepackage{{' || x || '}}'), ''), '') || case when len(l) > 0 then chr(10) || '\usetikzlibrary{{' || array_to_string(l, ', ') || '}}' else '' end as preamble
+from (select file_id, list_sort(list_concat(['tikz'], {s_detect('code', L.PACKAGES)})) as p, {s_detect('code', L.LIBRARIES)} as l from corpus where code is not null) t""", lambda: ["file_id", L.build_preamble(L.required_packages("code"), L.required_libraries("code")).alias("preamble")], where="code is not null")
 over("plot_preamble", "corpus", "select file_id, " + " || ".join([rf"'{L.PLOT_PREAMBLE[0]}'", "chr(10)", rf"'{L.PLOT_PREAMBLE[1]}'", *(f"case when {s_contains_any('code', w)} then chr(10) || '{line}' else '' end" for w, line in L.PLOT_LINES)]) + " as preamble from corpus where code is not null", lambda: ["file_id", L.plot_preamble("code").alias("preamble")], where="code is not null")
 _FILTERED = rf"regexp_replace({s_drop('l', r'\\input\{[^}]*\}', r'\\includegraphics(?:\[[^\]]*\])?\{[^}]*\}', r'\\includepdf(?:\[[^\]]*\])?\{[^}]*\}')}, '\{{\s*\}}', '{{}}', 'g')"
 over("filter_lines", "corpus", rf"select file_id, {s_join(rf'''list_filter(list_transform({s_lines('code')}, lambda l: {_FILTERED}), lambda x: not {s_blank('x')} and not starts_with({s_strip('x')}, '%') and not contains(x, '\maketitle') and not contains(x, '\tableofcontents'))''')} as code from corpus where code is not null", lambda: ["file_id", L.filter_lines("code").alias("code")], where="code is not null")
@@ -388,9 +388,9 @@ over("relevant_code", "eval_gt", f"select figure_id, {s_collapse(f"case when {_P
 _BLOCKS = r"select id, unnest(list_transform(regexp_extract_all(body, '(?s)<pre[^>]*>\s*<code[^>]*>(.*?)</code>', 1), lambda x, i: {'n': i - 1, 'c': x})) as u from posts"
 _UNESCAPED = r"""replace(replace(replace(replace(replace(replace(regexp_replace(u.c, '<[^>]+>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', chr(160)), '&amp;', '&')"""
 _PAIRED = " or ".join(rf"(contains(code, '\begin{{{e}}}') and contains(code, '\end{{{e}}}'))" for e in L.CODE_ENVIRONMENTS)
-_QA_PREAMBLE = rf"""'\documentclass[tikz]{{standalone}}' || coalesce(array_to_string(list_transform(p, lambda x: chr(10) || '\usepackage{{' || x || '}}'), ''), '') || case when len(l) > 0 then chr(10) || '\usetikzlibrary{{' || array_to_string(l, ',') || '}}' else '' end"""
+_QA_PREAMBLE = rf"""'\documentclass[tikz]{{standalone}}' || coalesce(array_to_string(list_transform(p, lambda x: chr(10) || '\usepackage{{' || x || '}}'), ''), '') || case when len(l) > 0 then chr(10) || '\usetikzlibrary{{' || array_to_string(l, ', ') || '}}' else '' end"""
 _QA_DOCUMENT = rf"""select file_id, case when contains(code, '\begin{{document}}') and contains(code, '\documentclass') then code else {_QA_PREAMBLE} || chr(10) || '\begin{{document}}' || chr(10) || {s_strip('code')} || chr(10) || '\end{{document}}' end as doc
-from (select file_id, code, {s_detect('code', L.PACKAGES)} as p, {s_detect('code', L.LIBRARIES)} as l from (select 'tex_' || id || '_' || u.n as file_id, {_UNESCAPED} as code from ({_BLOCKS}) t) t where {_PAIRED}) t"""
+from (select file_id, code, list_sort(list_concat(['tikz'], {s_detect('code', L.PACKAGES)})) as p, {s_detect('code', L.LIBRARIES)} as l from (select 'tex_' || id || '_' || u.n as file_id, {_UNESCAPED} as code from ({_BLOCKS}) t) t where {_PAIRED}) t"""
 _QA_STANDARD = rf"select file_id, regexp_replace({s_clean('doc')}, '\\documentclass(\[.*?\])?\{{(article|report|book|scrartcl)\}}', '\\documentclass[tikz]{{standalone}}', 'g') as code from ({_QA_DOCUMENT}) t"
 
 
@@ -405,6 +405,14 @@ def _(spark, d):
 _POSTS = "(select * from posts qualify row_number() over (partition by id order by creationdate nulls first, posttypeid nulls first, parentid nulls first, acceptedanswerid nulls first, answercount nulls first, score nulls first, title nulls first, tags nulls first, body nulls first) = 1)"
 
 
+# the signs are set apart by a character that no text holds, escaped ones are shielded
+_SHIELDED = r"replace(caption, '\$', chr(1))"
+over("balance_all_dollars", "corpus", rf"""select file_id, replace(case when len(regexp_extract_all({_SHIELDED}, '\$')) % 2 = 1 then regexp_replace({_SHIELDED}, '(?s)^(.*)\$', '\1') else {_SHIELDED} end, chr(1), '\$') as caption from corpus where caption is not null""", lambda: ["file_id", L.balance_dollars("caption").alias("caption")], where="caption is not null")
+for _env in ("circuitikz", "tikzcd"):
+    over(f"trim_{_env}", "corpus", SQL["trim_environment"].replace("tikzpicture", _env).replace("+ 16", f"+ {len(_env) + 5}"), lambda e=_env: ["file_id", L.trim_to_environment("code", e).alias("code")], where="code is not null")
+over("corpus_relevant_code", "corpus", f"select file_id, {s_collapse(f"case when {_PICTURE_SQL} = '' then code else {_PICTURE_SQL} end")} as code from corpus where code is not null", lambda: ["file_id", L.relevant_code("code").alias("code")], where="code is not null")
+
+
 @query("assemble_turns", f"""with p as {_POSTS}, q as (select id as question_id, title, answercount, acceptedanswerid from p where posttypeid = 1 and answercount > 0 and body is not null),
 a as (select q.question_id, q.title, q.answercount, p.id from p join q on p.parentid = q.question_id where p.posttypeid = 2 and p.body is not null and (coalesce(p.id = q.acceptedanswerid, false) or coalesce(p.score, 0) >= -10000))
 select question_id, title, string_agg(id::varchar, ',' order by id) as answers, count(*)::bigint as n from a group by question_id, title, answercount having count(*) = answercount""")
@@ -480,6 +488,24 @@ over("token_budget", "corpus", rf"select file_id, coalesce(ends_with({s_strip('c
 over("chat_format", "corpus", "select file_id, '<|im_start|>user' || chr(10) || '" + Q.REQUEST.replace("\n", "' || chr(10) || '") + "' || caption || '" + Q.FORM.replace("\n", "' || chr(10) || '") + "' || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) || code || '<|im_end|>' || chr(10) as chat from corpus where caption is not null and code is not null", lambda: ["file_id", Q.chat([("user", Q.request_text("caption")), ("assistant", F.col("code"))]).alias("chat")], where="caption is not null and code is not null")
 over("label_mask", "corpus", "select file_id, array_to_string(list_transform(range(1, 13), lambda i: case when i <= length(source) then '-100' else (i * 7)::varchar end), ',') as labels from corpus where source is not null", lambda: ["file_id", F.array_join(Q.label_mask(F.transform(F.sequence(F.lit(1), F.lit(12)), lambda i: i * 7), F.length("source")), ",").alias("labels")], where="source is not null")
 over("position_ids", "corpus", "select file_id, array_to_string(list_transform(range(1, 9), lambda i: case when i <= length(source) % 4 then '1' else (i - length(source) % 4 - 1)::varchar end), ',') as positions from corpus where source is not null", lambda: ["file_id", F.array_join(Q.position_ids(F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: F.when(i <= F.length("source") % 4, 0).otherwise(1))), ",").alias("positions")], where="source is not null")
+_TOKENS = r"regexp_extract_all(coalesce(caption, '') || ' ' || coalesce(code, ''), '\\[A-Za-z@]+|[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\v\x1c-\x1f\x{85}\p{Z}]')"
+_PROMPT = r"len(regexp_extract_all(coalesce(caption, ''), '\\[A-Za-z@]+|[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\v\x1c-\x1f\x{85}\p{Z}]'))"
+
+
+def _token_ids():
+    """Whole records as arrays of numbers: the tokens of caption and code, by their lengths."""
+    tokens = F.regexp_extract_all(F.concat_ws(" ", F.coalesce("caption", F.lit("")), F.coalesce("code", F.lit(""))), F.lit(r"\\[A-Za-z@]+|[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x0b\x1c-\x1f\x{85}\p{Z}]"), 0)
+    return F.transform(tokens, F.length)
+
+
+def _prompt_length():
+    return F.size(F.regexp_extract_all(F.coalesce("caption", F.lit("")), F.lit(r"\\[A-Za-z@]+|[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x0b\x1c-\x1f\x{85}\p{Z}]"), 0))
+
+
+over("label_mask_tokens", "corpus", f"select file_id, len(t)::int as n, coalesce(list_sum(list_transform(range(1, len(t) + 1), lambda i: case when i <= p then -100 else len(t[i]) * (i % 7) end)), 0)::bigint as checksum from (select file_id, {_TOKENS} as t, {_PROMPT} as p from corpus) s",
+     lambda: ["file_id", F.size(_token_ids()).alias("n"), F.aggregate(F.transform(Q.label_mask(_token_ids(), _prompt_length()), lambda x, i: F.when(x == Q.IGNORED, x).otherwise(x * ((i + 1) % 7))), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("checksum")])
+over("position_ids_tokens", "corpus", f"select file_id, list_transform(range(1, len(t) + 1), lambda i: case when i <= p then 1 else i - p - 1 end)::int[] as positions from (select file_id, {_TOKENS} as t, {_PROMPT} as p from corpus) s",
+     lambda: ["file_id", Q.position_ids(F.transform(_token_ids(), lambda x, i: (i >= _prompt_length()).cast("int"))).alias("positions")])
 over("image_prompt", "captions", "select file_id, repeat('<image>', 5) || new_caption || '</s>' as prompt from captions where new_caption is not null", lambda: ["file_id", Q.image_prompt("new_caption", "<image>", 5, eos="</s>").alias("prompt")], where="new_caption is not null")
 over("resize_geometry", "part", """select p_partkey, w::int as width, h::int as height, floor((448 - w) / 2)::int as left_, floor((448 - h) / 2)::int as top_ from (select p_partkey, round_even(a * s, 0) as w, round_even(b * s, 0) as h from (select p_partkey, a, b, least(448.0::double / a, 448.0::double / b) as s from (select p_partkey, (p_size * 13 + 7)::double as a, (p_partkey % 700 + 40)::double as b from part) t) u) v""",
      lambda: ["p_partkey", *(M.padded_geometry((F.col("p_size") * 13 + 7).cast("double"), (F.col("p_partkey") % 700 + 40).cast("double"))[k].alias(n) for k, n in (("width", "width"), ("height", "height"), ("left", "left_"), ("top", "top_")))])

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from inkmill.functions import sequences as Q
 from inkmill.operators import assembly as A
 from inkmill.operators import dedup as D
 from inkmill.operators import metrics as M
@@ -189,3 +190,79 @@ def test_evaluation(spark):
     rows = {r.figure_id: r for r in evaluation.score_predictions(gt, pred).collect()}
     assert rows["a"].compiled and rows["a"].tex_edit_distance < 0.3 and not rows["b"].compiled and rows["b"].tex_edit_distance == 1.0
     assert evaluation.report(evaluation.score_predictions(gt, pred)).first()["compile_rate"] == 0.5
+
+
+def test_transport_of_unequal_bags():
+    r = np.random.default_rng(1)
+    for a, b in ((1, 5), (3, 4), (4, 6), (5, 2), (7, 12), (6, 4)):
+        for cost in (r.random((a, b)), r.integers(0, 3, (a, b)).astype(float)):
+            each = int(np.lcm(a, b))
+            repeated = np.repeat(np.repeat(cost, each // a, axis=0), each // b, axis=1)
+            assert M.transport_cost(cost) == pytest.approx(M.assignment_cost(repeated) / each)
+    big = r.random((40, 41))
+    assert M.transport_cost(big) == pytest.approx(M.transport_cost(big.T))
+
+
+def test_running_sums(spark):
+    df = spark.createDataFrame([([1, 0, 2, None],), ([],), (None,), ([5],)], "x array<int>")
+    assert [r[0] for r in df.select(Q.running_sums(F.col("x"))).collect()] == [[1, 1, 3, 3], [], None, [5]]
+    long = spark.range(3).select(F.array_repeat(F.lit(1), 100_000).alias("m"))
+    assert [r[0] for r in long.select(Q.position_ids("m")[99_999]).collect()] == [99_999] * 3
+
+
+def test_bpe_count(spark, tmp_path):
+    import base64
+
+    ranks = [bytes([i]) for i in range(256)] + [b"ab", b" c", b"abab"]
+    (tmp_path / "own.tiktoken").write_bytes(b"\n".join(base64.b64encode(t) + b" %d" % i for i, t in enumerate(ranks)))
+    df = spark.createDataFrame([("abab cab",), (None,), ("",)], "t string")
+    assert [r[0] for r in df.select(Q.bpe_count("t", "own.tiktoken", str(tmp_path))).collect()] == [3, 0, 0]
+
+
+def test_rotation():
+    from inkmill.sources.harvest import RateLimited, Rotation
+
+    now, slept, left = [0.0], [], {"a": 2, "b": 1}
+
+    def fetch(token, credential):
+        if not left[credential]:
+            left[credential] = 1
+            raise RateLimited(5.0 if credential == "a" else 9.0)
+        left[credential] -= 1
+        return credential + token
+
+    turn = Rotation(["a", "b"], lambda: now[0], lambda s: (slept.append(s), now.__setitem__(0, now[0] + s)))
+    assert [turn.call(fetch, t) for t in "1234"] == ["a1", "a2", "b3", "a4"] and slept == [5.0]
+    with pytest.raises(ValueError):
+        Rotation([])
+
+
+def test_archives_as_a_sink(spark, tmp_path):
+    from inkmill.sources.archives import read_archives, write_archives
+
+    rows = [("x", f"m{i:02d}.tex", bytes([i]) * 1000) for i in range(30)] + [("y", "a.md", b""), ("y", None, b"z"), (None, "n", b"z")]
+    df = spark.createDataFrame(rows, "archive string, member string, content binary")
+    for kind in ("tar", "tar.gz", "tar.xz", "zip"):
+        written = write_archives(df, f"{tmp_path}/{kind}", kind, volume_bytes=10_000, places=2).collect()
+        assert sum(r.members for r in written) == 31 and len(written) >= 5
+        back = read_archives(spark, f"{tmp_path}/{kind}", "*." + kind.split(".")[-1]).where("error is null").collect()
+        assert sorted((r.member, bytes(r.content)) for r in back) == sorted((m, c) for a, m, c in rows if a and m)
+    assert write_archives(df.where("false"), f"{tmp_path}/none").count() == 0
+
+
+def test_xz_lines_and_arrays(spark, tmp_path):
+    from inkmill.sources.files import read_json_arrays, read_xz_lines
+    from inkmill.sources.sinks import write_json_arrays, write_xz_lines
+
+    df = spark.createDataFrame([(i, "\u00e9\n" * (i % 3)) for i in range(25)], "id long, text string")
+    assert sum(r.records for r in write_xz_lines(df, f"{tmp_path}/xz", 10).collect()) == 25
+    assert sorted(map(tuple, read_xz_lines(spark, f"{tmp_path}/xz", "id long, text string").collect())) == sorted(map(tuple, df.collect()))
+    write_json_arrays(df, f"{tmp_path}/arrays", 7)
+    assert sorted(map(tuple, read_json_arrays(spark, f"{tmp_path}/arrays", "id long, text string", "*.txt").collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_substrings_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(R, "BROADCAST_ROWS", 2)
+    df = spark.createDataFrame([("abc",), ("xbz",), ("",), (None,), ("qq",)], "t string")
+    parts = spark.createDataFrame([("bc",), ("z",), ("",), (None,), ("zz",), ("qqq",)], "p string")
+    assert sorted(r.t or "-" for r in R.without_substrings(df, "t", parts, "p").collect()) == ["-", "-", "qq"]
