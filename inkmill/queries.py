@@ -317,7 +317,23 @@ over("filter_lines", "corpus", rf"select file_id, {s_join(rf'''list_filter(list_
 over("label_of", "documents", r"select doc_id, trim(regexp_extract(text, '\\label\{([^\}]+)\}', 1)) as label from documents where text is not null", lambda: ["doc_id", L.label_of("text").alias("label")], where="text is not null")
 over("trim_environment", "corpus", rf"""select file_id, {s_strip(r'''case when strpos(reverse(split_part(reverse(c), chr(10), 1)), '\end{tikzpicture}') > 0 then left(c, length(c) - length(split_part(reverse(c), chr(10), 1)) + strpos(reverse(split_part(reverse(c), chr(10), 1)), '\end{tikzpicture}') + 16) else c end''')} as code
 from (select file_id, case when strpos(code, '\begin{{tikzpicture}}') > 0 then substr(code, strpos(code, '\begin{{tikzpicture}}')) else code end as c from corpus where code is not null) t""", lambda: ["file_id", L.trim_to_environment("code", "tikzpicture").alias("code")], where="code is not null")
-over("clean_caption", "corpus", None, lambda: ["file_id", L.clean_caption("caption").alias("caption")])
+def s_first(x: str, mark: str, n: str) -> str:
+    """``x`` with only its first ``n`` occurrences of a mark."""
+    return f"(coalesce(array_to_string(string_split({x}, {mark})[1:({n}) + 1], {mark}), '') || coalesce(array_to_string(string_split({x}, {mark})[({n}) + 2:], ''), ''))"
+
+
+def s_balance(column: str, opening: str, closing: str, source: str) -> str:
+    """A table like ``source`` in whose ``column`` the surplus of the more frequent of two marks is cut from the right."""
+    a, b = f"(len(string_split({column}, {opening})) - 1)", f"(len(string_split({column}, {closing})) - 1)"
+    return f"(select file_id, case when {a} > {b} then {s_first(column, opening, b)} when {b} > {a} then {s_first(column, closing, a)} else {column} end as {column} from {source})"
+
+
+# escaped signs are shielded by characters that no text holds
+_CUT_DOLLAR = f"(select file_id, case when (len(string_split(c, '$')) - 1) % 2 = 1 then {s_first('c', chr(39) + '$' + chr(39), 'len(string_split(c, chr(36))) - 2')} else c end as c from (select file_id, replace(caption, chr(92) || '$', chr(1)) as c from corpus))"
+_CUT_PARENS = s_balance("c", "chr(92) || '('", "chr(92) || ')'", f"(select file_id, replace(c, chr(1), chr(92) || '$') as c from {_CUT_DOLLAR})")
+_CUT_BRACES = s_balance("c", "'{'", "'}'", f"(select file_id, replace(replace(c, chr(92) || '{{', chr(2)), chr(92) || '}}', chr(3)) as c from {_CUT_PARENS})")
+_CLEANED = f"(select file_id, replace(replace(c, chr(2), chr(92) || '{{'), chr(3), chr(92) || '}}') as c from {_CUT_BRACES})"
+over("clean_caption", "corpus", rf"""select file_id, {s_collapse(r"regexp_replace(c, '\\label\{[^}]*\}', '', 'g')")} as caption from {_CLEANED} t""", lambda: ["file_id", L.clean_caption("caption").alias("caption")])
 over("balance_dollars", "corpus", r"""select file_id, case when len(regexp_extract_all(replace(caption, '\$', ''), '\$')) % 2 = 1 then regexp_replace(caption, '(?s)^(.*)\$', '\1') else caption end as caption from corpus where caption is not null and not contains(caption, '\$')""", lambda: ["file_id", L.balance_dollars("caption").alias("caption")], where=r"caption is not null and not contains(caption, '\\$')")
 _HEAD = r"split_part(code, '\begin{document}', 1)"
 _STATEMENTS = f"list_filter({s_lines(_HEAD)}, lambda l: not {s_blank('l')} and not starts_with({s_strip('l')}, '%') and not starts_with({s_strip('l')}, '\\new') and not starts_with({s_strip('l')}, '\\renew'))"
@@ -363,10 +379,25 @@ def _(spark, d):
     return figures_plan.extract_figures(spread(read_table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text", balanced=True)
 
 
-over("paragraphs", "documents", None, lambda: ["doc_id", F.explode(X.paragraphs("text")).alias("paragraph")])
+# regular expressions without looking ahead or back: the places to cut at are marked first
+_HEADS = r"regexp_replace(text, '(\\(chapter|section|subsection|subsubsection|paragraph|subparagraph)\*?\{|\\begin\{)', chr(1) || '\1', 'g')"
+_PARAGRAPHS = f"list_filter(list_transform(string_split_regex({_HEADS}, '\\n[\\s\\x0b]*\\n|\\x01'), lambda p: {s_strip('p')}), lambda p: p <> '')"
+over("paragraphs", "documents", f"select doc_id, unnest({_PARAGRAPHS}) as paragraph from documents", lambda: ["doc_id", F.explode(X.paragraphs("text")).alias("paragraph")])
+
+
+def s_refs(x: str) -> str:
+    return rf"list_transform(flatten(list_transform(regexp_extract_all({x}, '\\(?:ref|cref|autoref)\{{([^}}]*)\}}', 1), lambda r: string_split(r, ','))), lambda r: {s_strip('r')})"
 
 
-@query("text_mentions")
+_SENTENCES = rf"list_filter(string_split_regex(regexp_replace(p, '([.!?])[\s\x0b]+', '\1' || chr(1), 'g'), '\x01'), lambda s: {s_strip('s')} <> '')"
+
+
+@query("text_mentions", rf"""with d as (select doc_id, text, {_PARAGRAPHS} as ps from documents where contains(text, '\label{{')),
+l as (select distinct doc_id, {s_strip('l')} as label from (select doc_id, unnest(regexp_extract_all(text, '\\label\{{([^}}]+)\}}', 1)) as l from d) t where {s_strip('l')} <> ''),
+h as (select distinct doc_id, label, p from (select l.doc_id, label, unnest(list_filter(ps, lambda p: list_contains({s_refs('p')}, label))) as p from l join d on l.doc_id = d.doc_id) t),
+m as (select doc_id, label, case when length(p) between 10 and 1000 then p when k > 0 then array_to_string(s[greatest(1, k - 1):k + 3], ' ') else p end as m
+from (select doc_id, label, p, s, coalesce(list_position(list_transform(s, lambda x: list_contains({s_refs('x')}, label)), true), 0) as k from (select doc_id, label, p, {_SENTENCES} as s from h) t) u)
+select l.doc_id, l.label, coalesce(list_sort(list(distinct m) filter (m is not null)), []) as mentions from l left join m on l.doc_id = m.doc_id and l.label = m.label group by all""")
 def _(spark, d):
     rows = read_table(spark, d, "documents").where(F.contains("text", F.lit("\\label{"))).select("doc_id", F.explode(L.labels_of("text")).alias("label"), "text")
     return rows.select("doc_id", "label", X.text_mentions("text", "label").alias("mentions"))
@@ -550,6 +581,38 @@ def _(spark, d):
     return M.crystal_bleu(_repaired(spark, d), "hypothesis", "reference", trivial)
 
 
+_WORDS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{Nd}}]+')"
+
+
+def s_runs(t: str, n: int) -> str:
+    return f"list_transform(range(1, len({t}) - {n} + 2), lambda i: array_to_string({t}[i:i + {n} - 1], ' '))"
+
+
+def s_all_runs(t: str) -> str:
+    return f"flatten([{', '.join(s_runs(t, n) for n in (1, 2, 3, 4))}])"
+
+
+def s_kept(t: str) -> str:
+    return f"string_split(array_to_string(list_filter({s_all_runs(t)}, lambda g: not list_contains(shared, g)), ' '), ' ')"
+
+
+def s_matched(n: int) -> str:
+    side = lambda c: f"(select file_id, g, count(*) as c from (select file_id, unnest({s_runs(c, n)}) as g from k) t group by all)"
+    return f"(select sum(least(a.c, b.c)) from {side('h')} a join {side('r')} b using (file_id, g))::double / (select sum(len(h) - {n - 1}) from k)"
+
+
+@query("crystal_bleu_words", f"""with e as (select {_WORDS.format('new_caption')} as t from eval_gt), x as (select list(g) as shared from (select g from (select unnest({s_all_runs('t')}) as g from e) u group by g order by count(*) desc, g limit 100) v),
+k as (select file_id, {s_kept('h')} as h, {s_kept('r')} as r from (select file_id, {_WORDS.format('new_caption')} as h, {_WORDS.format('caption')} as r from corpus where caption is not null and new_caption is not null) t, x where {s_kept('h')} <> [''] and {s_kept('r')} <> [''])
+select count(*)::bigint as n_pairs, round(exp((ln({s_matched(1)}) + ln({s_matched(2)}) + ln({s_matched(3)}) + ln({s_matched(4)})) / 4) * case when sum(len(h)) < sum(len(r)) then exp(1 - sum(len(r)) / sum(len(h))) else 1 end, 9) as crystal_bleu from k""")
+def _(spark, d):
+    """M-01, A-09, A-13, D-09, O-04, X-24 on words instead of tokens of LaTeX, so that SQL can say the same."""
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{Nd}]+"), 0)
+    trivial = M.trivial_ngrams(read_table(spark, d, "eval_gt").select(words("new_caption").alias("tokens")), "tokens", 100)
+    rows = read_table(spark, d, "corpus").where("caption is not null and new_caption is not null").select(words("new_caption").alias("h"), words("caption").alias("r"))
+    found = M.crystal_bleu(rows, "h", "r", trivial)
+    return found.select("n_pairs", F.round("crystal_bleu", 9).alias("crystal_bleu"))
+
+
 @query("tex_edit_distance")
 def _(spark, d):
     rows = curated_pairs.with_repairs(read_table(spark, d, "corpus").select("file_id", "code", "code_new"), read_table(spark, d, "repair_responses")).where("code is not null and code_new is not null")
