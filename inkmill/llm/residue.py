@@ -9,9 +9,10 @@ stands alone must match a rule as a whole. What is neither residue nor furniture
 document scaffolding, definitions of macros, colours and styles, sentences of a known template, recurring messages) is content. A document is residue if it
 has some residue and no content.
 
-The counts are the only large shuffle (hashes, aggregated before it); a hot message is one row for each task. Most documents are judged by
-the rules alone, whatever recurs; the others ask for the hashes and sentences that decide them, and these are joined with what
-recurs: messages by hash, sentences by a word that the template holds. Nothing is broadcast or collected.
+The counts are the only large shuffle (hashes, aggregated before it); a hot message is one row for each task. Most documents hold a
+message that is content whatever recurs, and are done with. The messages of the others are grouped by their normalised form and hash, each group
+is classified once, with what is known of its recurrence, and the class is joined back to the documents; sentences meet
+templates by a word that the template holds. No document is judged but by the classes of its groups; nothing is broadcast or collected.
 """
 
 from __future__ import annotations
@@ -99,6 +100,7 @@ DATE = rf"\b(?:(?:{DAY}),? +)?(?:{NUMBER}\.?(?: +(?:of|de))? +{MONTH}\b\.?(?:,?(
 UNHASHED = rf"{ADDRESS}|(?i:\b\d{{4}}-\d\d-\d\dt[\d:.]*\dz?\b|\b(?:{MONTH}|{DAY})\b|\b\d+(?:st|nd|rd|th)\b)"
 ELSEWHERE = re.compile(rf"{ADDRESS}|(?i:{DATE})")
 MASKED = re.compile(rf"(?i:{DATE})|(?:https?://|www\.)\S+|\S+@\S+\.\w+|\b" r"\d{4}-\d\d-\d\d(?:[T ]\d\d:\d\d(?::\d\d)?)?\b|\b\d{1,2}[./]\d{1,2}[./]\d{2,4}\b|\b\d+(?:[.,:]\d+)*\b")
+ERROR_CODE = re.compile(r"[45]\d\d")
 LETTERS = re.compile(r"[^\W\d_]+")
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 FURNITURE = re.compile(r"^(?:#{1,6} |[-*+>|] ?|\d+[.)] |©|\(c\) |%)|\||^\\(?:documentclass|usepackage|usetikzlibrary|begin|end|section|subsection|subsubsection|chapter|paragraph|title|author|date|maketitle|label|centering|includegraphics|tableofcontents|caption|item|bibliography\w*|ref|cite|input)\b")
@@ -306,51 +308,51 @@ def talks_of_placeholders(message: str) -> bool:
     return n > 0 and len(WORD.findall(rest)) >= LONG_TEMPLATE_WORDS
 
 
-def asked(text: str) -> tuple[bool | None, list[int], list[str]]:
-    """Whether a text is residue, if no knowledge of what recurs can change that; else None with the hashes and the sentences that decide it."""
+def masked(message: str) -> str:
+    """A message with addresses, dates and numbers masked, but for error codes: messages that are alike in this are classified once."""
+    return MASKED.sub(lambda m: m[0] if ERROR_CODE.fullmatch(m[0]) else "0", ELSEWHERE.sub("0", " ".join(message.split())))
+
+
+def candidate(text: str) -> list[tuple[str, str, str | None, bool]]:
+    """The messages of a text that may be residue, each as (message, what it is grouped by, itself as a sentence of a template, whether it
+    talks of placeholders); none if some message is content whatever recurs, or if none can be residue."""
     if calculates_or_draws(text):
-        return False, [], []
+        return []
     text = without_definitions(text)
     placeholders = bool(PLACEHOLDER.search(text))
-    found, unclear, sentences = False, [], []
+    found, out = False, []
     for message in messages(text):
         kind = classify(message, False)
         kinds = {kind} if kind == RESIDUE else {kind, classify(message, True)}
         if kinds == {CONTENT} or kinds == {UNSURE} and not placeholders:
-            return False, [], []
+            return []
         found |= RESIDUE in kinds
-        if len(kinds) > 1:
-            unclear.append(message)
-        if placeholders and (UNSURE in kinds or RESIDUE in kinds and talks_of_placeholders(message)):
-            sentences.append(template_text(message))
-    if not found or not (unclear or sentences):
-        return found, [], []
-    return None, sorted({h for h in hashes_of(unclear).view(np.int64).tolist() if h}), sorted(set(sentences))
+        if kinds != {FURNISHED}:
+            out.append((message, masked(message), template_text(message) if placeholders else None, placeholders and talks_of_placeholders(message)))
+    return out if found else []
 
 
-def is_residue(text: str, recurring: set[int], fitting: set[str]) -> bool:
-    """Whether a text that ``asked`` leaves open has residue and no content of its own, given which of its hashes recur and which sentences are of a template."""
-    text = without_definitions(text)
-    placeholders = bool(PLACEHOLDER.search(text))
-    parts = messages(text)
-    found = False
-    for message, value in zip(parts, hashes_of(parts).view(np.int64).tolist()):
-        kind = classify(message, value in recurring)
-        if kind == CONTENT:
-            return False
-        if (kind == UNSURE or kind == RESIDUE and placeholders and talks_of_placeholders(message)) and not (placeholders and template_text(message) in fitting):
-            return False
-        found |= kind == RESIDUE
-    return found
-
-
-def _judge(batches):
+PART = pa.struct([("hash", pa.int64()), ("form", pa.string()), ("sentence", pa.string()), ("talks", pa.bool_())])
+
+
+def _candidates(batches):
+    """(id, parts) of every row; of texts that may be residue, parts are the hash, form, sentence and talk of each message."""
+    for batch in batches:
+        found = [candidate(t) if t else [] for t in batch.column(1).to_pylist()]
+        parts = [part for mine in found for part in mine]
+        # a message that has no hash of its own stands alone
+        hashes = hashes_of([m for m, *_ in parts]).view(np.int64) if parts else np.zeros(0, np.int64)
+        forms, sentences, talks = ([p[k] for p in parts] for k in (1, 2, 3))
+        values = pa.StructArray.from_arrays([pa.array(hashes), pa.array(forms, pa.string()), pa.array(sentences, pa.string()), pa.array(talks, pa.bool_())], fields=list(PART))
+        offsets = pa.array(np.concatenate(([0], np.cumsum([len(mine) for mine in found]))).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, values)], names=["id", "parts"])
+
+
+def _classified(batches):
     for batch in batches:
-        texts = batch.column(1).to_pylist()
-        flags, hashes, sentences = zip(*(asked(t) if t else (False, [], []) for t in texts)) if texts else ((), (), ())
-        kept = [t if f is None else None for t, f in zip(texts, flags)]
-        columns = [pa.array(kept, pa.string()), pa.array(flags, pa.bool_()), pa.array(hashes, pa.list_(pa.int64())), pa.array(sentences, pa.list_(pa.string()))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", "text", "residue", "hashes", "sentences"])
+        forms = batch.column(0).to_pylist()
+        kinds = [[classify(f, recurs) for f in forms] for recurs in (False, True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(k, pa.string()) for k in kinds)], names=["form", "alone", "recurring"])
 
 
 def _sentence_keys(batches):
@@ -371,13 +373,6 @@ def _fitting(batches):
         yield pa.RecordBatch.from_arrays([pa.array(sorted({s for s, t in pairs if pattern(t).match(s)}), pa.string())], names=["sentence"])
 
 
-def _decide(batches):
-    for batch in batches:
-        texts, recurring, fitting = (batch.column(k).to_pylist() for k in (1, 2, 3))
-        flags = [is_residue(t, set(r or ()), set(f or ())) for t, r, f in zip(texts, recurring, fitting)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(flags, pa.bool_())], names=["id", "residue"])
-
-
 def recurring(df: DataFrame, text_col: str = "text", origin_col: str = "origin", id_col: str = "doc_id") -> DataFrame:
     """(hash, skeleton, n_origins) of the messages that recur. A document without an origin is an origin of its own."""
     origin = F.when(F.col(origin_col).isNull(), F.xxhash64(F.lit("none"), F.col(id_col))).otherwise(F.xxhash64(F.col(origin_col)))
@@ -388,23 +383,33 @@ def recurring(df: DataFrame, text_col: str = "text", origin_col: str = "origin",
     return once.groupBy("hash").agg(F.max("skeleton").alias("skeleton"), F.count("*").alias("n_origins")).where(F.col("n_origins") >= least)
 
 
+def classes(asked: DataFrame, found: DataFrame) -> DataFrame:
+    """(hash, form, kind): the groups of messages that ``asked`` (hash, form) holds, each classified once, by the rules for messages that
+    recur if its hash is among those of ``found``, and by the rules for those that stand alone if not."""
+    groups = asked.select("hash", "form").distinct()
+    kinds = groups.select("form").distinct().mapInArrow(_classified, "form string, alone string, recurring string")
+    recur = found.where("skeleton is null").select("hash", F.lit(True).alias("recurs"))
+    return groups.join(recur, "hash", "left").join(kinds, "form").select("hash", "form", F.when(F.col("recurs"), F.col("recurring")).otherwise(F.col("alone")).alias("kind"))
+
+
 def residue(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", origin_col: str = "origin") -> DataFrame:
     """(id, residue) of every row: whether its text is residue only. Null and empty texts are not. Other columns are not read."""
     kind = df.schema[id_col].dataType.simpleString()
-    judged = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_judge, f"id {kind}, text string, residue boolean, hashes array<long>, sentences array<string>")
-    judged = materialise(judged.withColumn("row", F.monotonically_increasing_id()))
-    unclear = judged.where("residue is null")
+    parts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_candidates, f"id {kind}, parts array<struct<hash:long,form:string,sentence:string,talks:boolean>>")
+    rows = materialise(parts.withColumn("row", F.monotonically_increasing_id()))
+    asked = rows.select("row", F.explode("parts").alias("p")).select("row", "p.*")
     found = materialise(recurring(df, text_col, origin_col, id_col))
-    hashes = unclear.select("row", F.explode("hashes").alias("hash"))
-    recur = hashes.join(found.where("skeleton is null").select("hash"), "hash").groupBy("row").agg(F.collect_list("hash").alias("recurring"))
-    sentences = unclear.select("row", F.explode("sentences").alias("sentence"))
-    keyed = sentences.select("sentence").distinct().mapInArrow(_sentence_keys, "sentence string, key string")
+    sentences = asked.where("sentence is not null").select("sentence").distinct()
+    keyed = sentences.mapInArrow(_sentence_keys, "sentence string, key string")
     skeletons = found.where("skeleton is not null").select("skeleton").mapInArrow(_skeleton_keys, "skeleton string, key string, head string, tail string")
     pairs = keyed.join(skeletons, "key").where(F.startswith("sentence", "head") & F.endswith("sentence", "tail")).select("sentence", "skeleton")
-    fitting = sentences.join(pairs.mapInArrow(_fitting, "sentence string").distinct(), "sentence").groupBy("row").agg(F.collect_list("sentence").alias("fitting"))
-    known = unclear.select("row", "id", "text").join(recur, "row", "left").join(fitting, "row", "left")
-    decided = known.select("id", "text", "recurring", "fitting").mapInArrow(_decide, f"id {kind}, residue boolean")
-    return judged.where("residue is not null").select("id", "residue").unionByName(decided)
+    fitting = pairs.mapInArrow(_fitting, "sentence string").distinct().withColumn("fits", F.lit(True))
+    joined = asked.join(classes(asked, found), ["hash", "form"]).join(fitting, "sentence", "left")
+    doubtful = (F.col("kind") == UNSURE) | ((F.col("kind") == RESIDUE) & F.col("talks"))
+    content = (F.col("kind") == CONTENT) | (doubtful & F.col("fits").isNull())
+    judged = joined.groupBy("row").agg((F.bool_or(F.col("kind") == RESIDUE) & ~F.bool_or(content)).alias("residue"))
+    none = rows.where(F.size("parts") == 0).select("id", F.lit(False).alias("residue"))
+    return none.unionByName(rows.where(F.size("parts") > 0).select("row", "id").join(judged, "row").select("id", "residue"))
 
 
 def p7_found(df: DataFrame) -> DataFrame:
