@@ -96,8 +96,14 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.p7_found(_table(spark, d, "documents"))
 
 
+def p7_recurring(spark: SparkSession, d: str) -> DataFrame:
+    """How many different messages recur in how many origins, of all documents."""
+    found = residue.recurring(_table(spark, d, "documents")).where("skeleton is null")
+    return found.groupBy("n_origins").agg(F.count("*").alias("n_messages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_collapsed, p2_found, p2_report, p2_limits, p3_found, p3_report, p4_found, p4_classes, p4_links, p4_groups, p5_packing, p5_report, p6_draws, p6_usage, p6_shares, p7_found)}
+    return {f.__name__: f for f in (p1_found, p1_collapsed, p2_found, p2_report, p2_limits, p3_found, p3_report, p4_found, p4_classes, p4_links, p4_groups, p5_packing, p5_report, p6_draws, p6_usage, p6_shares, p7_found, p7_recurring)}
 
 
 _FOLD = r"regexp_replace(lower({0}), '[^\p{{L}}\p{{Nd}}]', '', 'g')"
@@ -112,6 +118,22 @@ def _passages(table: str, key: str, column: str, span: int) -> str:
 
 
 _SHARED = " union ".join(f"select e.figure_id, c.file_id from {_passages('eval_gt', 'figure_id', c, n)} e join {_passages('corpus', 'file_id', c, n)} c using (passage)" for c, n in (("code", 30), ("new_caption", 13)))
+
+
+def _runs(column: str, span: int) -> str:
+    """The longest shared passage of each item and row: windows that follow each other in both make one passage."""
+    at = lambda table, key, name: f"(select {key}, i as {name}, array_to_string(w[i:i + {span - 1}], ' ') as passage from (select {key}, w, unnest(range(1, len(w) - {span - 2})) as i from (select {key}, {_WORDS.format(column)} as w from {table}) a where len(w) >= {span}) b)"
+    met = f"select figure_id, file_id, i, i - j as diagonal, i - row_number() over (partition by figure_id, file_id, i - j order by i) as island from {at('eval_gt', 'figure_id', 'i')} e join {at('corpus', 'file_id', 'j')} c using (passage)"
+    return f"select figure_id, file_id, '{column}' as field, max(n) as longest from (select figure_id, file_id, diagonal, island, count(*) + {span - 1} as n from ({met}) m group by all) r group by all"
+
+
+_LEAK_REPORT = f"""with h as ({_runs('code', 30)} union all {_runs('new_caption', 13)})
+select figure_id, count(distinct file_id)::bigint as n_rows, count(*) filter (field = 'code')::bigint as n_code, count(*) filter (field = 'new_caption')::bigint as n_caption, coalesce(max(longest), 0)::int as longest_words
+from (select distinct figure_id from eval_gt where figure_id is not null) g left join h using (figure_id) group by figure_id"""
+_UNHASHED = residue.UNHASHED.replace("'", "''")
+_RECURRING = rf"""with m as (select coalesce('o' || origin, 'n' || doc_id) as o, unnest(string_split_regex(regexp_replace(regexp_replace(text, '{_UNHASHED}', '0', 'g'), '([.!?;])[ \t\r\n]', '\1' || chr(10), 'g'), '[\n\r<>]')) as m from documents where text is not null),
+l as (select distinct o, regexp_replace(lower(m), '[^\p{{L}}]', '', 'g') as k from m)
+select n_origins, count(*)::bigint as n_messages from (select k, count(*)::bigint as n_origins from l where length(k) >= 4 group by k) g where n_origins >= 4 group by n_origins"""
 _SHINGLES = f"(select distinct file_id, array_to_string(w[i:i + 4], ' ') as s from (select file_id, w, unnest(range(1, len(w) - 3)) as i from (select file_id, {_WORDS.format('code')} as w from corpus) a where len(w) >= 40) b)"
 
 
@@ -147,6 +169,8 @@ def oracle_sql() -> dict[str, str]:
         "p1_found": f"select first as file_id_a, file_id as file_id_b from (select file_id, min(file_id) over (partition by canon, cap) as first from {_CANON} c where n >= 40) d where first <> file_id",
         "p1_collapsed": f"select min(file_id) as file_id, count(*)::bigint as copies from {_CANON} c group by canon, cap",
         "p3_found": _SHARED,
+        "p3_report": _LEAK_REPORT,
+        "p7_recurring": _RECURRING,
         "p4_classes": f"with {_CLASSES} select file_id, class_id, copies::bigint as copies, (select count(*) from e where e.a = c.class_id)::bigint as n_links from c",
         "p4_links": f"with {_CLASSES} select a as class_a, b as class_b, similarity from l",
         "p4_groups": f"with recursive {_CLASSES}, w as (select distinct class_id as a, class_id as b from c union select w.a, e.b from w join e on w.b = e.a) select file_id, m as group_id from c join (select a, min(b) as m from w group by a) t on c.class_id = t.a",

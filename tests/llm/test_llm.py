@@ -438,3 +438,20 @@ def test_residue_behind_a_preamble(spark):
     held = "The caption of the melpo drawing shown on {{place}} was written by the keeper of kresh."
     df = spark.createDataFrame([(i, PREAMBLE + held, f"o{i}") for i in (1, 2)], "doc_id long, text string, origin string")
     assert {r.doc_id for r in residue.p7_found(df).collect()} == {1, 2}
+
+
+def test_residue_classes(spark):
+    rows = [(i, f"Oops, dear guest {i}: this exhibit sleeps.", f"o{i}") for i in range(5)] + [(9, "Oops, dear friend: that exhibit wakes.", "o9")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, origin string")
+    asked = spark.createDataFrame([(int(h), residue.masked(t)) for (_, t, _), h in zip(rows, residue.hashes_of([r[1] for r in rows]).view(np.int64))], "hash long, form string")
+    got = {r.form: r.kind for r in residue.classes(asked, residue.recurring(df)).collect()}
+    # one group of five messages that differ in a number, and one message that stands alone
+    assert got == {"Oops, dear guest 0: this exhibit sleeps.": residue.RESIDUE, "Oops, dear friend: that exhibit wakes.": residue.CONTENT}
+    none = residue.classes(asked, residue.recurring(df.where("false")))
+    assert {r.kind for r in none.collect()} == {residue.CONTENT}
+    assert residue.masked("404 Not Found on 3 March 2024: https://a.example/b 17") == "404 Not Found on 0: 0 0"
+
+
+def test_residue_of_repeated_rows(spark):
+    df = spark.createDataFrame([(1, "404 Not Found", "a"), (1, "404 Not Found", "a"), (None, "404 Not Found", None), (2, None, "b")], "doc_id long, text string, origin string")
+    assert sorted((r.id or 0, r.residue) for r in residue.residue(df).collect()) == [(0, True), (1, True), (1, True), (2, False)]
