@@ -8,7 +8,9 @@ multivariate hypergeometric distribution, seeded by the node, so every shard fin
 in as many draws as the tree is deep, and the ranges of all shards are disjoint and cover the quotas exactly. Each pass has its
 own permutation of the blocks; a shard gets the blocks of its ranges and shuffles their documents locally.
 
-No step gathers a source: blocks are at most ``MOST_BLOCKS`` a source (and so are their rows), documents meet their blocks by hash.
+No step gathers a source: blocks are at most ``MOST_BLOCKS`` a source (and so are their rows), documents meet their blocks by hash. Where
+blocks would hold more than ``BLOCK_DOCS`` documents because of that, the shards are divided further by a hash of the documents, so
+that a shard stays as small as it is meant to be.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ BLOCK_DOCS, MOST_BLOCKS = 32, 1 << 16
 #: Tokens in an output shard, about, as long as there are LEAST_BLOCKS blocks for each.
 SHARD_TOKENS, LEAST_BLOCKS = 2_000_000, 8
 SEED = 17
+#: The draws of a node are exact below this number of blocks.
+MOST_DRAWN = 1_000_000_000
 
 
 def split_shares(due: list[int], shards: int, shard: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -41,6 +45,8 @@ def split_shares(due: list[int], shards: int, shard: int, seed: int) -> tuple[np
         middle = low + (high - low) // 2
         total = int(counts.sum())
         take = (total * (middle - low) + (high - low) // 2) // (high - low)
+        if total >= MOST_DRAWN:
+            raise ValueError(f"a mix may have {MOST_DRAWN - 1} uses of blocks at most; lower the caps or raise BLOCK_DOCS")
         draw = np.random.default_rng([seed, low, high]).multivariate_hypergeometric(counts, take, method="marginals") if total else counts * 0
         if shard < middle:
             high, counts = middle, draw
@@ -126,7 +132,7 @@ class Mix:
     def draws(self) -> DataFrame:
         """(mix_id, shard, position, item, source, n_tokens, pass): every use of a document, shuffled within its shard."""
         due = self.due.groupBy("mix_id", "source").agg(F.count("*").alias("due"))
-        sizes = self.plan.groupBy("mix_id").agg(F.sum("quota").alias("quota"))
+        sizes = self.plan.groupBy("mix_id").agg(F.sum("quota").alias("quota"), F.max(F.ceil(F.col("n_docs") / (F.col("n_blocks") * BLOCK_DOCS))).cast("int").alias("parts"))
         by_mix = due.groupBy("mix_id").agg(F.sort_array(F.collect_list(F.struct("source", "due"))).alias("all")).join(sizes, "mix_id")
         blocks = F.aggregate("all.due", F.lit(0).cast("bigint"), lambda a, x: a + x)
         shards = F.greatest(F.lit(1), F.least(F.ceil(F.col("quota") / self.shard_tokens), F.floor(blocks / LEAST_BLOCKS))).cast("int")
@@ -138,7 +144,9 @@ class Mix:
         whole = self.docs.join(placed.where("cut is null").select("mix_id", "source", "block", "pass", "shard"), ["source", "block"])
         some = self._cut_docs.join(placed.where("cut is not null").select("mix_id", "source", "place", "shard"), ["mix_id", "source", "place"])
         columns = ["mix_id", "shard", "item", "source", "n_tokens", "pass"]
-        every = whole.select(*columns).unionByName(some.select(*columns))
+        every = whole.select(*columns).unionByName(some.select(*columns)).join(F.broadcast(sizes.select("mix_id", "parts")), "mix_id")  # a row for each mix
+        part = F.pmod(F.xxhash64(F.lit(self.seed + 3), "mix_id", "pass", "item"), F.col("parts"))
+        every = every.withColumn("shard", (F.col("shard") * F.col("parts") + part).cast("int")).drop("parts")
         order = Window.partitionBy("mix_id", "shard").orderBy(F.xxhash64(F.lit(self.seed + 2), "mix_id", "shard", "pass", "item"), "item", "pass", "n_tokens")
         return every.withColumn("position", F.row_number().over(order) - 1).select("mix_id", "shard", "position", F.col("item").alias(self.id_col), "source", "n_tokens", "pass")
 

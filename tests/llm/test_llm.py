@@ -455,3 +455,21 @@ def test_residue_classes(spark):
 def test_residue_of_repeated_rows(spark):
     df = spark.createDataFrame([(1, "404 Not Found", "a"), (1, "404 Not Found", "a"), (None, "404 Not Found", None), (2, None, "b")], "doc_id long, text string, origin string")
     assert sorted((r.id or 0, r.residue) for r in residue.residue(df).collect()) == [(0, True), (1, True), (1, True), (2, False)]
+
+
+def test_mixing_divides_shards_of_large_blocks(spark, monkeypatch):
+    df = spark.createDataFrame([(i, "ab" if i % 3 else "c", "word " * (5 + i % 7)) for i in range(4000)], "doc_id long, source string, text string")
+    targets = spark.createDataFrame([(1, "ab", 0.5, 2), (1, "c", 0.5, 2)], "mix_id int, source string, target_share double, max_repeats int")
+    whole = mixing.Mix(df, targets, shard_tokens=2000).draws().collect()
+    monkeypatch.setattr(mixing, "MOST_BLOCKS", 16)
+    divided = mixing.Mix(df, targets, shard_tokens=2000)
+    draws = divided.draws().collect()
+    sizes = Counter()
+    for x in draws:
+        sizes[x.shard] += x.n_tokens
+    assert len(sizes) >= 10 and max(sizes.values()) < 4 * sum(sizes.values()) / len(sizes)
+    assert abs(sum(x.n_tokens for x in draws) - sum(x.n_tokens for x in whole)) < 50
+    for key in sizes:
+        assert sorted(x.position for x in draws if x.shard == key) == list(range(sum(x.shard == key for x in draws)))
+    used = {(x.doc_id): x.uses for x in divided.usage().collect()}
+    assert Counter(x.doc_id for x in draws) == {k: v for k, v in used.items() if v}
