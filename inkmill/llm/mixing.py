@@ -67,6 +67,23 @@ def _leaves(seed: int):
     return run
 
 
+def _fitted(block: pd.DataFrame) -> pd.DataFrame:
+    """The documents of a block whose sizes add up to about its cut."""
+    block = block.sort_values(["n_tokens", "order", "item"], ascending=[False, True, True], kind="stable")
+    sizes, room = block["n_tokens"].tolist(), int(block["cut"].iloc[0])
+    taken, left = [], []
+    for i, n in enumerate(sizes):
+        if n <= room:
+            taken.append(i)
+            room -= n
+        else:
+            left.append(i)
+    # one more goes beyond the cut; the smallest does so by the least
+    if left and sizes[left[-1]] - room < room:
+        taken.append(left[-1])
+    return block.iloc[sorted(taken)]
+
+
 class Mix:
     """Plans and draws the mixes of ``targets`` (mix_id, source, target_share, max_repeats) from ``docs``.
 
@@ -111,12 +128,14 @@ class Mix:
         self._cut_docs = self._cut()
 
     def _cut(self) -> DataFrame:
-        """(mix_id, item, n_tokens, source): the documents taken from the last, partly used block of a source: in the order of a hash,
-        those whose middle lies before the cut, so the sum comes as near to it as whole documents allow."""
-        order = Window.partitionBy("mix_id", "source").orderBy(F.xxhash64(F.lit(self.seed + 1), "mix_id", "item"), "item", "n_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        """(mix_id, source, item, n_tokens, pass, place): the documents taken from the last, partly used block of a source, chosen so that their
+        sum comes as near to the cut as large documents first, then smaller ones that still fit, and perhaps one more allow."""
         cut = self.due.where("cut is not null").select("mix_id", "source", "block", "pass", "cut", "place")
         docs = self.docs.join(F.broadcast(cut), ["source", "block"])  # one block for each mix and source
-        return docs.withColumn("upto", F.sum("n_tokens").over(order)).where(F.col("upto") - F.col("n_tokens") / 2 <= F.col("cut"))
+        docs = docs.withColumn("order", F.xxhash64(F.lit(self.seed + 1), "mix_id", "item", "n_tokens"))
+        columns = ["mix_id", "source", "item", "n_tokens", "pass", "place"]
+        schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
+        return docs.groupBy("mix_id", "source").applyInPandas(lambda frame: _fitted(frame)[columns], schema)
 
     def usage(self) -> DataFrame:
         """(mix_id, item, source, n_tokens, uses), documents that are not used included."""

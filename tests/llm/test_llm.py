@@ -457,6 +457,14 @@ def test_residue_of_repeated_rows(spark):
     assert sorted((r.id or 0, r.residue) for r in residue.residue(df).collect()) == [(0, True), (1, True), (1, True), (2, False)]
 
 
+@pytest.mark.parametrize("sizes, cut, wanted", [([5, 4, 3], 7, 8), ([5, 4, 3], 8, 8), ([9, 9], 3, 0), ([9, 9], 5, 9), ([4, 4, 4], 12, 12), ([10, 6, 5], 11, 10)])
+def test_mixing_fits_the_last_block(sizes, cut, wanted):
+    import pandas as pd
+
+    block = pd.DataFrame({"n_tokens": sizes, "order": range(len(sizes)), "item": range(len(sizes)), "cut": cut})
+    assert mixing._fitted(block)["n_tokens"].sum() == wanted
+
+
 def test_mixing_divides_shards_of_large_blocks(spark, monkeypatch):
     df = spark.createDataFrame([(i, "ab" if i % 3 else "c", "word " * (5 + i % 7)) for i in range(4000)], "doc_id long, source string, text string")
     targets = spark.createDataFrame([(1, "ab", 0.5, 2), (1, "c", 0.5, 2)], "mix_id int, source string, target_share double, max_repeats int")
