@@ -96,6 +96,20 @@ def balanced_caption(x: Column | str) -> Column:
     return run(_c(x))
 
 
+LEGACY = r"(?s)([^\n]*?)\\begin\{tikzpicture\}.*?\\end\{tikzpicture\}"
+
+
+def legacy_figures(df: DataFrame, key: str, text: str, longest: int = MAX_BLOCK) -> DataFrame:
+    """X-02: (key, prefix, code, caption, label) by the older rule: the picture of each figure that holds exactly one, with what stands before it
+    in its line, the caption to its matching brace and the label; and then every picture once more, without caption and label."""
+    figure = df.select(key, F.explode(F.regexp_extract_all(_c(text), F.lit(r"(?s)\\begin\{figure\}(.*?)\\end\{figure\}"), 1)).alias("f"))
+    single = figure.where(F.regexp_count("f", F.lit(r"\\begin\{tikzpicture\}")) == 1).select(key, "f", F.regexp_extract("f", LEGACY, 0).alias("code"), F.regexp_extract("f", LEGACY, 1).alias("prefix"))
+    single = single.where((F.col("code") != "") & (F.length("code") <= longest))
+    framed = single.select(key, "prefix", "code", F.coalesce(balanced_caption("f"), F.lit("")).alias("caption"), strip(F.regexp_extract("f", r"\\label\{([^}]+)\}", 1)).alias("label"))
+    every = df.select(key, F.explode(F.regexp_extract_all(_c(text), F.lit(LEGACY), 0)).alias("code"))
+    return framed.unionByName(every.select(key, F.regexp_extract("code", LEGACY, 1).alias("prefix"), "code", F.lit("").alias("caption"), F.lit("").alias("label")))
+
+
 PARAGRAPH = r"\n\s*\n|(?=\\(?:chapter|section|subsection|subsubsection|paragraph|subparagraph)\*?\{)|(?=\\begin\{)"
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkmill.operators.relational import first_by
+from inkmill.operators.sampling import running
 
 MIN_SCORE = -10_000
 
@@ -39,10 +40,10 @@ def assemble(posts: DataFrame, tags: list[str] | None = None, min_score: int = M
     return questions.join(listed, "question_id").select("question_id", "title", "question", "answers")
 
 
-def mean_report(df: DataFrame, scores: list[str], failed: Column | None = None) -> DataFrame:
-    """A-02, A-03: for each score its mean and population deviation, null scores (and those of failed rows) counting as 0."""
+def mean_report(df: DataFrame, scores: list[str], failed: Column | None = None, *more: Column) -> DataFrame:
+    """A-02, A-03: for each score its mean and population deviation, null scores (and those of failed rows) counting as 0; and ``more`` aggregates."""
     value = lambda c: F.coalesce(F.when(failed, F.lit(0.0)).otherwise(F.col(c).cast("double")) if failed is not None else F.col(c).cast("double"), F.lit(0.0))
-    return df.agg(F.count("*").alias("n"), *(e for c in scores for e in (F.avg(value(c)).alias(f"{c}_mean"), F.stddev_pop(value(c)).alias(f"{c}_std"))))
+    return df.agg(F.count("*").alias("n"), *(e for c in scores for e in (F.avg(value(c)).alias(f"{c}_mean"), F.stddev_pop(value(c)).alias(f"{c}_std"))), *more)
 
 
 def composite(clip: Column, dream: Column, edit: Column) -> Column:
@@ -50,6 +51,11 @@ def composite(clip: Column, dream: Column, edit: Column) -> Column:
     return (clip + dream + (1 - edit)) / 3
 
 
+def report_with_rate(df: DataFrame, scores: list[str], ok: Column, failed: Column | None = None) -> DataFrame:
+    """A-02, A-03, A-05: ``mean_report`` with the share of rows that hold as ``compile_rate``, in one pass."""
+    return mean_report(df, scores, failed, compile_rate(ok).alias("compile_rate"))
+
+
 def compile_rate(ok: Column) -> Column:
     """A-05: the share of rows that hold; null counts as a failure."""
     return F.avg(F.coalesce(ok, F.lit(False)).cast("double"))
@@ -66,18 +72,32 @@ def corpus_profile(df: DataFrame, *dimensions: str) -> DataFrame:
 
 
 def context_frames(df: DataFrame, keys: list[str], order: str, text: str, before: int = 1, after: int = 3, name: str = "context") -> DataFrame:
-    """W-03: each row's text with that of the rows around it, joined by a space; null texts are left out."""
-    around = Window.partitionBy(*keys).orderBy(order).rowsBetween(-before, after)
-    return df.withColumn(name, F.array_join(F.collect_list(text).over(around), " "))
+    """W-03: each row's text with that of the rows around it, joined by a space; null texts are left out.
+
+    Each text goes to the places that it is around of, so no key needs one task for all its rows.
+    """
+    placed = running(df, keys, [order], {"__place": F.lit(1)})
+    near = placed.select(*keys, F.explode(F.sequence(F.col("__place") - after, F.col("__place") + before)).alias("__place"), F.struct(F.col("__place").alias("at"), F.col(text).alias("text")).alias("t"))
+    frames = near.groupBy(*keys, "__place").agg(F.sort_array(F.collect_list("t")).alias("t"))
+    frames = frames.select(*(F.col(k).alias(f"__f_{i}") for i, k in enumerate(keys)), F.col("__place").alias("__f_place"), F.array_join("t.text", " ").alias("__frame"))
+    match = F.col("__place") == F.col("__f_place")
+    for i, k in enumerate(keys):
+        match &= F.col(k).eqNullSafe(F.col(f"__f_{i}"))
+    return placed.join(frames, match).select(*df.columns, F.col("__frame").alias(name))
+
+
+def with_last_before(df: DataFrame, value: Column, keys: list[str], order: str, name: str) -> DataFrame:
+    """W-05: each row with the last value that is not null in the rows of its key before, without one task for a key."""
+    return running(df, keys, [order], lasts={name: value})
 
 
 def last_before(value: Column, keys: list[str], order: str) -> Column:
-    """W-05: the last value that is not null in the rows before."""
+    """W-05: the last value that is not null in the rows before, as a window for keys of few rows (see ``with_last_before``)."""
     return F.last(value, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
 
 
 def per_parent_titles(df: DataFrame, parent: str, order: str, base: Column, name: str = "title") -> DataFrame:
     """P-09, W-02: ``base_1`` and so on where a parent has more than one row, else ``base``."""
-    by = Window.partitionBy(parent)
-    place = F.row_number().over(by.orderBy(order))
-    return df.withColumn(name, F.when(F.count("*").over(by) > 1, F.concat(base, F.lit("_"), place.cast("string"))).otherwise(base))
+    counts = df.groupBy(F.col(parent).alias("__parent")).agg(F.count("*").alias("__n"))
+    placed = running(df, [parent], [order], {"__place": F.lit(1)}).join(counts, F.col(parent).eqNullSafe(F.col("__parent")))
+    return placed.withColumn(name, F.when(F.col("__n") > 1, F.concat(base, F.lit("_"), F.col("__place").cast("string"))).otherwise(base)).drop("__place", "__n", "__parent")

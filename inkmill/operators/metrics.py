@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from math import exp, log
 
 import numpy as np
@@ -61,9 +62,29 @@ def bleu_of(row, most: int = 4) -> float:
     return exp(total / most) * (exp(1 - row["ref_len"] / row["hyp_len"]) if short else 1.0)
 
 
+# The steps of the "13a" tokenisation of the published BLEU scorers.
+STEPS_13A = (
+    (re.compile(r"([{-~\[-` -&(-+:-@/])"), r" \1 "),
+    (re.compile(r"([^0-9])([.,])"), r"\1 \2 "),
+    (re.compile(r"([.,])([^0-9])"), r" \1 \2"),
+    (re.compile(r"([0-9])(-)"), r"\1 \2 "),
+)
+
+
+def split_13a(text: str) -> list[str]:
+    """M-01: the tokens of a text as BLEU counts them: signs are split off, full stops and commas within numbers are not."""
+    text = text.replace("<skipped>", "").replace("-\n", "").replace("\n", " ")
+    for entity, sign in (("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
+        text = text.replace(entity, sign)
+    text = f" {text} "
+    for pattern, by in STEPS_13A:
+        text = pattern.sub(by, text)
+    return text.split()
+
+
 def crystal_bleu(df: DataFrame, hypothesis: str, reference: str, trivial: DataFrame, most: int = 4) -> DataFrame:
     """M-01: one row (n_pairs, crystal_bleu in [0, 1]): the n-grams of both token arrays, less the trivial ones, joined to one
-    text and scored by corpus BLEU; rows with an empty side are left out, 0 without rows.
+    text, split again by the 13a rule and scored by corpus BLEU; rows with an empty side are left out, 0 without rows.
 
     The trivial n-grams (k of them, a bounded table) are read to the driver. Counts are made by row in Arrow batches and summed
     in one small aggregation.
@@ -82,7 +103,7 @@ def _bleu_rows(shared: frozenset[str], most: int, names: list[str]):
 
     def kept(tokens):
         grams = (" ".join(g) for n in range(1, most + 1) for g in runs(tokens, n))
-        return " ".join(g for g in grams if g not in shared).split()
+        return split_13a(" ".join(g for g in grams if g not in shared))
 
     def run(frames):
         import pandas as pd

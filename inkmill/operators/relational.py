@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkmill.functions.text import is_blank, strip
@@ -183,11 +183,16 @@ def with_values(df: DataFrame, *columns: str, filled: tuple[str, ...] = ()) -> D
 
 def failure_budget(df: DataFrame, project: str, path: str, failed: str, most: int = 3, keep_before: bool = True) -> DataFrame:
     """F-26, W-07: successful files of projects, in order of path, until more than ``most`` failed; what came before is kept, or
-    nothing of such a project. Files of one project meet in one task, as the running count demands."""
-    order = Window.partitionBy(project).orderBy(path)
-    count = F.sum(F.when(F.col(failed), 1).otherwise(0))
-    seen = count.over(order) if keep_before else count.over(Window.partitionBy(project))
-    return df.withColumn("__failed", seen).where((F.col("__failed") <= most) & ~F.coalesce(F.col(failed), F.lit(False))).drop("__failed")
+    nothing of such a project. The counts run over ranges of files, so a project may have any number of them."""
+    from inkmill.operators.sampling import running
+
+    failures = F.when(F.col(failed), 1).otherwise(0)
+    if keep_before:
+        seen = running(df, [project], [path], {"__failed": failures})
+    else:
+        totals = df.groupBy(F.col(project).alias("__project")).agg(F.sum(failures).alias("__failed"))
+        seen = df.join(totals, F.col(project).eqNullSafe(F.col("__project"))).drop("__project")
+    return seen.where((F.col("__failed") <= most) & ~F.coalesce(F.col(failed), F.lit(False))).drop("__failed")
 
 
 def containing_spans(inner: DataFrame, outer: DataFrame, key: str, start: str = "start", end: str = "end") -> DataFrame:

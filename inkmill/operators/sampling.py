@@ -37,6 +37,28 @@ def ranked(df: DataFrame, order: list[Column | str], name: str = "rank") -> Data
     return placed.withColumn("__part", part).join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))).drop("__id", "__part", "__before")
 
 
+def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column] | None = None, lasts: dict[str, Column] | None = None) -> DataFrame:
+    """W-01, W-02, W-05, W-07: ``df`` with running sums (up to and with each row) and last values that are not null (before each row) within
+    keys, without one task for a key: rows are sorted by ranges of key and order, summed up within a range, and carry on what the
+    ranges before left. Null keys are a key; rows that tie in ``order`` are told apart by their other columns where those can be sorted."""
+    sums, lasts = sums or {}, lasts or {}
+    named = df.withColumns({f"__s_{n}": c for n, c in sums.items()} | {f"__l_{n}": c for n, c in lasts.items()})
+    columns = [F.col(c) for c in (*keys, *order)]
+    placed = named.repartitionByRange(shuffle_partitions(df.sparkSession), *columns).sortWithinPartitions(*columns, *_sortable(df))
+    placed = materialise(placed.withColumn("__id", F.monotonically_increasing_id())).withColumn("__part", F.shiftright("__id", 33).cast("int"))
+    totals = placed.groupBy("__part", *keys).agg(F.count("*").alias("__n"), *(F.sum(f"__s_{n}").alias(f"__s_{n}") for n in sums), *(F.max_by(f"__l_{n}", F.when(F.col(f"__l_{n}").isNotNull(), F.col("__id"))).alias(f"__l_{n}") for n in lasts))
+    earlier = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # at most a row for each range
+    carried = totals.select(F.col("__part").alias("__c_part"), *(F.col(k).alias(f"__c_{i}") for i, k in enumerate(keys)), *(F.sum(f"__s_{n}").over(earlier).alias(f"__c_s_{n}") for n in sums), *(F.last(f"__l_{n}", ignorenulls=True).over(earlier).alias(f"__c_l_{n}") for n in lasts))
+    here = Window.partitionBy("__part", *keys).orderBy("__id")
+    local = placed.withColumns({f"__s_{n}": F.sum(f"__s_{n}").over(here.rowsBetween(Window.unboundedPreceding, Window.currentRow)) for n in sums} | {f"__l_{n}": F.last(f"__l_{n}", ignorenulls=True).over(here.rowsBetween(Window.unboundedPreceding, -1)) for n in lasts})
+    match = F.col("__part") == F.col("__c_part")
+    for i, k in enumerate(keys):
+        match &= F.col(k).eqNullSafe(F.col(f"__c_{i}"))
+    joined = local.join(carried, match)
+    found = {n: F.col(f"__s_{n}") + F.coalesce(f"__c_s_{n}", F.lit(0)) for n in sums} | {n: F.coalesce(f"__l_{n}", f"__c_l_{n}") for n in lasts}
+    return joined.select(*(c for c in df.columns if c not in found), *(c.alias(n) for n, c in found.items()))
+
+
 def _sortable(df: DataFrame) -> list[Column]:
     return [F.col(c) for c in df.columns if "map<" not in df.schema[c].dataType.simpleString()]
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from inkmill.functions.latex import relevant_code
 from inkmill.functions.sequences import lexed, pretoken_count
 from inkmill.functions.text import clean_code, extract_answer
-from inkmill.operators.assembly import compile_rate, mean_report
+from inkmill.operators.assembly import report_with_rate
 from inkmill.operators.metrics import tex_edit_distance
 from inkmill.operators.relational import left_first
 
@@ -27,5 +27,4 @@ def score_predictions(truth: DataFrame, predictions: DataFrame, captions: DataFr
 
 def report(scored: DataFrame) -> DataFrame:
     """One row: counts, the compile rate, means and deviations. Rows that did not compile count as 0 in scores of likeness."""
-    means = mean_report(scored.withColumn("closeness", 1 - F.col("tex_edit_distance")), ["closeness", "tokens"], ~F.col("compiled"))
-    return means.crossJoin(scored.agg(compile_rate(F.col("compiled")).alias("compile_rate")))  # one row each
+    return report_with_rate(scored.withColumn("closeness", 1 - F.col("tex_edit_distance")), ["closeness", "tokens"], F.col("compiled"), ~F.col("compiled"))

@@ -374,6 +374,17 @@ def _(spark, d):
     return rows.select("doc_id", "f.caption", "f.label").where("label <> '' or caption <> ''")
 
 
+_LABEL = r"regexp_extract(f, '\\label\{([^}]+)\}', 1)"
+
+
+@query("legacy_figures", rf"""with f as (select doc_id, unnest(regexp_extract_all(text, '(?s)\\begin\{{figure\}}(.*?)\\end\{{figure\}}', 1)) as f from documents),
+a as (select doc_id, f, regexp_extract(f, '(?s)[^\n]*?\\begin\{{tikzpicture\}}.*?\\end\{{tikzpicture\}}', 0) as code from f where len(string_split(f, '\begin{{tikzpicture}}')) = 2)
+select doc_id, code, regexp_extract(f, '(?s)\\caption(?:\[[^\]]*\])?\s*\{{((?:[^{{}}\\]|\\.|\{{(?:[^{{}}\\]|\\.|\{{[^{{}}]*\}})*\}})*)\}}', 1) as caption, {s_strip(_LABEL)} as label from a where code <> '' and length(code) <= 100000
+union all select doc_id, unnest(regexp_extract_all(text, '(?s)[^\n]*?\\begin\{{tikzpicture\}}.*?\\end\{{tikzpicture\}}', 0)), '', '' from documents""")
+def _(spark, d):
+    return X.legacy_figures(read_table(spark, d, "documents"), "doc_id", "text").select("doc_id", "code", "caption", "label")
+
+
 @query("figure_documents")
 def _(spark, d):
     return figures_plan.extract_figures(spread(read_table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text", balanced=True)
@@ -468,7 +479,8 @@ def _(spark, d):
 
 @query("last_before", "select file_id, last_value(case when status = 'error' then file_id end ignore nulls) over (partition by archive_id order by file_id rows between unbounded preceding and 1 preceding) as previous from corpus")
 def _(spark, d):
-    return read_table(spark, d, "corpus").select("file_id", A.last_before(F.when(F.col("status") == "error", F.col("file_id")), ["archive_id"], "file_id").alias("previous"))
+    rows = read_table(spark, d, "corpus").select("file_id", "archive_id", "status")
+    return A.with_last_before(rows, F.when(F.col("status") == "error", F.col("file_id")), ["archive_id"], "file_id", "previous").select("file_id", "previous")
 
 
 @query("failure_budget", "select file_id from (select file_id, status, sum(case when status = 'error' then 1 else 0 end) over (partition by archive_id order by file_id) as f from corpus) t where f <= 3 and not coalesce(status = 'error', false)")
@@ -481,9 +493,7 @@ def _(spark, d):
 from (select status = 'success' as ok, case when status = 'success' then coalesce(code_length::double / 4000, 0) else 0 end as s from corpus) t""")
 def _(spark, d):
     rows = read_table(spark, d, "corpus").select((F.col("status") == "success").alias("ok"), (F.col("code_length").cast("double") / 4000).alias("score"))
-    means = A.mean_report(rows, ["score"], ~F.coalesce("ok", F.lit(False)))
-    rate = rows.agg(A.compile_rate(F.col("ok")).alias("compile_rate"))
-    return means.crossJoin(rate).select("n", *(F.round(c, 9).alias(c) for c in ("score_mean", "score_std", "compile_rate")))
+    return A.report_with_rate(rows, ["score"], F.col("ok"), ~F.coalesce("ok", F.lit(False))).select("n", *(F.round(c, 9).alias(c) for c in ("score_mean", "score_std", "compile_rate")))
 
 
 @query("licence_stats", "select source as license, count(distinct archive_id)::bigint as papers, count(*)::bigint as snippets from corpus group by source")

@@ -19,6 +19,8 @@ def build_session(app: str = "inkmill", master: str | None = None, **conf: str)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        # checkpoints are removed when what was made of them is gone
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     builder = SparkSession.builder.appName(app)
     if master:

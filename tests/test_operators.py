@@ -266,3 +266,38 @@ def test_substrings_in_blocks(spark, monkeypatch):
     df = spark.createDataFrame([("abc",), ("xbz",), ("",), (None,), ("qq",)], "t string")
     parts = spark.createDataFrame([("bc",), ("z",), ("",), (None,), ("zz",), ("qqq",)], "p string")
     assert sorted(r.t or "-" for r in R.without_substrings(df, "t", parts, "p").collect()) == ["-", "-", "qq"]
+
+
+@pytest.mark.parametrize("parts", ["1", "4", "13"])
+def test_running(spark, parts):
+    r = random.Random(int(parts))
+    # one key holds most rows, so that its ranges are many
+    rows = [(r.choice(["a", "a", "a", "b", None]), i, r.choice([None, 1, 2]), r.choice([None, None, f"v{i}"])) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, i int, x int, v string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = O.running(df, ["k"], ["i"], {"s": F.coalesce("x", F.lit(0))}, {"l": F.col("v")}).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    sums, lasts, wanted = {}, {}, set()
+    for k, i, x, v in rows:
+        sums[k] = sums.get(k, 0) + (x or 0)
+        wanted.add((k, i, x, v, sums[k], lasts.get(k)))
+        lasts[k] = v if v is not None else lasts.get(k)
+    assert {(x.k, x.i, x.x, x.v, x.s, x.l) for x in got} == wanted and len(got) == 400
+    assert O.running(df.where("false"), ["k"], ["i"], {"s": F.lit(1)}).count() == 0
+
+
+def test_split_13a():
+    assert M.split_13a("a-b, 1.5 (x). \\draw[red] 3,000 5-6 &quot;q&quot;.") == ["a-b", ",", "1.5", "(", "x", ")", ".", "\\", "draw", "[", "red", "]", "3,000", "5", "-", "6", '"', "q", '"', "."]
+
+
+def test_legacy_figures(spark):
+    from inkmill.functions import extraction as X
+
+    picture = "  \\begin{tikzpicture}\n\\draw;\n\\end{tikzpicture}"
+    texts = ["\\begin{figure}\n" + picture + "\\caption[s]{A {b} c}\\label{f}\\end{figure}", "\\begin{figure}" + picture * 2 + "\\caption{x}\\end{figure}", "none", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = sorted((x.i, x.prefix, x.caption, x.label) for x in X.legacy_figures(df, "i", "t").collect())
+    assert got == [(0, "  ", "", ""), (0, "  ", "A {b} c", "f"), (1, "  ", "", ""), (1, "\\begin{figure}  ", "", "")]
