@@ -208,7 +208,13 @@ def _round(text: DataFrame, min_words: int, seed: int) -> tuple[DataFrame, DataF
     # read twice below, and far smaller than the texts
     prints = materialise(text.mapInArrow(_prints(seed), "id string, print long, print_2 long, n_words int").where(F.col("n_words") >= min_words).drop("n_words"))
     reps = prints.groupBy("print", "print_2").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
-    grouped = prints.join(reps, ["print", "print_2"]).select("id", "rep", "n")
+    key = ["print", "print_2"]
+    # groups of more than SALT_ROWS records are few; they are broadcast, and their records aren't shuffled to one task
+    large = reps.where(F.col("n") > SALT_ROWS)
+    if large.count() <= BROADCAST_IDS:
+        large = F.broadcast(large)
+    small = prints.join(large.select(*key), key, "left_anti").join(reps.where(F.col("n") <= SALT_ROWS), key)
+    grouped = small.select("id", "rep", "n").unionByName(prints.join(large, key).select("id", "rep", "n"))
     # a record that comes more than once under one id is one record
     pairs = materialise(grouped.where("n > 1 and id <> rep").select("id", "rep", "n"))
     wanted = pairs.select(F.explode(F.array("id", "rep")).alias("id")).distinct()

@@ -481,3 +481,12 @@ def test_mixing_divides_shards_of_large_blocks(spark, monkeypatch):
         assert sorted(x.position for x in draws if x.shard == key) == list(range(sum(x.shard == key for x in draws)))
     used = {(x.doc_id): x.uses for x in divided.usage().collect()}
     assert Counter(x.doc_id for x in draws) == {k: v for k, v in used.items() if v}
+
+
+def test_large_groups_of_copies(spark, monkeypatch):
+    monkeypatch.setattr(FD, "SALT_ROWS", 5)
+    rows = [(f"a{i:03d}", "Word " * 40 + "." * i, "Cap") for i in range(60)] + [(f"b{i}", "other " * 41, None) for i in range(3)] + [("c", "alone " * 50, "x")] + [(f"n{i}", None, None) for i in range(9)]
+    df = spark.createDataFrame(rows, "file_id string, code string, caption string")
+    wanted = {("a000", f"a{i:03d}") for i in range(1, 60)} | {("b0", f"b{i}") for i in (1, 2)}
+    assert {tuple(r) for r in FD.p1_found(df).collect()} == wanted
+    assert {(r.rep, r.copies) for r in FD.collapsed(FD.copies(df, min_words=0)).collect()} == {("a000", 60), ("b0", 3), ("c", 1), ("n0", 9)}
