@@ -59,6 +59,9 @@ TOKEN = re.compile(r"\\(begin|end)\s*\{\s*([^{}\\\n]*?)\s*\}|\\([A-Za-z@]+)\*?|\
 LAST_WORD = re.compile(r"(?<!\\)(?:\\\\)*\\([A-Za-z@]*)\Z")
 #: A construct: (kind, name, step). Steps count the arguments of commands.
 Construct = tuple[str, str, int]
+WHOLE_DOCUMENT, GROUP = ("document", "document", 0), ("group", "{", 0)
+#: Constructs that a task counts before it hands them on.
+HELD_CONSTRUCTS = 200_000
 WALKED = ("id", "source", "length", "other", "still", "kind", "name", "step", "visits", "stops")
 WALKED_SCHEMA = "id string, source string, length int, other boolean, still array<struct<kind:string,name:string,step:int>>, kind string, name string, step int, visits long, stops long"
 STILL = pa.list_(pa.struct([("kind", pa.string()), ("name", pa.string()), ("step", pa.int32())]))
@@ -72,7 +75,7 @@ def without_mark(text: str) -> str:
 def _prescribed() -> dict[Construct, int]:
     """Constructs in which LaTeX and TikZ let no text stop, but for environments, of which each name counts."""
     steps = [(c, s) for c in STATEMENTS for s in (FREE, *range(MOST_ARGUMENTS + 1))] + [(c, s) for c, n in GROUPS.items() for s in range(n)]
-    return {("document", "document", 0): PRIOR, ("group", "{", 0): PRIOR} | {("command", c, s): PRIOR for c, s in steps}
+    return {WHOLE_DOCUMENT: PRIOR, GROUP: PRIOR} | {("command", c, s): PRIOR for c, s in steps}
 
 
 PRESCRIBED = _prescribed()
@@ -93,16 +96,18 @@ def _finished(text: str) -> int:
     return -1
 
 
-class Counts(dict):
+class Counts:
     """Visits and stops by construct."""
 
-    def add(self, kind: str, name: str, step: int, visits: int, stops: int) -> None:
-        found = self.get((kind, name, step))
-        if found is None:
-            self[kind, name, step] = [visits, stops]
-        else:
-            found[0] += visits
-            found[1] += stops
+    def __init__(self):
+        self.visits: dict[Construct, int] = {}
+        self.stops: dict[Construct, int] = {}
+
+    def stop(self, construct: Construct) -> None:
+        self.stops[construct] = self.stops.get(construct, 0) + 1
+
+    def visit(self, construct: Construct, n: int) -> None:
+        self.visits[construct] = self.visits.get(construct, 0) + n
 
 
 def walk(text: str, counts: Counts) -> tuple[list[Construct], bool]:
@@ -114,82 +119,99 @@ def walk(text: str, counts: Counts) -> tuple[list[Construct], bool]:
     code = COMMENT.sub(r"\1", bare).rstrip()
     if not code:
         return [], cut_mark
+    visits = counts.visits
     stack: list[tuple[str, int, int, int]] = []  # name, depth, base outside, number of the token
-    depth = base = bracket = last = 0
-    command, step = None, 0
+    depth = base = bracket = last = groups = 0
+    # the last command of the block, while it counts as open, and whether free text after it is to be looked for
+    command, step, bound = None, 0, False
     i = -1
     for i, m in enumerate(TOKEN.finditer(code)):
-        kind, name, word = m[1], m[2], m[3]
         sign = m[0]
-        at = m.start()
+        if sign == "{":
+            if bound and depth == base and not bracket and code[last : m.start()].strip():
+                step, bound = FREE, False
+                visits[key] = visits.get(key := ("command", command, FREE), 0) + 1
+            depth += 1
+            groups += 1
+            last = m.end()
+            continue
+        if sign == "}":
+            if depth > base:
+                depth -= 1
+                if depth == base and bound and not bracket:
+                    step = min(step + 1, MOST_ARGUMENTS)
+                    visits[key] = visits.get(key := ("command", command, step), 0) + 1
+            last = m.end()
+            continue
         plain = depth == base
-        if command is not None and step != FREE and plain and not bracket and code[last:at].strip():
-            step = FREE
-            counts.add("command", command, FREE, 1, 0)
+        kind = m[1]
+        if not plain and kind is None:
+            last = m.end()
+            continue
+        at = m.start()
+        if bound and plain and not bracket and code[last:at].strip():
+            step, bound = FREE, False
+            visits[key] = visits.get(key := ("command", command, FREE), 0) + 1
         last = m.end()
         if kind == "begin":
-            stack.append((name, depth, base, i))
-            base, command, bracket = depth, None, 0
+            stack.append((m[2], depth, base, i))
+            base, command, bound, bracket = depth, None, False, 0
         elif kind == "end":
+            name = m[2]
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
                     if command is not None and k == len(stack) - 1 and plain:
-                        counts.add("command", command, step, 0, 1)
+                        counts.stop(("command", command, step))
                     for lost, _, _, since in stack[k + 1 :]:
-                        counts.add("environment", lost, 0, i - since, 1)
+                        counts.visit(("environment", lost, 0), i - since)
+                        counts.stop(("environment", lost, 0))
                     _, depth, base, since = stack[k]
-                    counts.add("environment", name, 0, i - since, 0)
+                    counts.visit(("environment", name, 0), i - since)
                     del stack[k:]
                     break
-            command, bracket = None, 0
-        elif word is not None:
-            if plain and not bracket:
+            command, bound, bracket = None, False, 0
+        elif (word := m[3]) is not None:
+            if not bracket:
                 if command is None or not code[code.rfind("\n", 0, at) + 1 : at].strip():
-                    command, step = word, 0
-                    counts.add("command", word, 0, 1, 0)
-                elif step != FREE:
-                    step = FREE
-                    counts.add("command", command, FREE, 1, 0)
-        elif sign == "{":
-            depth += 1
-            counts.add("group", "{", 0, 1, 0)
-        elif sign == "}":
-            if depth > base:
-                depth -= 1
-                if depth == base and command is not None and step != FREE and not bracket:
-                    step = min(step + 1, MOST_ARGUMENTS)
-                    counts.add("command", command, step, 1, 0)
-        elif not plain:
-            continue
+                    command, step, bound = word, 0, True
+                    visits[key] = visits.get(key := ("command", word, 0), 0) + 1
+                elif bound:
+                    step, bound = FREE, False
+                    visits[key] = visits.get(key := ("command", command, FREE), 0) + 1
+        elif sign == ";":
+            command, bound, bracket = None, False, 0
         elif sign == "[":
             bracket += 1
         elif sign == "]":
             bracket = max(0, bracket - 1)
-        elif sign == ";":
-            command, bracket = None, 0
-        elif command is not None and step != FREE and not bracket:
-            step = FREE
-            counts.add("command", command, FREE, 1, 0)
-    if command is not None and step != FREE and depth == base and code[last:].strip():
+        elif bound and not bracket:
+            step, bound = FREE, False
+            visits[key] = visits.get(key := ("command", command, FREE), 0) + 1
+    if bound and depth == base and code[last:].strip():
         step = FREE
-        counts.add("command", command, FREE, 1, 0)
+        counts.visit(("command", command, FREE), 1)
+    if groups:
+        counts.visit(GROUP, groups)
     document = end >= 0 or bool(DOCUMENT.search(code))
     if document:
-        counts.add("document", "document", 0, i + 1, int(end < 0))
+        counts.visit(WHOLE_DOCUMENT, i + 1)
     if end >= 0:
         return [], False
-    for lost, _, _, since in stack:
-        counts.add("environment", lost, 0, i - since, 1)
-    still: list[Construct] = [("document", "document", 0)] if document else []
+    still: list[Construct] = [WHOLE_DOCUMENT] if document else []
     still += [("environment", name, 0) for name in dict.fromkeys(n for n, *_ in stack)]
+    for lost, _, _, since in stack:
+        counts.visit(("environment", lost, 0), i - since)
+        counts.stop(("environment", lost, 0))
+    if document:
+        counts.stop(WHOLE_DOCUMENT)
     if depth > 0:
-        counts.add("group", "{", 0, 0, 1)
-        still.append(("group", "{", 0))
+        counts.stop(GROUP)
+        still.append(GROUP)
     around = bool(still)
     if command is not None and depth == base:
         still.append(("command", command, step))
         if not around:
-            counts.add("command", command, step, 0, 1)
+            counts.stop(("command", command, step))
     if word := LAST_WORD.search(code):
         still.append(("beginning", word[1], 0))
     other = cut_mark or bool(COMMENT.search(bare.rsplit("\n", 1)[-1]))
@@ -213,11 +235,19 @@ def _walk_rows(batches):
             found = pa.array([[dict(zip(("kind", "name", "step"), c)) for c in x] for x in still], STILL)
             empty = [pa.nulls(len(rows), t) for t in (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(sources, pa.string()), pa.array(length, pa.int32()), pa.array(other, pa.bool_()), found, *empty], names=WALKED)
-    if counts:
-        keys, values = zip(*counts.items())
-        empty = [pa.nulls(len(keys), t) for t in (pa.string(), pa.string(), pa.int32(), pa.bool_(), STILL)]
-        columns = [pa.array(x, t) for x, t in zip((*zip(*keys), *zip(*values)), (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64()))]
-        yield pa.RecordBatch.from_arrays([*empty, *columns], names=WALKED)
+        if len(counts.visits) > HELD_CONSTRUCTS:
+            yield _count_rows(counts)
+            counts = Counts()
+    if counts.visits or counts.stops:
+        yield _count_rows(counts)
+
+
+def _count_rows(counts: Counts) -> pa.RecordBatch:
+    keys = list(counts.visits.keys() | counts.stops.keys())
+    empty = [pa.nulls(len(keys), t) for t in (pa.string(), pa.string(), pa.int32(), pa.bool_(), STILL)]
+    values = [[found.get(k, 0) for k in keys] for found in (counts.visits, counts.stops)]
+    columns = [pa.array(x, t) for x, t in zip((*zip(*keys), *values), (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64()))]
+    return pa.RecordBatch.from_arrays([*empty, *columns], names=WALKED)
 
 
 def walked(df: DataFrame, id_col: str = "file_id", text_col: str = "code", source_col: str = "source") -> DataFrame:
@@ -226,20 +256,21 @@ def walked(df: DataFrame, id_col: str = "file_id", text_col: str = "code", sourc
     return text.mapInArrow(_walk_rows, WALKED_SCHEMA)
 
 
-def prior(spark: SparkSession, environments: DataFrame) -> DataFrame:
-    """What LaTeX and TikZ prescribe, as ``PRIOR`` visits without a stop: of the listed constructs and of each environment that occurs."""
-    listed = spark.createDataFrame([(*c, n, 0) for c, n in PRESCRIBED.items()], "kind string, name string, step int, visits long, stops long")
-    named = environments.where("kind = 'environment'").select("kind", "name", "step", F.lit(PRIOR).cast("long").alias("visits"), F.lit(0).cast("long").alias("stops"))
-    return listed.unionByName(named)
+def prior(spark: SparkSession) -> DataFrame:
+    """What LaTeX and TikZ prescribe, as ``PRIOR`` visits without a stop. Environments, of which each name counts, are not listed."""
+    kinds, names, steps = zip(*PRESCRIBED)
+    columns = [pa.array(kinds), pa.array(names), pa.array(steps, pa.int32()), pa.array(PRESCRIBED.values(), pa.int64()), pa.array([0] * len(PRESCRIBED), pa.int64())]
+    return spark.createDataFrame(pa.table(columns, names=["kind", "name", "step", "visits", "stops"]))
 
 
 def construct_hazards(counted: DataFrame, with_prior: bool = True) -> DataFrame:
     """(kind, name, step, visits, stops, hazard, p_value) of constructs, from rows (kind, name, step, visits, stops). ``p_value``: how
     likely so few stops are if the hazard were ``STOPS`` (Chernoff bound of the Poisson lower tail)."""
+    if with_prior:
+        counted = counted.unionByName(prior(counted.sparkSession))
     observed = counted.groupBy("kind", "name", "step").agg(F.sum("visits").alias("visits"), F.sum("stops").alias("stops"))
     if with_prior:
-        both = observed.unionByName(prior(counted.sparkSession, observed))
-        observed = both.groupBy("kind", "name", "step").agg(F.sum("visits").alias("visits"), F.sum("stops").alias("stops"))
+        observed = observed.withColumn("visits", F.col("visits") + F.when(F.col("kind") == "environment", PRIOR).otherwise(0))
     mean, stops = STOPS * F.col("visits"), F.col("stops")
     tail = F.when(stops == 0, F.exp(-mean)).when(stops < mean, F.exp(-(mean - stops + stops * F.log(stops / mean)))).otherwise(F.lit(1.0))
     return observed.where("visits > 0").withColumn("hazard", F.col("stops") / F.col("visits")).withColumn("p_value", tail)
@@ -247,14 +278,14 @@ def construct_hazards(counted: DataFrame, with_prior: bool = True) -> DataFrame:
 
 def unended(tested: DataFrame, rate: float = FALSE_DISCOVERIES) -> DataFrame:
     """(kind, name, step) of the constructs in which no text stops of itself, from ``construct_hazards``. The step-up rule of Benjamini and
-    Hochberg, with p-values rounded up to powers of a half: a table of ``HALVINGS`` rows ranks any number of constructs. The beginnings
-    of commands that are not left without an argument belong to them, as kind ``beginning``."""
+    Hochberg, with p-values rounded up to powers of a half: counts of ``HALVINGS`` steps, which the driver reads, rank any number of
+    constructs. The beginnings of commands that are not left without an argument belong to them, as kind ``beginning``."""
     rung = F.least(F.lit(HALVINGS), F.floor(-F.log2(F.greatest("p_value", F.lit(2.0**-HALVINGS))))).cast("int")
     tested = tested.withColumn("rung", rung)
-    ladder = tested.groupBy("rung").agg(F.count("*").alias("n"))
-    steps = ladder.withColumn("so_low", F.sum("n").over(Window.orderBy(F.desc("rung")))).withColumn("tests", F.sum("n").over(Window.partitionBy(F.lit(0))))
-    lowest = steps.where(F.pow(F.lit(0.5), F.col("rung")) <= rate * F.col("so_low") / F.col("tests")).agg(F.min("rung").alias("lowest"))
-    found = tested.join(F.broadcast(lowest), F.col("rung") >= F.col("lowest")).select("kind", "name", "step")
+    ladder = dict(tested.groupBy("rung").agg(F.count("*")).collect())
+    so_low = {r: sum(n for q, n in ladder.items() if q >= r) for r in ladder}
+    lowest = min((r for r in ladder if 0.5**r <= rate * so_low[r] / sum(ladder.values())), default=HALVINGS + 1)
+    found = tested.where(F.col("rung") >= lowest).select("kind", "name", "step")
     started = found.where("kind = 'command' and step = 0").select(F.explode(F.transform(F.sequence(F.lit(0), F.length("name")), lambda n: F.substring("name", F.lit(1), n))).alias("name")).distinct()
     return found.unionByName(started.select(F.lit("beginning").alias("kind"), "name", F.lit(0).alias("step")))
 
