@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from math import exp, log
 
 import numpy as np
@@ -82,6 +83,11 @@ def split_13a(text: str) -> list[str]:
     return text.split()
 
 
+@lru_cache(1 << 16)
+def _split_13a(token: str) -> tuple[str, ...]:
+    return tuple(split_13a(token))
+
+
 def crystal_bleu(df: DataFrame, hypothesis: str, reference: str, trivial: DataFrame, most: int = 4) -> DataFrame:
     """M-01: one row (n_pairs, crystal_bleu in [0, 1]): the n-grams of both token arrays, less the trivial ones, joined to one
     text, split again by the 13a rule and scored by corpus BLEU; rows with an empty side are left out, 0 without rows.
@@ -102,8 +108,9 @@ def _bleu_rows(shared: frozenset[str], most: int, names: list[str]):
         return zip(*(tokens[i:] for i in range(n)))
 
     def kept(tokens):
-        grams = (" ".join(g) for n in range(1, most + 1) for g in runs(tokens, n))
-        return split_13a(" ".join(g for g in grams if g not in shared))
+        # tokens are joined by blanks, across which the 13a rule does not reach: each is split by itself
+        split = [_split_13a(t) for t in tokens]
+        return [s for n in range(1, most + 1) for i, g in enumerate(runs(tokens, n)) if " ".join(g) not in shared for part in split[i : i + n] for s in part]
 
     def run(frames):
         import pandas as pd

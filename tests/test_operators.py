@@ -293,6 +293,13 @@ def test_split_13a():
     assert M.split_13a("a-b, 1.5 (x). \\draw[red] 3,000 5-6 &quot;q&quot;.") == ["a-b", ",", "1.5", "(", "x", ")", ".", "\\", "draw", "[", "red", "]", "3,000", "5", "-", "6", '"', "q", '"', "."]
 
 
+def test_split_13a_by_tokens():
+    r = random.Random(4)
+    for _ in range(300):
+        tokens = ["".join(r.choice("ab1 .,-&;<{\\") for _ in range(r.randrange(1, 6))) for _ in range(8)]
+        assert M.split_13a(" ".join(tokens)) == [s for t in tokens for s in M._split_13a(t)]
+
+
 def test_legacy_figures(spark):
     from inkmill.functions import extraction as X
 
