@@ -96,7 +96,8 @@ def balanced_caption(x: Column | str) -> Column:
     return run(_c(x))
 
 
-LEGACY = r"(?s)([^\n]*?)\\begin\{tikzpicture\}.*?\\end\{tikzpicture\}"
+# a match begins with its line, or where the one before ended; other places need not be tried
+LEGACY = r"(?s)(?:\G|(?<=\n))([^\n]*?)\\begin\{tikzpicture\}.*?\\end\{tikzpicture\}"
 
 
 def legacy_figures(df: DataFrame, key: str, text: str, longest: int = MAX_BLOCK) -> DataFrame:
