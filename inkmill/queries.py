@@ -636,6 +636,22 @@ def _(spark, d):
     return evaluation.report(evaluation.score_predictions(read_table(spark, d, "eval_gt"), predictions))
 
 
+_ANSWERED = rf"""select file_id, compiled, case when f = 0 then '' when e >= f then substr(response, f, e + 14 - f) else substr(response, f, {_LAST.format('response')} - f + 1) end as answer
+from (select file_id, response, contains(response, '\end{{document}}') as compiled, instr(response, chr(92)) as f, instr(response, '\end{{document}}') as e from repair_responses where file_id is not null) t"""
+_SIGNS = r"regexp_extract_all(pred, '\\[A-Za-z@]+|[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\v]')"
+
+
+@query("score_repairs", f"""with p as (select file_id, compiled, {s_clean('answer')} as pred from ({_ANSWERED}) a), f as (select * from p qualify row_number() over (partition by file_id order by pred nulls first, compiled nulls first) = 1),
+s as (select coalesce(compiled, false) as ok, case when coalesce(compiled, false) then coalesce(len({_SIGNS}), 0) else 0 end as tokens from corpus c left join f on c.file_id = f.file_id)
+select count(*)::bigint as n, round(avg(tokens), 6) as tokens_mean, round(stddev_pop(tokens), 6) as tokens_std, round(avg(ok::int), 9) as compile_rate from s""")
+def _(spark, d):
+    """J-13, A-02, A-03, A-05, M-11: every corpus row as a reference, model answers as predictions; rows without one count as failures."""
+    predictions = read_table(spark, d, "repair_responses").where("file_id is not null").select(F.col("file_id").alias("figure_id"), F.col("response").alias("tikz_pred"), F.contains("response", F.lit("\\end{document}")).alias("compiled"))
+    truth = read_table(spark, d, "corpus").select(F.col("file_id").alias("figure_id"), "code", "new_caption")
+    scored = evaluation.score_predictions(truth, predictions)
+    return evaluation.report(scored).select("n", F.round("tokens_mean", 6).alias("tokens_mean"), F.round("tokens_std", 6).alias("tokens_std"), F.round("compile_rate", 9).alias("compile_rate"))
+
+
 @query("compile_check")
 def _(spark, d):
     return boundary.compile_codes(read_table(spark, d, "corpus"), "file_id", "code").select("file_id", "status", "log")
