@@ -110,6 +110,47 @@ def generate(df: DataFrame, key: str, prompt: str, generator: str | Generator =
     return df.select(key, prompt).mapInPandas(batches, f"`{key}` {kind}, response string, error string")
 
 
+def landed_files(df: DataFrame, address: str, name: str, folder: str, opener: str | None = None, retries: int = 3, pause: float = 0.0) -> DataFrame:
+    """S-23, S-24, E-05: each address read as a stream and written below ``folder`` under its name; (address, path, bytes, error) of each.
+
+    Addresses are opened by ``opener`` (``module:function``, which returns a readable file), else by the file system they name. What fails is
+    tried again after pauses that double, and in the end leaves its error. A file that is there with its bytes is not read again; a file gets its name when it is whole.
+    """
+    import importlib
+    import time
+    import uuid
+
+    from inkmill.sources.paths import move, open_input, open_output, size_of
+
+    def fetch(source: str, target: str) -> int:
+        open_it = getattr(importlib.import_module(opener.partition(":")[0]), opener.partition(":")[2]) if opener else open_input
+        part, size = f"{folder}/_parts/{uuid.uuid4().hex}", 0
+        with open_it(source) as data, open_output(part) as out:
+            while block := data.read(1 << 20):
+                out.write(block)
+                size += len(block)
+        move(part, target)
+        return size
+
+    def batches(frames):
+        for frame in frames:
+            rows = []
+            for source, n in zip(frame[address], frame[name]):
+                target, size, error = f"{folder}/{n}", None, None
+                for turn in range(retries):
+                    try:
+                        size, error = size_of(target), None
+                        size = fetch(source, target) if size is None else size
+                        break
+                    except Exception as e:  # noqa: BLE001
+                        error = f"{type(e).__name__}: {e}"
+                        time.sleep(pause * 2**turn)
+                rows.append((source, target if error is None else None, size, error))
+            yield pd.DataFrame(rows, columns=["address", "path", "bytes", "error"])
+
+    return materialise(df.select(address, name).mapInPandas(batches, "address string, path string, bytes long, error string"))
+
+
 def score_pairs(a: Column, b: Column, scorer: Callable[[pd.Series, pd.Series], pd.Series]) -> Column:
     """U-04: a scorer of batches of pairs."""
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from inkmill import boundary as B
 from inkmill.functions import extraction as X
+from inkmill.functions import images as I
 from inkmill.functions import latex as L
 from inkmill.functions import markup as K
 from inkmill.functions import sequences as Q
@@ -363,6 +364,19 @@ def _(spark, d):
     return read_table(spark, d, "posts").where("body is not null").select("id", F.transform(X.page_links("body"), lambda l: X.resolved(l, base)).alias("links"))
 
 
+@query("landed_files", "select distinct archive_id || '.json' as name, (octet_length(encode(archive_id)) + 2)::bigint as bytes, false as failed from corpus where archive_id is not null union all select 'gone.json', null, true")
+def _(spark, d):
+    """S-23, S-24, E-05: files of a list of addresses are landed in a folder, twice, where the second run reads nothing; one is missing."""
+    to = scratch(spark)
+    ids = read_table(spark, d, "corpus").select("archive_id").where("archive_id is not null").distinct()
+    sinks.write_files(ids.select(F.concat("archive_id", F.lit(".json")).alias("path"), F.concat(F.lit("<"), "archive_id", F.lit(">")).alias("content")), f"{to}/site")
+    names = ids.select(F.concat("archive_id", F.lit(".json")).alias("name")).unionByName(spark.createDataFrame([("gone.json",)], "name string"))
+    listed = names.select("name", F.concat(F.lit(f"{to}/site/"), "name").alias("address"))
+    B.landed_files(listed, "address", "name", f"{to}/landed")
+    found = B.landed_files(listed, "address", "name", f"{to}/landed")
+    return found.select(F.substring_index("address", "/", -1).alias("name"), "bytes", F.col("error").isNotNull().alias("failed"))
+
+
 # --- tables ---------------------------------------------------------------------------------------------------------
 @query("read_shards", "select file_id, ((row_number() over (order by file_id) - 1) % 10)::int as shard from corpus")
 def _(spark, d):
@@ -535,6 +549,24 @@ over("last_patches", "embeddings", "select vec_id, len(embedding[-48:])::int as
 over("pixel_values", "part", "select p_partkey, [(p_size * (1.0::double / 255) - 0.5) / 0.5, (255 * (1.0::double / 255) - 0.5) / 0.5] as pixels from part", lambda: ["p_partkey", F.transform(M.normalised_pixels(F.array(F.col("p_size"), F.lit(255)), scale=1.0 / 255), lambda x: x).alias("pixels")])
 
 
+def _drawn(size):
+    """A white image of 24 x 16 points with a box of ``size`` % 8 x 5 points at (3, 4)."""
+    import numpy as np
+
+    pixels = np.full((16, 24, 3), 255, np.uint8)
+    pixels[4:9, 3 : 3 + size % 8] = (0, size % 200, 90)
+    return I.encode_png(pixels)
+
+
+@query("image_content", "select p_partkey, p_size % 8 = 0 as empty, case when p_size % 8 > 0 then [3, 4, 3 + p_size % 8, 9]::int[] end as box, case when p_size % 8 > 0 then p_size % 8 * 5 else 384 end::int as points from part")
+def _(spark, d):
+    """F-25, M-09: images of one colour, the box of what is drawn, and trimmed images."""
+    images = read_table(spark, d, "part").select("p_partkey", F.udf(_drawn, "binary", useArrow=True)("p_size").alias("png"))
+    # a trimmed box is of one colour; its points are told by the header
+    header = lambda at: F.conv(F.hex(F.substring(I.trimmed("png"), at, 4)), 16, 10).cast("int")
+    return images.select("p_partkey", I.is_single_colour("png").alias("empty"), I.content_box("png").alias("box"), (header(17) * header(21)).alias("points"))
+
+
 @query("mapped_batches", "select file_id, len(string_split(code, chr(10)))::bigint as n from corpus where length(code) > 200")
 def _(spark, d):
     """U-01, U-02: a function over batches that drops rows."""

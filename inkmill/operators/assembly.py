@@ -19,6 +19,18 @@ def has_tags(tags: Column | str, wanted: list[str]) -> Column:
     return hit
 
 
+# The columns that are kept of each kind of post.
+POST_COLUMNS = {"question": ("id", "body", "title", "tags", "answercount", "acceptedanswerid"), "answer": ("id", "body", "score", "creationdate", "parentid")}
+
+
+def trimmed_posts(posts: DataFrame, kind: str) -> DataFrame:
+    """P-03: the questions or answers with the columns that count for them, as far as they are there; a question gets ``parsedanswers`` 0."""
+    if kind not in POST_COLUMNS:
+        raise ValueError(f"unknown kind of post: {kind}; known are {', '.join(POST_COLUMNS)}")
+    rows = posts.where(F.col("posttypeid") == (1 if kind == "question" else 2)).select(*(c for c in POST_COLUMNS[kind] if c in posts.columns))
+    return rows.withColumn("parsedanswers", F.lit(0)) if kind == "question" else rows
+
+
 def assemble(posts: DataFrame, tags: list[str] | None = None, min_score: int = MIN_SCORE) -> DataFrame:
     """R-01 in batch, J-04, A-06, A-07, F-10, F-11: each question with its answers, once all of them are there.
 

@@ -181,6 +181,19 @@ def with_values(df: DataFrame, *columns: str, filled: tuple[str, ...] = ()) -> D
     return df
 
 
+def projects_with(df: DataFrame, project: str, *marks: str, text: str = "text") -> DataFrame:
+    """F-07, F-08, F-09: all files of the projects of which some file contains one of the marks. Null projects have none."""
+    hit = F.lit(False)
+    for mark in marks:
+        hit = hit | F.contains(F.col(text), F.lit(mark))
+    return df.join(df.where(hit).select(project).distinct(), project, "left_semi")
+
+
+def failure_counts(df: DataFrame, project: str, failed: str) -> DataFrame:
+    """A-14: (project, n, n_failed)."""
+    return df.groupBy(project).agg(F.count("*").alias("n"), F.count_if(F.col(failed)).alias("n_failed"))
+
+
 def failure_budget(df: DataFrame, project: str, path: str, failed: str, most: int = 3, keep_before: bool = True) -> DataFrame:
     """F-26, W-07: successful files of projects, in order of path, until more than ``most`` failed; what came before is kept, or
     nothing of such a project. The counts run over ranges of files, so a project may have any number of them."""

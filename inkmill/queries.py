@@ -511,6 +511,29 @@ def _(spark, d):
     return read_table(spark, d, "corpus").groupBy("archive_id").agg(F.bool_or(F.contains("code", F.lit("tikzcd"))).alias("any_cd"), F.bool_and(F.length("code") > 100).alias("all_long"), F.count_if(F.col("status") == "success").alias("n_ok"))
 
 
+_TRIMMED = "id, body, {0} from (select distinct * from posts) p where posttypeid = {1}"
+
+
+@query("trimmed_questions", f"select {_TRIMMED.format('title, tags, answercount, acceptedanswerid, 0 as parsedanswers', 1)}")
+def _(spark, d):
+    return A.trimmed_posts(read_table(spark, d, "posts").distinct(), "question")
+
+
+@query("trimmed_answers", f"select {_TRIMMED.format('score, creationdate, parentid', 2)}")
+def _(spark, d):
+    return A.trimmed_posts(read_table(spark, d, "posts").distinct(), "answer")
+
+
+@query("projects_with_pictures", "select file_id, archive_id from corpus where archive_id in (select archive_id from corpus where contains(code, 'tikzcd') or contains(code, 'circuitikz'))")
+def _(spark, d):
+    return R.projects_with(read_table(spark, d, "corpus").select("file_id", "archive_id", "code"), "archive_id", "tikzcd", "circuitikz", text="code").select("file_id", "archive_id")
+
+
+@query("failure_counts", "select archive_id, count(*)::bigint as n, count_if(status = 'error')::bigint as n_failed from corpus group by archive_id")
+def _(spark, d):
+    return R.failure_counts(read_table(spark, d, "corpus").select("archive_id", (F.col("status") == "error").alias("failed")), "archive_id", "failed")
+
+
 @query("paper_records", rf"select text, n as arxiv_id, left(n, 4) as yymm, '{C.PAPER_URL}' || n as url, strftime(added_at, '%Y-%m-%dT%H:%M:%S') as stamp from (select text, added_at, regexp_replace(origin, '^\w+:', '') as n from documents where source = 'arxiv' and origin is not null and not {s_blank('text')}) t")
 def _(spark, d):
     rows = read_table(spark, d, "documents").where("source = 'arxiv' and origin is not null").withColumn("name", F.regexp_replace("origin", r"^\w+:", ""))

@@ -27,9 +27,17 @@ def open_output(address: str):
 
 
 def move(source: str, target: str) -> None:
-    """Give a file its name; a file of that name is replaced."""
+    """Give a file its name; its folder is made, and a file of that name is replaced."""
     system, path = _located(source)
     _, end = _located(target)
+    system.create_dir(end.rpartition("/")[0], recursive=True)
     if system.get_file_info(end).type != fs.FileType.NotFound:
         system.delete_file(end)
     system.move(path, end)
+
+
+def size_of(address: str) -> int | None:
+    """The bytes of a file; None if there is none."""
+    system, path = _located(address)
+    info = system.get_file_info(path)
+    return info.size if info.type == fs.FileType.File else None

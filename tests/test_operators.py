@@ -308,3 +308,63 @@ def test_legacy_figures(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
     got = sorted((x.i, x.prefix, x.caption, x.label) for x in X.legacy_figures(df, "i", "t").collect())
     assert got == [(0, "  ", "", ""), (0, "  ", "A {b} c", "f"), (1, "  ", "", ""), (1, "\\begin{figure}  ", "", "")]
+
+
+def test_png_filters():
+    import struct
+    import zlib
+
+    from inkmill.functions import images as I
+
+    r = np.random.default_rng(2)
+    for channels in (1, 2, 3, 4):
+        pixels = r.integers(0, 256, (9, 7, channels)).astype(np.uint8)
+        assert (I.decode_png(I.encode_png(pixels)) == pixels).all()
+        # the same image with each kind of filter in turn, by the definitions
+        flat = pixels.reshape(9, -1).astype(int)
+        lines = []
+        for y in range(9):
+            left = np.concatenate((np.zeros(channels, int), flat[y, :-channels]))
+            above = flat[y - 1] if y else np.zeros_like(left)
+            corner = np.concatenate((np.zeros(channels, int), above[:-channels]))
+            reach = left + above - corner
+            paeth = np.where((abs(reach - left) <= abs(reach - above)) & (abs(reach - left) <= abs(reach - corner)), left, np.where(abs(reach - above) <= abs(reach - corner), above, corner))
+            guess = [0 * left, left, above, (left + above) // 2, paeth][y % 5]
+            lines.append(bytes([y % 5]) + ((flat[y] - guess) & 255).astype(np.uint8).tobytes())
+        whole = I.encode_png(pixels)
+        at = whole.index(b"IDAT") - 4
+        data = zlib.compress(b"".join(lines))
+        made = whole[:at] + struct.pack(">I", len(data)) + b"IDAT" + data + b"\0\0\0\0" + whole[-12:]
+        assert (I.decode_png(made) == pixels).all()
+    for bad in (b"", b"no", whole[:30], whole[:-20].replace(b"IDAT", b"IDAX")):
+        with pytest.raises(I.ImageError):
+            I.decode_png(bad)
+
+
+def test_single_colour(spark):
+    from inkmill.functions import images as I
+
+    white, clear = np.full((4, 4, 3), 255, np.uint8), np.zeros((4, 4, 4), np.uint8)
+    dot = clear.copy()
+    dot[1, 2] = (9, 9, 9, 255)
+    df = spark.createDataFrame([(0, I.encode_png(white)), (1, I.encode_png(clear)), (2, I.encode_png(dot)), (3, b"x"), (4, None)], "i int, png binary")
+    got = {r.i: (r.e, r.b) for r in df.select("i", I.is_single_colour("png").alias("e"), I.content_box("png").alias("b")).collect()}
+    assert got == {0: (True, None), 1: (True, None), 2: (False, [2, 1, 3, 2]), 3: (None, None), 4: (None, None)}
+
+
+def test_landed_files(spark, tmp_path):
+    from inkmill import boundary as B
+
+    (tmp_path / "a").write_bytes(b"12345")
+    df = spark.createDataFrame([(f"{tmp_path}/a", "x/a"), (f"{tmp_path}/b", "b")], "address string, name string")
+    for _ in range(2):
+        got = {r.address[-1]: (r.bytes, r.error is None) for r in B.landed_files(df, "address", "name", f"file://{tmp_path}/out", retries=2).collect()}
+        assert got == {"a": (5, True), "b": (None, False)} and (tmp_path / "out/x/a").read_bytes() == b"12345"
+        (tmp_path / "a").write_bytes(b"changed later")
+
+
+def test_trimmed_posts(spark):
+    df = spark.createDataFrame([(1, 1, "q", 9), (2, 2, "a", 8)], "id int, posttypeid int, body string, score int")
+    assert A.trimmed_posts(df, "question").collect() == [(1, "q", 0)] and A.trimmed_posts(df, "answer").collect() == [(2, "a", 8)]
+    with pytest.raises(ValueError):
+        A.trimmed_posts(df, "comment")
